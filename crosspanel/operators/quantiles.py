@@ -53,8 +53,8 @@ def grouped_quantiles(
     v = F.col(value).cast("double")
     rows = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
 
-    # The sketch guarantees a rank error of n / accuracy; twice that on each side,
-    # plus the one rank the interpolation may look ahead, stays inside the bracket.
+    # The sketch guarantees a rank error of n / accuracy.  Four times that on each
+    # side also covers the one rank the interpolation may look ahead.
     slack = 4.0 / accuracy
     points: list[float] = []
     for s in qs:
@@ -91,7 +91,9 @@ def grouped_quantiles(
     ranked = ranked.withColumn("_lo", F.col("_hi") - F.col("_c"))
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_lo") < rank) & (rank <= F.col("_hi")), F.col("_a")))
+        hit = (F.col("_gap") == 0) & (F.col("_lo") < rank) & (rank <= F.col("_hi"))
+        # A rank outside its bracket would be a wrong result, so it stops the job.
+        return F.coalesce(F.max(F.when(hit, F.col("_a"))), F.raise_error(F.lit("quantile bracket missed its rank")))
 
     aggs: list[Column] = []
     for s in quantiles:
