@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.sql_tables import table, with_tables
+from catalog.sql_tables import table, with_tables
 
 table("t_june", "SELECT * FROM t_panel WHERE month(jdate) = 6 AND dec_me IS NOT NULL")
 
@@ -278,3 +278,30 @@ def factor_sql(key: str) -> str:
 
 
 ALL_KEYS = [*JUNE, *MONTHLY, "mom6m", "sgr", "divi", "divo"]
+
+table("t_flag_rows", """
+SELECT permno, permco, last_day(mthcaldt)::DATE AS jdate, primaryexch, coalesce(mthret, 0) AS mthret,
+  coalesce(mthretx, 0) AS mthretx, abs(mthprc) * shrout AS me
+FROM t_msf WHERE sharetype = 'NS' AND securitytype = 'EQTY' AND securitysubtype = 'COM' AND usincflg = 'Y'
+  AND issuertype IN ('ACOR', 'CORP') AND primaryexch IN ('N', 'A', 'Q') AND conditionaltype = 'RW' AND tradingstatusflg = 'A'
+""")
+
+table("t_flag_weights", """
+SELECT *, product(1 + mthretx) OVER (PARTITION BY permno, ffyear ORDER BY jdate ROWS UNBOUNDED PRECEDING) AS cumretx,
+  CASE WHEN row_number() OVER w = 1 THEN me / (1 + mthretx) ELSE lag(me) OVER w END AS lme
+FROM (
+  SELECT DISTINCT u.permno, u.permco, u.jdate, u.primaryexch, u.mthret, u.mthretx, s.me_sum AS me,
+    year(date_trunc('month', u.jdate) - INTERVAL 6 MONTH) AS ffyear, month(date_trunc('month', u.jdate) - INTERVAL 6 MONTH) AS ffmonth
+  FROM t_flag_rows u JOIN (SELECT jdate, permco, max(me) AS me, sum(me) AS me_sum FROM t_flag_rows GROUP BY 1, 2) s
+    ON u.jdate = s.jdate AND u.permco = s.permco AND u.me = s.me) x
+WINDOW w AS (PARTITION BY permno ORDER BY jdate)
+""")
+
+table("t_flag_panel", """
+SELECT p.permno, p.jdate, p.primaryexch, p.mthret, p.me, p.ffyear, d.me AS dec_me,
+  CASE WHEN ffmonth = 1 THEN lme ELSE mebase * lcum END AS wt
+FROM (
+  SELECT a.*, b.lme AS mebase, lag(a.cumretx) OVER (PARTITION BY a.permno ORDER BY a.jdate) AS lcum
+  FROM t_flag_weights a LEFT JOIN (SELECT permno, ffyear, lme FROM t_flag_weights WHERE ffmonth = 1) b USING (permno, ffyear)) p
+LEFT JOIN (SELECT permno, ffyear, me FROM t_flag_weights WHERE ffmonth = 6) d USING (permno, ffyear)
+""")
