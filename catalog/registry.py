@@ -61,13 +61,16 @@ def round_doubles(df: DataFrame, digits: int) -> DataFrame:
     )
 
 
-def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 8):
-    """Register a query; ``doubles`` names the columns both sides round."""
+def query(name: str, sql: str | None = None, doubles: str = "", digits: int | None = 8):
+    """Register a query; ``doubles`` names the columns both sides round.
+
+    With ``digits=None`` the doubles are exact on both sides and stay as they are.
+    """
 
     def decorate(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         if name in QUERIES:
             raise ValueError(f"query {name!r} registered twice")
-        QUERIES[name] = lambda t: round_doubles(fn(t), digits)
+        QUERIES[name] = fn if digits is None else lambda t: round_doubles(fn(t), digits)
         if sql is not None:
             body = sql
             if doubles:
