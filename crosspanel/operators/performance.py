@@ -1,12 +1,11 @@
 """Performance analytics on return series: backtests, drawdowns, regressions."""
 
-from __future__ import annotations
-
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from crosspanel.functions.distributions import student_t_two_sided
 from crosspanel.functions.dates import month_end, month_key
 from crosspanel.functions.frames import by_entity, cumulative_product, running_max
 from crosspanel.operators.joins import align
@@ -97,15 +96,6 @@ def benchmark_correlation(series: DataFrame, benchmarks: DataFrame, periods: Seq
     return both.groupBy(name, bench, "period").agg(F.count(F.lit(1)).alias("n_observations"), F.corr("x", "y").alias("correlation"))
 
 
-@F.pandas_udf("double")
-def _two_sided_t(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Two-sided Student-t p-value by the continued fraction of the beta integral."""
-    from crosspanel.functions.distributions import student_t_two_sided
-
-    for t, df in batches:
-        yield pd.Series(student_t_two_sided(t.to_numpy(float), df.to_numpy(float)))
-
-
 def single_index(pairs: DataFrame, by: Sequence[str], y: str = "y", x: str = "x", textbook_se: bool = True) -> DataFrame:
     """Regression y = alpha + beta x per group, from closed-form moments.
 
@@ -144,9 +134,17 @@ def single_index(pairs: DataFrame, by: Sequence[str], y: str = "y", x: str = "x"
 
 
 def with_p_values(regression: DataFrame) -> DataFrame:
-    """Two-sided p-values on the aggregated regression table."""
+    """Two-sided Student-t p-values on the aggregated regression table.
+
+    One Arrow function on one row per series; nothing larger passes through Python.
+    """
+
+    def two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series(student_t_two_sided(t.to_numpy(float), df.to_numpy(float)))
+
+    p = F.pandas_udf(two_sided, "double")
     df = (F.col("n") - 2).cast("double")
-    return regression.withColumn("p_alpha", _two_sided_t(F.col("t_alpha"), df)).withColumn("p_beta", _two_sided_t(F.col("t_beta"), df))
+    return regression.withColumn("p_alpha", p(F.col("t_alpha"), df)).withColumn("p_beta", p(F.col("t_beta"), df))
 
 
 def period_returns(prices: DataFrame, key: str, ts: str, price: str, period: Column | None = None, out: str = "date") -> DataFrame:
