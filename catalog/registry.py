@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog.sql_tables import with_tables
-from crosspanel.plans.extracts import BaseTables, base_tables
+from crosspanel.plans.extracts import BaseTables, extract_base, staged_raw
 from crosspanel.plans.factors import with_panel
 from crosspanel.session import stage_table
 from crosspanel.sources.derived import RawTables, raw_tables, read_table
@@ -28,17 +28,11 @@ class Tables:
 
     @cached_property
     def raw(self) -> RawTables:
-        raw = raw_tables(self.spark, self.sf_dir)
-        return replace(
-            raw,
-            msf=stage_table(raw.msf, "msf"),
-            funda=stage_table(raw.funda, "funda"),
-            fundq=stage_table(raw.fundq, "fundq"),
-        )
+        return staged_raw(raw_tables(self.spark, self.sf_dir))
 
     @cached_property
     def base(self) -> BaseTables:
-        return with_panel(base_tables(self.spark, self.sf_dir))
+        return with_panel(extract_base(self.raw))
 
     @cached_property
     def research(self) -> ResearchTables:

@@ -142,8 +142,17 @@ class BaseTables:
 
 def base_tables(spark: SparkSession, sf_dir: str) -> BaseTables:
     """The three extracts, each written once to the shared checkpoint folder."""
-    raw = raw_tables(spark, sf_dir)
-    raw = replace(raw, msf=stage_table(raw.msf, "msf"))
+    return extract_base(staged_raw(raw_tables(spark, sf_dir)))
+
+
+def staged_raw(raw: RawTables) -> RawTables:
+    """Write the aggregated inputs once; all extracts then read those."""
+    return replace(
+        raw, msf=stage_table(raw.msf, "msf"), funda=stage_table(raw.funda, "funda"), fundq=stage_table(raw.fundq, "fundq")
+    )
+
+
+def extract_base(raw: RawTables) -> BaseTables:
     monthly = stage_table(monthly_extract(raw), "monthly")
     annual = stage_table(annual_extract(raw), "annual")
     quarterly = stage_table(quarterly_extract(raw), "quarterly")
