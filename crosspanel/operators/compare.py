@@ -110,15 +110,9 @@ def statistic_difference(pairs: DataFrame, key: str = "factor") -> DataFrame:
 
 def missing_counts(long: DataFrame, calendar: DataFrame, name: str = "factor", value: str = "ret") -> DataFrame:
     """Missing dates per series against a calendar, complete series included."""
-    days = calendar.agg(F.count(F.lit(1)).alias("n_dates"))
-    have = (
-        long.join(calendar.select("date"), "date", "left_semi")
-        .groupBy(name)
-        .agg(F.count(value).alias("n_have"))
-        .withColumn("_k", F.lit(1))
-    )
-    out = have.join(days.withColumn("_k", F.lit(1)), "_k")
-    return out.select(name, (F.col("n_dates") - F.col("n_have")).alias("n_missing"))
+    n_dates = calendar.agg(F.count(F.lit(1))).scalar()
+    have = long.join(calendar.select("date"), "date", "left_semi").groupBy(name).agg(F.count(value).alias("n_have"))
+    return have.select(name, (n_dates - F.col("n_have")).alias("n_missing"))
 
 
 def complete_series(long: DataFrame, calendar: DataFrame, name: str = "factor", value: str = "ret") -> DataFrame:

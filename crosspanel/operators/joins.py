@@ -144,14 +144,9 @@ def inner_merge(frames: dict[str, DataFrame], date: str = "date") -> DataFrame:
 
 def clip_to_common_span(df: DataFrame, spans: DataFrame, date: str) -> DataFrame:
     """Keep dates between the latest start and the earliest end of all sources."""
-    span = spans.agg(F.max("first").alias("_start"), F.min("last").alias("_end"))
-    one = F.lit(1)
-    return (
-        df.withColumn("_k", one)
-        .join(span.withColumn("_k", one), "_k")
-        .where(F.col(date).between(F.col("_start"), F.col("_end")))
-        .drop("_k", "_start", "_end")
-    )
+    start = spans.agg(F.max("first")).scalar()
+    end = spans.agg(F.min("last")).scalar()
+    return df.where((F.col(date) >= start) & (F.col(date) <= end))
 
 
 def align(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:

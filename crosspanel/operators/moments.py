@@ -69,35 +69,43 @@ def gram_rows(df: DataFrame, keys: Sequence[str], vec: str, out: str = "gram") -
     return cells.groupBy(*keys).agg(flat.alias(out))
 
 
-def _pair_table(long: DataFrame, names: Sequence[str], name: str, value: str, out: str, of: Column) -> DataFrame:
-    """Matrix entries over the dates on which every named series has a value."""
+def _pair_table(long: DataFrame, names: Sequence[str], name: str, value: str, out: str, entry) -> DataFrame:
+    """Matrix entries over the dates on which every named series has a value.
+
+    ``entry`` builds an entry from the gram accessor, both positions and the count.
+    """
     complete = wide_series(long, names, name=name, value=value).dropna(how="any", subset=list(names))
-    g = gram(complete.select(vector(names).alias("v")), [], "v")
-    # Means and variances are the border and the diagonal of the same gram.
-    border = g.where(F.col("i") == 0).select(F.col("j").alias("k"), F.col("s").alias("sum"))
-    n = g.where((F.col("i") == 0) & (F.col("j") == 0)).select(F.lit(1).alias("_k"), F.col("s").alias("n"))
-    diag = g.where(F.col("i") == F.col("j")).select(F.col("i").alias("k"), F.col("s").alias("sq"))
-    side = border.join(diag, "k")
-    left = side.withColumnsRenamed({"k": "i", "sum": "si", "sq": "qi"})
-    right = side.withColumnsRenamed({"k": "j", "sum": "sj", "sq": "qj"})
-    cells = g.where((F.col("i") > 0) & (F.col("j") > 0)).join(left, "i").join(right, "j")
-    cells = cells.withColumn("_k", F.lit(1)).join(n, "_k")
+    m = gram_rows(complete.select(vector(names).alias("v")), [], "v", "m")
+    p = len(names)
+    spots = F.sequence(F.lit(1), F.lit(p))
+    cells = m.select("m", F.explode(spots).alias("i")).select("m", "i", F.explode(spots).alias("j"))
+
+    def at(i: Column, j: Column) -> Column:
+        return F.get("m", i * (p + 1) + j)
+
     labels = F.array(*[F.lit(x) for x in names])
-    return cells.select(F.element_at(labels, F.col("i")).alias("row_name"), F.element_at(labels, F.col("j")).alias("col_name"), of.alias(out))
+    value_of = entry(at, F.col("i"), F.col("j"), at(F.lit(0), F.lit(0)))
+    return cells.select(F.element_at(labels, F.col("i")).alias("row_name"), F.element_at(labels, F.col("j")).alias("col_name"), value_of.alias(out))
+
+
+def _centred_sum(at, i: Column, j: Column, n: Column) -> Column:
+    zero = F.lit(0)
+    return at(i, j) - at(zero, i) * at(zero, j) / n
 
 
 def covariance_matrix(long: DataFrame, names: Sequence[str], name: str = "factor", value: str = "ret") -> DataFrame:
     """Complete-case sample covariances as (row_name, col_name, covariance)."""
-    n = F.col("n")
-    return _pair_table(long, names, name, value, "covariance", (F.col("s") - F.col("si") * F.col("sj") / n) / (n - 1))
+    return _pair_table(long, names, name, value, "covariance", lambda at, i, j, n: _centred_sum(at, i, j, n) / (n - 1))
 
 
 def correlation_matrix(long: DataFrame, names: Sequence[str], name: str = "factor", value: str = "ret") -> DataFrame:
     """Complete-case correlations as (row_name, col_name, correlation)."""
-    n = F.col("n")
-    cov = F.col("s") - F.col("si") * F.col("sj") / n
-    sd = F.sqrt((F.col("qi") - F.col("si") ** 2 / n) * (F.col("qj") - F.col("sj") ** 2 / n))
-    return _pair_table(long, names, name, value, "correlation", F.when(sd > 0, cov / sd))
+
+    def entry(at, i: Column, j: Column, n: Column) -> Column:
+        sd = F.sqrt(_centred_sum(at, i, i, n) * _centred_sum(at, j, j, n))
+        return F.when(sd > 0, _centred_sum(at, i, j, n) / sd)
+
+    return _pair_table(long, names, name, value, "correlation", entry)
 
 
 def mean_variance(long: DataFrame, name: str = "factor", value: str = "ret") -> DataFrame:

@@ -12,6 +12,10 @@ one window task does not scale.  The plan has three steps:
 3. a running count over what is left picks the exact order statistics.
 
 Smaller groups skip the bracket.  The result is exact in both cases.
+
+The group statistics of step 1 are written before step 2, so the planner knows their
+true size: a small table is broadcast and the rows are not shuffled by group at all,
+a large one (very many groups) gets a shuffled join.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from crosspanel.session import stage_table
+
 
 @dataclass(frozen=True)
 class Quantile:
@@ -64,7 +70,7 @@ def grouped_quantiles(
         F.percentile_approx("_v", F.array(*[F.lit(p) for p in points]), F.lit(accuracy)).alias("_b"),
     )
     big = F.col("_n") > direct_limit
-    stats = stats.select(*keys, "_n", F.when(big, F.col("_b")).alias("_b"))
+    stats = stage_table(stats.select(*keys, "_n", F.when(big, F.col("_b")).alias("_b")), "groups")
 
     joined = rows.join(stats, keys)
     bounds = F.col("_b")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from crosspanel.functions.scalars import orient
 from crosspanel.operators.quantiles import Quantile, grouped_quantiles
+from crosspanel.session import stage_table
 
 SIX = ("SL", "SM", "SH", "BL", "BM", "BH")
 TAILS = ("L", "H")
@@ -148,4 +149,5 @@ def wide_breakpoints(
     picks = [
         F.max(F.when(F.col("sid") == name, F.col(q.name))).alias(f"{name}_{q.name}") for name in samples for q in qs
     ]
-    return bp.groupBy(date).agg(*picks)
+    # One row per date; written so that joining it back is a broadcast by known size.
+    return stage_table(bp.groupBy(date).agg(*picks), "breakpoints")
