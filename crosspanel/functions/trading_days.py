@@ -12,7 +12,7 @@ AD_HOC_CLOSURES = (
 
 
 def easter_sunday(year: Column) -> Column:
-    """Gregorian Easter by the anonymous (Meeus/Jones/Butcher) computus."""
+    """Gregorian Easter by the anonymous computus in its 1961 form."""
     a = year % 19
     b, c = F.floor(year / 100), year % 100
     d, e = F.floor(b / 4), b % 4
@@ -21,8 +21,8 @@ def easter_sunday(year: Column) -> Column:
     i, k = F.floor(c / 4), c % 4
     el = (32 + 2 * e + 2 * i - h - k) % 7
     m = F.floor((a + 11 * h + 19 * el) / 433)
-    n = h + el - 7 * m + 90
-    month = F.floor(n / 25)
+    n = h + el - 7 * m
+    month = F.floor((n + 90) / 25)
     day = (n + 33 * month + 19) % 32
     return F.make_date(year, month.cast("int"), day.cast("int"))
 
