@@ -36,10 +36,31 @@ def all_factors(t: Tables):
 ORACLES["f38_all_factors"] = _BUNDLE
 
 
+START, END = "1999-01-01", "2000-12-31"
+
+
+def _windowed(key: str) -> str:
+    """The factor's SQL with inputs cut at its own warm-up and output at the window."""
+    warm = 13 if REGISTRY[key].chain == "monthly" and key != "mom36m" else REGISTRY[key].warm_months
+
+    def since(column: str, months: int) -> str:
+        return f"{column} BETWEEN DATE '{START}' - INTERVAL {months} MONTH AND DATE '{END}'"
+
+    sql = factor_sql(key).replace("WHERE shrcd IN (10, 11)", f"WHERE {since('mthcaldt', warm)} AND shrcd IN (10, 11)")
+    sql = sql.replace("FROM t_annual) x) y", f"FROM t_annual WHERE {since('datadate', warm + 36)}) x) y")
+    return f"SELECT * FROM ({sql}) w WHERE date BETWEEN DATE '{START}' AND DATE '{END}'"
+
+
 @query("f38_all_factors_windowed")
 def all_factors_windowed(t: Tables):
     """Every factor over a date window, each with its own warm-up history."""
-    return build_factors(t.base, start="1999-01-01", end="2000-12-31")
+    return build_factors(t.base, start=START, end=END)
+
+
+ORACLES["f38_all_factors_windowed"] = "SELECT date, {} FROM {}".format(
+    ", ".join(f'"{n}"' for n in _NAMES),
+    " FULL JOIN ".join(f"({_windowed(k)}) f{i}" + ("" if i == 0 else " USING (date)") for i, k in enumerate(ALL_KEYS)),
+)
 
 
 _LEGACY_SOURCE = """

