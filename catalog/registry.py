@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from catalog.sql_tables import with_tables
 from crosspanel.plans.extracts import BaseTables, extract_base, staged_raw
 from crosspanel.plans.factors import with_panel
-from crosspanel.session import stage_table
+from crosspanel.session import stage_tables
 from crosspanel.sources.derived import RawTables, raw_tables, read_table
 from crosspanel.sources.research import ResearchTables, research_tables
 
@@ -37,12 +37,8 @@ class Tables:
     @cached_property
     def research(self) -> ResearchTables:
         r = research_tables(self.spark, self.sf_dir)
-        return replace(
-            r,
-            factors=stage_table(r.factors, "factors"),
-            factors_open=stage_table(r.factors_open, "factors-open"),
-            assets=stage_table(r.assets, "assets"),
-        )
+        factors, factors_open, assets = stage_tables(factors=r.factors, factors_open=r.factors_open, assets=r.assets)
+        return replace(r, factors=factors, factors_open=factors_open, assets=assets)
 
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}

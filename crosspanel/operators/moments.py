@@ -95,7 +95,7 @@ def _centred_sum(at, i: Column, j: Column, n: Column) -> Column:
 
 def covariance_matrix(long: DataFrame, names: Sequence[str], name: str = "factor", value: str = "ret") -> DataFrame:
     """Complete-case sample covariances as (row_name, col_name, covariance)."""
-    return _pair_table(long, names, name, value, "covariance", lambda at, i, j, n: _centred_sum(at, i, j, n) / (n - 1))
+    return _pair_table(long, names, name, value, "covariance", lambda at, i, j, n: F.try_divide(_centred_sum(at, i, j, n), n - 1))
 
 
 def correlation_matrix(long: DataFrame, names: Sequence[str], name: str = "factor", value: str = "ret") -> DataFrame:
@@ -167,7 +167,7 @@ def fold_asset_covariances(assets: DataFrame, wide: DataFrame, folds: DataFrame,
     )
 
     def side(n: str, r: str, rf: str, f: str) -> Column:
-        cov = F.zip_with(rf, f, lambda x, y: (x - F.col(r) * y / F.col(n)) / (F.col(n) - 1))
-        return F.concat(F.array(F.col(r) / F.col(n)), cov)
+        cov = F.zip_with(rf, f, lambda x, y: F.try_divide(x - F.try_divide(F.col(r) * y, F.col(n)), F.col(n) - 1))
+        return F.concat(F.array(F.try_divide(r, n)), cov)
 
     return d.select("asset", "seed", "fold", side("n2", "r2", "rf2", "f2").alias("train"), side("n", "r", "rf", "f").alias("test"))

@@ -48,7 +48,7 @@ def drawdown_path(returns: DataFrame, keys: Sequence[str], ret: str = "ret", dat
     w = by_entity(list(keys), date)
     d = returns.withColumn("cumulative", cumulative_product(1.0 + F.col(ret), w))
     d = d.withColumn("running_max", running_max(F.col("cumulative"), w))
-    return d.withColumn("drawdown", (F.col("running_max") - F.col("cumulative")) / F.col("running_max"))
+    return d.withColumn("drawdown", F.try_divide(F.col("running_max") - F.col("cumulative"), F.col("running_max")))
 
 
 def backtest(returns: DataFrame, rf: DataFrame, periods: Sequence[tuple[str, str | None, str | None]] = FULL_SAMPLE, name: str = "factor", ret: str = "ret") -> DataFrame:
@@ -111,12 +111,12 @@ def single_index(pairs: DataFrame, by: Sequence[str], y: str = "y", x: str = "x"
         F.regr_syy(F.col(y), F.col(x)).alias("_syy"),
         F.regr_sxy(F.col(y), F.col(x)).alias("_sxy"),
     ).where(F.col("n") > 2)
-    beta = F.col("_sxy") / F.col("_sxx")
+    beta = F.try_divide("_sxy", "_sxx")
     m = m.withColumn("beta", beta).withColumn("alpha", F.col("_my") - F.col("beta") * F.col("_mx"))
     mse = (F.col("_syy") - F.col("beta") * F.col("_sxy")) / (F.col("n") - 2)
     centre, scale = (F.col("_mx"), F.col("_sxx")) if textbook_se else (F.col("_my"), F.col("_syy"))
-    m = m.withColumn("se_beta", F.sqrt(mse / F.col("_sxx")))
-    m = m.withColumn("se_alpha", F.sqrt(mse * (1.0 / F.col("n") + centre * centre / scale)))
+    m = m.withColumn("se_beta", F.sqrt(F.try_divide(mse, F.col("_sxx"))))
+    m = m.withColumn("se_alpha", F.sqrt(mse * (1.0 / F.col("n") + F.try_divide(centre * centre, scale))))
     m = m.withColumn("t_alpha", F.when(F.col("se_alpha") > 0, F.col("alpha") / F.col("se_alpha")))
     m = m.withColumn("t_beta", F.when(F.col("se_beta") > 0, F.col("beta") / F.col("se_beta")))
     return m.select(
@@ -125,7 +125,7 @@ def single_index(pairs: DataFrame, by: Sequence[str], y: str = "y", x: str = "x"
         "alpha",
         (F.col("alpha") * 12).alias("alpha_annualized"),
         "beta",
-        (F.col("_sxy") * F.col("_sxy") / (F.col("_sxx") * F.col("_syy"))).alias("r_squared"),
+        F.try_divide(F.col("_sxy") * F.col("_sxy"), F.col("_sxx") * F.col("_syy")).alias("r_squared"),
         "se_alpha",
         "se_beta",
         "t_alpha",
@@ -166,4 +166,4 @@ def cumulative_log_path(returns: DataFrame, keys: Sequence[str], ret: str = "ret
 def series_average_test(returns: DataFrame, name: str = "factor", ret: str = "ret") -> DataFrame:
     """Mean and its t-statistic."""
     m = returns.groupBy(name).agg(F.avg(ret).alias("avg"), F.stddev_samp(ret).alias("_s"), F.count(ret).alias("n"))
-    return m.select(name, "avg", (F.col("avg") / F.col("_s") * F.sqrt(F.col("n"))).alias("tstat_avg"))
+    return m.select(name, "avg", (F.try_divide("avg", "_s") * F.sqrt(F.col("n"))).alias("tstat_avg"))

@@ -104,10 +104,10 @@ def penalty_loadings(inputs: SelectionInputs) -> DataFrame:
     var_h = F.element_at("var_h", c("k") + 1)
     cells = inputs.asset_cov.select(F.posexplode("cov_h").alias("k", "cov")).groupBy("k").agg(F.avg(c("cov") ** 2).alias("q"))
     d = cells.withColumn("_k", F.lit(1)).join(inputs.moments.select("var_h", F.lit(1).alias("_k")), "_k")
-    d = d.withColumn("raw", c("q") / var_h**2)
+    d = d.withColumn("raw", F.try_divide(c("q"), var_h**2))
     mean = d.agg(F.avg("raw").alias("mean"), F.lit(1).alias("_k"))
     labels = F.array(*[F.lit(h) for h in inputs.controls])
-    return d.join(mean, "_k").select(F.element_at(labels, c("k") + 1).alias("factor"), (c("raw") / c("mean")).alias("penalty"))
+    return d.join(mean, "_k").select(F.element_at(labels, c("k") + 1).alias("factor"), F.try_divide("raw", "mean").alias("penalty"))
 
 
 def assign_folds(dates: DataFrame, seeds: Sequence[int], folds: int = FOLDS) -> DataFrame:
@@ -302,11 +302,11 @@ def estimate(inputs: SelectionInputs, chosen: DataFrame, keys: Sequence[str] = (
         F.avg(u * q).alias("mb"),
     )
     sigma = c("zz") / c("months")
-    avar = c("mzz") / (sigma * sigma) / c("months")
+    avar = F.try_divide(c("mzz"), sigma * sigma) / c("months")
     a = a.withColumn("se", F.sqrt(avar / c("months")))
     alt = F.sqrt((c("inv_g") + c("alt") - c("mb") ** 2) / c("months"))
     return a.select(
-        *keys, "months", "lambdag", "se", (c("lambdag") / c("se")).alias("tstat"), "gamma", alt.alias("se_alt"), "intercept"
+        *keys, "months", "lambdag", "se", F.try_divide("lambdag", "se").alias("tstat"), "gamma", alt.alias("se_alt"), "intercept"
     )
 
 

@@ -10,7 +10,7 @@ from crosspanel.functions.dates import fiscal_june, month_key
 from crosspanel.functions.scalars import book_equity, current_ratio, industry_code
 from crosspanel.operators.joins import asof_join, interval_join, link_join, usable_links
 from crosspanel.operators.rows import keep_last
-from crosspanel.session import stage_table
+from crosspanel.session import stage_tables
 from crosspanel.sources.derived import RawTables, raw_tables
 
 ANNUAL_ITEMS = [
@@ -147,13 +147,12 @@ def base_tables(spark: SparkSession, sf_dir: str) -> BaseTables:
 
 def staged_raw(raw: RawTables) -> RawTables:
     """Write the aggregated inputs once; all extracts then read those."""
-    return replace(
-        raw, msf=stage_table(raw.msf, "msf"), funda=stage_table(raw.funda, "funda"), fundq=stage_table(raw.fundq, "fundq")
-    )
+    msf, funda, fundq = stage_tables(msf=raw.msf, funda=raw.funda, fundq=raw.fundq)
+    return replace(raw, msf=msf, funda=funda, fundq=fundq)
 
 
 def extract_base(raw: RawTables) -> BaseTables:
-    monthly = stage_table(monthly_extract(raw), "monthly")
-    annual = stage_table(annual_extract(raw), "annual")
-    quarterly = stage_table(quarterly_extract(raw), "quarterly")
-    return BaseTables(monthly, annual, quarterly)
+    """Run the three extracts on given inputs."""
+    return BaseTables(
+        *stage_tables(monthly=monthly_extract(raw), annual=annual_extract(raw), quarterly=quarterly_extract(raw))
+    )

@@ -33,7 +33,7 @@ from crosspanel.operators.sorts import (
     wide_breakpoints,
 )
 from crosspanel.plans.extracts import BaseTables
-from crosspanel.session import stage_table
+from crosspanel.session import stage_table, together
 from crosspanel.plans.market import june_rows, liquidity_panel, market_panel, momentum_panel
 
 HML, LMH = "high_minus_low", "low_minus_high"
@@ -423,6 +423,29 @@ def _annual_window(base: BaseTables, start: str | None, end: str | None, months:
     return a
 
 
+def _chain(base: BaseTables, kind: str, warm: int, specs: list[FactorSpec], start: str | None, end: str | None) -> DataFrame:
+    """Portfolio returns of the specs that share a chain and a warm-up length."""
+    if kind in ("monthly_liquidity", "monthly_turnover"):
+        return monthly_chain(liquidity_panel(base.monthly, start, end, 13, exchange_screen=kind == "monthly_liquidity"), specs)
+    if start is None and end is None and base.panel is not None:
+        panel = base.panel
+    else:
+        panel = stage_table(market_panel(base.monthly, start, end, warm), "panel")
+    if kind == "june":
+        return june_chain(replace(base, annual=_annual_window(base, None, end, warm, "jdate_ltrd")), specs, start, end, panel)
+    if kind == "event":
+        return event_chain(panel, _annual_window(base, start, end, warm + 36, "datadate"), specs)
+    if kind == "monthly_momentum":
+        return monthly_chain(momentum_panel(panel), specs)
+    frame = panel
+    if any(s.key == "mom6m" for s in specs):
+        frame = momentum_panel(frame)
+    if any(s.key == "sgr" for s in specs):
+        sgr = _annual_window(base, start, end, warm, "jdate_ltrd").where(c("sgr").isNotNull())
+        frame = frame.join(sgr.select("permno", F.year("jdate_ltrd").alias("ffyear"), "sgr"), ["permno", "ffyear"], "left")
+    return tails_chain(frame, specs)
+
+
 def build_factors(
     base: BaseTables,
     keys: Iterable[str] | None = None,
@@ -434,6 +457,7 @@ def build_factors(
 
     With a start date each factor sees only its own warm-up history, so specs are
     grouped by warm-up length; without one, all specs of a chain share one panel.
+    The chains are independent and their staging jobs overlap.
     """
     registry = registry or REGISTRY
     specs = [registry[k] for k in (keys if keys is not None else sorted(registry))]
@@ -441,33 +465,8 @@ def build_factors(
     for s in specs:
         kind = s.chain if s.chain != "monthly" else f"monthly_{s.frame}"
         groups.setdefault((kind, s.warm_months if start is not None else 0), []).append(s)
-    parts: list[DataFrame] = []
-    for (kind, warm), members in groups.items():
-        if kind in ("monthly_liquidity", "monthly_turnover"):
-            frame = liquidity_panel(base.monthly, start, end, 13, exchange_screen=kind == "monthly_liquidity")
-            parts.append(monthly_chain(frame, members))
-            continue
-        if start is None and end is None and base.panel is not None:
-            panel = base.panel
-        else:
-            panel = stage_table(market_panel(base.monthly, start, end, warm), "panel")
-        if kind == "june":
-            windowed = replace(base, annual=_annual_window(base, None, end, warm, "jdate_ltrd"))
-            parts.append(june_chain(windowed, members, start, end, panel))
-        elif kind == "event":
-            annual = _annual_window(base, start, end, warm + 36, "datadate")
-            parts.append(event_chain(panel, annual, members))
-        elif kind == "monthly_momentum":
-            parts.append(monthly_chain(momentum_panel(panel), members))
-        else:
-            frame = panel
-            if any(s.key == "mom6m" for s in members):
-                frame = momentum_panel(frame)
-            if any(s.key == "sgr" for s in members):
-                sgr = _annual_window(base, start, end, warm, "jdate_ltrd").where(c("sgr").isNotNull())
-                sgr = sgr.select("permno", F.year("jdate_ltrd").alias("ffyear"), "sgr")
-                frame = frame.join(sgr, ["permno", "ffyear"], "left")
-            parts.append(tails_chain(frame, members))
+    chains = [lambda k=kind, w=warm, m=members: _chain(base, k, w, m, start, end) for (kind, warm), members in groups.items()]
+    parts = together(base.monthly.sparkSession, chains)
     returns = parts[0]
     for p in parts[1:]:
         returns = returns.unionByName(p, allowMissingColumns=True)

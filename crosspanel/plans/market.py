@@ -70,7 +70,7 @@ def add_weights(df: DataFrame) -> DataFrame:
     d = d.withColumn("_lcum", F.lag("cumretx").over(w))
     d = d.withColumn(
         "lme",
-        F.when(F.row_number().over(w) == 1, F.col("me") / F.col("_gross")).otherwise(F.lag("me").over(w)),
+        F.when(F.row_number().over(w) == 1, F.try_divide("me", "_gross")).otherwise(F.lag("me").over(w)),
     )
     july = F.max(F.when(F.col("ffmonth") == 1, F.col("lme"))).over(whole_year)
     december = F.max(F.when(F.month("jdate") == 12, F.col("me"))).over(whole_year)

@@ -46,7 +46,7 @@ def normalise_types(df: DataFrame, schema: T.StructType) -> DataFrame:
         if isinstance(want, T.DateType):
             return F.try_to_timestamp(F.substring(F.col(name).cast("string"), 1, 10), F.lit("yyyy-MM-dd")).cast("date").alias(name)
         if isinstance(want, (T.LongType, T.IntegerType)) and isinstance(have, T.StringType):
-            return F.col(name).try_cast("double").cast(want).alias(name)
+            return F.col(name).try_cast("double").try_cast(want).alias(name)
         return F.col(name).try_cast(want).alias(name)
 
     return df.select(*[coerce(f.name, f.dataType) for f in df.schema.fields])

@@ -5,10 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
@@ -81,6 +87,21 @@ def stage_table(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(spark: SparkSession, tasks: Sequence[Callable[[], T]]) -> list[T]:
+    """Run independent Spark actions from a few threads, so their jobs overlap."""
+    if len(tasks) < 2:
+        return [t() for t in tasks]
+    with ThreadPoolExecutor(max_workers=min(len(tasks), 6)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(t)) for t in tasks]
+        return [r.result() for r in running]
+
+
+def stage_tables(**frames: DataFrame) -> list[DataFrame]:
+    """Stage several independent frames at the same time, labelled by argument name."""
+    spark = next(iter(frames.values())).sparkSession
+    return together(spark, [lambda d=d, n=n: stage_table(d, n) for n, d in frames.items()])
+
+
 def _stage_root(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/staged-tables"
 

@@ -43,9 +43,9 @@ def monthly_file(months: DataFrame) -> DataFrame:
     """Base monthly file: returns, shares, price (negative marks a quote midpoint)."""
     w = Window.partitionBy("permno").orderBy("ym")
     before = F.lag("cents").over(w)
-    ret = (F.col("cents") - before).cast("double") / (10 * (F.col("cents") + before)).cast("double")
+    ret = F.try_divide((F.col("cents") - before).cast("double"), (10 * (F.col("cents") + before)).cast("double"))
     number = F.year("ym") * 12 + F.month("ym")
-    price = F.col("cents").cast("double") / (F.col("shares") * 100).cast("double")
+    price = F.try_divide(F.col("cents").cast("double"), (F.col("shares") * 100).cast("double"))
     flag = (F.col("permno") + number) % 7 == 0
     return months.select(
         "permno",

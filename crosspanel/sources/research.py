@@ -15,7 +15,7 @@ from crosspanel.sources.derived import _cents, read_table, security_months
 
 
 def bounded_change(now: Column, before: Column) -> Column:
-    return (now - before).cast("double") / (10 * (now + before)).cast("double")
+    return F.try_divide((now - before).cast("double"), (10 * (now + before)).cast("double"))
 
 
 def risk_free(calendar: DataFrame) -> DataFrame:

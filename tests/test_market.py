@@ -86,3 +86,14 @@ def test_labels_partition_the_valid_names(base):
     assert set(n.values()) <= {0, 1}
     valid = june.where(F.col("v_saleinv").isNotNull() & (F.col("me") > 0)).count()
     assert labels.where(F.size("labels") == 1).count() == valid
+
+
+def test_zero_denominators_give_null_not_errors(spark):
+    # A total loss in the first month and a zero price stay in the panel as missing.
+    rows = [(1, 1, month_end(0), "N", -1.0, -1.0, 10.0, 5.0), (1, 1, month_end(1), "N", 0.0, 0.0, 10.0, 0.0), (1, 1, month_end(2), "N", 0.0, 0.0, 0.0, 5.0)]
+    out = M.market_panel(spark.createDataFrame(rows, SCHEMA)).orderBy("jdate").collect()
+    assert out[0].lme is None and out[1].me == 0.0
+    d = spark.createDataFrame(rows, SCHEMA).withColumn("vol", F.lit(3.0)).withColumn("exchcd", F.lit(3))
+    liq = M.liquidity_panel(d).orderBy("jdate").collect()
+    assert [r.turnover is None for r in liq] == [False, False, True]
+    assert [r.ldolvol is None for r in liq] == [False, True, False]
