@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from catalog.registry import Tables, query
+from catalog.sql_factors import labelled_june
 from crosspanel.functions import dates as D, scalars as S
 from crosspanel.functions.frames import by_entity, cumulative_product, rolling
 from crosspanel.operators import joins as J, rows as R, sorts as P
-from crosspanel.plans import extracts as X, market as M
-from crosspanel.plans.factors import payer_events, quarterly_characteristics
+from crosspanel.plans import extracts as X, factors as FA, market as M
+from crosspanel.plans.factors import REGISTRY, payer_events, quarterly_characteristics
 from crosspanel.plans.legacy import company_book_equity
 from crosspanel.schemas import ANNUAL, QUARTERLY, SECURITY_MONTH, normalise_types, require_columns
+from crosspanel.session import stage_table
 from crosspanel.sources.store import ScanRequest, scan
 
 c = F.col
@@ -287,6 +289,25 @@ def j10(t: Tables) -> DataFrame:
     return t.base.panel.select("permno", "jdate", "mebase", "wt")
 
 
+_SORTED = """SELECT p.*, s.med, b.q30, b.q70 FROM t_panel p LEFT JOIN (SELECT jdate, median(me) AS med FROM t_panel WHERE primaryexch = 'N' AND me > 0 GROUP BY 1) s USING (jdate)
+  LEFT JOIN (SELECT jdate, max(v) FILTER (WHERE rn = round_even((n - 1) * 0.3::DOUBLE, 0) + 1) AS q30, max(v) FILTER (WHERE rn = round_even((n - 1) * 0.7::DOUBLE, 0) + 1) AS q70
+  FROM (SELECT jdate, prc AS v, row_number() OVER (PARTITION BY jdate ORDER BY prc) AS rn, count(*) OVER (PARTITION BY jdate) AS n FROM t_panel WHERE primaryexch = 'N') r GROUP BY 1) b USING (jdate)"""
+
+
+@query("j11_breakpoint_join", f"SELECT permno, jdate, med, q30, q70 FROM ({_SORTED}) x", "med q30 q70", 4)
+def j11(t: Tables) -> DataFrame:
+    return _sorted_panel(t).select("permno", "jdate", c("size_med").alias("med"), c("prc_q30").alias("q30"), c("prc_q70").alias("q70"))
+
+
+@query("j12_labels_held_a_year", f"SELECT p.permno, p.jdate, l.port FROM t_panel p LEFT JOIN ({labelled_june('saleinv')}) l ON p.permno = l.permno AND p.ffyear = l.ffyear")
+def j12(t: Tables) -> DataFrame:
+    spec = REGISTRY["saleinv"]
+    june = FA.june_frame(t.base, t.base.panel.withColumn("first_month", F.lit(None).cast("int")), [spec])
+    labels = FA.june_labels(stage_table(june, "june"), [spec]).drop("jdate")
+    held = t.base.panel.select("permno", "ffyear", "jdate").join(labels, ["permno", "ffyear"], "left")
+    return held.select("permno", "jdate", F.get("labels", F.lit(0))["port"].alias("port"))
+
+
 @query("j17_reindex", "SELECT k.date, x.n FROM t_calendar k LEFT JOIN (SELECT jdate AS date, count(*) AS n FROM t_june GROUP BY 1) x USING (date)")
 def j17(t: Tables) -> DataFrame:
     counts = M.june_rows(t.base.panel).groupBy(c("jdate").alias("date")).agg(F.count(F.lit(1)).alias("n"))
@@ -346,11 +367,6 @@ def _sorted_panel(t: Tables) -> DataFrame:
     return d.join(bp, "jdate", "left")
 
 
-_SORTED = """SELECT p.*, s.med, b.q30, b.q70 FROM t_panel p LEFT JOIN (SELECT jdate, median(me) AS med FROM t_panel WHERE primaryexch = 'N' AND me > 0 GROUP BY 1) s USING (jdate)
-  LEFT JOIN (SELECT jdate, max(v) FILTER (WHERE rn = round_even((n - 1) * 0.3::DOUBLE, 0) + 1) AS q30, max(v) FILTER (WHERE rn = round_even((n - 1) * 0.7::DOUBLE, 0) + 1) AS q70
-  FROM (SELECT jdate, prc AS v, row_number() OVER (PARTITION BY jdate ORDER BY prc) AS rn, count(*) OVER (PARTITION BY jdate) AS n FROM t_panel WHERE primaryexch = 'N') r GROUP BY 1) b USING (jdate)"""
-
-
 @query("a05_assign_2x3", f"""SELECT permno, jdate, CASE WHEN me <= med THEN 'S' WHEN me > med THEN 'B' END AS szport,
   CASE WHEN prc <= q30 THEN 'L' WHEN prc <= q70 THEN 'M' WHEN prc > q70 THEN 'H' END AS chport FROM ({_SORTED}) x""")
 def a05(t: Tables) -> DataFrame:
@@ -398,10 +414,8 @@ def a10(t: Tables) -> DataFrame:
 @query("a12_industry_demeaned", """SELECT permno, ym, sale - median(sale) OVER (PARTITION BY jdate_ltrd, floor(sic / 100)) AS sale_ia, emp - median(emp) OVER (PARTITION BY jdate_ltrd, floor(sic / 100)) AS emp_ia
   FROM t_annual WHERE sic IS NOT NULL UNION ALL SELECT permno, ym, NULL, NULL FROM t_annual WHERE sic IS NULL""", "sale_ia emp_ia", 4)
 def a12(t: Tables) -> DataFrame:
-    from crosspanel.plans.factors import demean_by_industry
-
     d = t.base.annual.select("permno", "ym", "jdate_ltrd", "sic", c("sale").alias("sale_ia"), c("emp").alias("emp_ia"))
-    return demean_by_industry(d, ["sale_ia", "emp_ia"], date="jdate_ltrd").select("permno", "ym", "sale_ia", "emp_ia")
+    return FA.demean_by_industry(d, ["sale_ia", "emp_ia"], date="jdate_ltrd").select("permno", "ym", "sale_ia", "emp_ia")
 
 
 @query("a13_month_calendar", "SELECT max(l_shipdate::DATE) AS date FROM lineitem GROUP BY date_trunc('month', l_shipdate)")
@@ -438,6 +452,16 @@ def w02(t: Tables) -> DataFrame:
     return X.annual_anchors(t.raw).select("permno", "ym", "datadate", "gvkey")
 
 
+@query("w03_asof_pick", """SELECT permno, ym, rdq, datadate FROM (SELECT m.permno, m.ym, q.rdq, q.datadate, row_number() OVER (PARTITION BY m.permno, m.ym ORDER BY q.rdq DESC, q.datadate DESC) AS rn
+  FROM t_msf m JOIN (SELECT gvkey::BIGINT AS permno, rdq, datadate FROM t_fundq WHERE rdq IS NOT NULL) q ON q.permno = m.permno AND q.rdq BETWEEN m.mthcaldt - 200 AND m.mthcaldt) x WHERE rn = 1""")
+def w03(t: Tables) -> DataFrame:
+    """Ranked pick among the reports of the last 200 days."""
+    q = t.raw.fundq.where(c("rdq").isNotNull()).select(c("gvkey").cast("long").alias("permno"), "rdq", "datadate")
+    m = t.raw.msf.select("permno", "ym", "mthcaldt")
+    near = m.join(q, "permno").where(c("rdq").between(F.date_sub("mthcaldt", 200), c("mthcaldt")))
+    return R.keep_last(near.drop("mthcaldt"), ["permno", "ym"], ["rdq", "datadate"])
+
+
 @query("w04_keep_last", "SELECT o_custkey, o_orderdate::DATE AS d, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) x WHERE rn = 1")
 def w04(t: Tables) -> DataFrame:
     d = t.read("orders").select("o_custkey", c("o_orderdate").cast("date").alias("d"), "o_orderkey")

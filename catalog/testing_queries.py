@@ -95,6 +95,56 @@ def e07(t: Tables) -> DataFrame:
     return DS.all_controls(x).select("test", "months", "lambdag", "se", "tstat", "gamma", "intercept")
 
 
+def _residual_chain(source: str, basis: list[str], rest: list[str], centred: bool) -> str:
+    """Nested SELECTs that sweep ``basis`` out of ``rest`` one column at a time."""
+    left, sql = list(basis), source
+    while left:
+        b, left = left[0], left[1:]
+
+        def coef(x: str) -> str:
+            if centred:
+                return f"(covar_pop({x}, {b}) OVER () / var_pop({b}) OVER ())"
+            return f"(sum({x} * {b}) OVER () / sum({b} * {b}) OVER ())"
+
+        swept = ", ".join(f"{x} - {coef(x)} * {b} AS {x}" for x in [*left, *rest])
+        sql = f"SELECT key, {swept} FROM ({sql}) s_{b}"
+    return sql
+
+
+def _price_tables(tag: str, controls: list[str]) -> None:
+    """Wide tables of one problem: dates, complete assets and asset covariances."""
+    names = [*controls, *TESTS]
+    wide = ", ".join(f"max(ret) FILTER (WHERE factor = '{n}') AS {n}" for n in names)
+    listed = ", ".join(f"'{n}'" for n in names)
+    table(f"t_{tag}_dates", f"SELECT date AS key, {wide} FROM t_factors WHERE factor IN ({listed}) GROUP BY 1 HAVING count(*) = {len(names)}")
+    inside = f"date IN (SELECT key FROM t_{tag}_dates)"
+    table(f"t_{tag}_assets", f"SELECT * FROM t_assets WHERE {inside} AND asset IN (SELECT asset FROM t_assets WHERE {inside} GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM t_{tag}_dates))")
+    covs = ", ".join(f"covar_samp(a.ret, d.{n}) AS {n}" for n in names)
+    table(f"t_{tag}_cov", f"SELECT a.asset AS key, avg(a.ret) AS er, {covs} FROM t_{tag}_assets a JOIN t_{tag}_dates d ON a.date = d.key GROUP BY 1")
+
+
+def _price_of(tag: str, regressors: list[str], which: str) -> str:
+    """Coefficient of one regressor after sweeping out all others."""
+    others = [r for r in regressors if r != which]
+    chain = _residual_chain(f"SELECT key, er, {', '.join(regressors)} FROM t_{tag}_cov", others, [which, "er"], True)
+    return f"(SELECT covar_pop({which}, er) / var_pop({which}) FROM ({chain}) c)"
+
+
+_price_tables("three", THREE)
+_price_tables("every", CONTROLS)
+
+
+def _three_factor_sql(g: str) -> str:
+    regs = [*THREE, g]
+    lam = ", ".join(f"{_price_of('three', regs, r)} AS l_{r}" for r in regs)
+    z = _residual_chain(f"SELECT key, {', '.join(regs)} FROM t_three_dates", THREE, [g], False)
+    price = " + ".join(f"l_{r} * d.{r}" for r in regs)
+    return f"""SELECT '{g}' AS test, months, lambdag, sqrt(mzz / (zz / months) ** 2 / months / months) AS se,
+  lambdag / sqrt(mzz / (zz / months) ** 2 / months / months) AS tstat, vg * lambdag AS gamma FROM (
+  SELECT count(*) AS months, any_value(l_{g}) AS lambdag, var_pop(d.{g}) AS vg, sum(z.{g} ** 2) AS zz, sum((1 - ({price})) ** 2 * z.{g} ** 2) AS mzz
+  FROM t_three_dates d JOIN ({z}) z ON d.key = z.key, (SELECT {lam}) l) x"""
+
+
 @query("e10_double_selection")
 def e10(t: Tables) -> DataFrame:
     x = inputs(t)
@@ -112,9 +162,16 @@ def e12(t: Tables) -> DataFrame:
     return DS.all_controls(inputs(t))
 
 
-@query("e14_three_factor_control")
+@query("e12_no_selection_price", " UNION ALL ".join(
+    f"SELECT '{g}' AS test, {_price_of('every', [*CONTROLS, g], g)} AS lambdag, (SELECT var_pop({g}) FROM t_every_dates) * {_price_of('every', [*CONTROLS, g], g)} AS gamma" for g in TESTS
+), "lambdag gamma", 5)
+def e12_price(t: Tables) -> DataFrame:
+    return DS.all_controls(inputs(t)).select("test", "lambdag", "gamma")
+
+
+@query("e14_three_factor_control", " UNION ALL ".join(_three_factor_sql(g) for g in TESTS), "lambdag se tstat gamma", 5)
 def e14(t: Tables) -> DataFrame:
-    return DS.all_controls(inputs(t, THREE))
+    return DS.all_controls(inputs(t, THREE)).select("test", "months", "lambdag", "se", "tstat", "gamma")
 
 
 @query("e16_cross_validated_selection")
