@@ -43,13 +43,16 @@ def with_exchange_letter(df: DataFrame) -> DataFrame:
 def collapse_companies(df: DataFrame, date: str = "jdate") -> DataFrame:
     """Keep a company's largest security and give it the company's total equity.
 
-    The second join key includes the equity itself, so the rows of one very large
-    company spread over partitions instead of landing in a single task.  Securities
-    tied for the maximum all stay.
+    Exact copies of a row become one row with a count first, by partial aggregation,
+    so they never travel; each copy still counts in the total.  The second join key
+    includes the equity itself, so the rows of one very large company spread over
+    partitions instead of landing in a single task.  Securities tied for the maximum
+    all stay.
     """
-    totals = df.groupBy(date, "permco").agg(F.sum("me").alias("_sum"), F.max("me").alias("me"))
-    largest = df.join(totals, [date, "permco", "me"]).dropDuplicates()
-    return largest.withColumn("me", F.col("_sum")).drop("_sum")
+    unique = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    totals = unique.groupBy(date, "permco").agg(F.sum(F.col("me") * F.col("_copies")).alias("_sum"), F.max("me").alias("me"))
+    largest = unique.join(totals, [date, "permco", "me"])
+    return largest.withColumn("me", F.col("_sum")).drop("_sum", "_copies")
 
 
 def add_weights(df: DataFrame) -> DataFrame:
@@ -66,12 +69,13 @@ def add_weights(df: DataFrame) -> DataFrame:
     w = by_entity("permno", "jdate")
     in_year = by_entity(["permno", "ffyear"], "jdate")
     whole_year = Window.partitionBy("permno", "ffyear")
-    d = d.withColumn("cumretx", cumulative_product(F.col("_gross"), in_year))
-    d = d.withColumn("_lcum", F.lag("cumretx").over(w))
+    # The security window comes first: its partitioning also serves the year windows.
     d = d.withColumn(
         "lme",
         F.when(F.row_number().over(w) == 1, F.try_divide("me", "_gross")).otherwise(F.lag("me").over(w)),
     )
+    d = d.withColumn("cumretx", cumulative_product(F.col("_gross"), in_year))
+    d = d.withColumn("_lcum", F.lag("cumretx").over(w))
     july = F.max(F.when(F.col("ffmonth") == 1, F.col("lme"))).over(whole_year)
     december = F.max(F.when(F.month("jdate") == 12, F.col("me"))).over(whole_year)
     return (
