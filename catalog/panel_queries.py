@@ -363,7 +363,7 @@ def a04(t: Tables) -> DataFrame:
 
 def _sorted_panel(t: Tables) -> DataFrame:
     d = t.base.panel.select("permno", "jdate", "primaryexch", "me", "prc", "mthret", "wt", "ffmonth")
-    bp = P.wide_breakpoints(d, {"size": ((c("primaryexch") == "N") & (c("me") > 0), c("me")), "prc": (c("primaryexch") == "N", c("prc"))})
+    bp = P.wide_breakpoints(d, {"size": ((c("primaryexch") == "N") & (c("me") > 0), c("me")), "prc": (c("primaryexch") == "N", c("prc"))}, medians=["size"])
     return d.join(bp, "jdate", "left")
 
 

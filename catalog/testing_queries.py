@@ -200,7 +200,7 @@ def e19(t: Tables) -> DataFrame:
     names = DS.component_names(len(CONTROLS))
     rotated = DS.stage_table(DS.rotate_controls(t.research.factors, CONTROLS, TESTS), "rotated")
     x = DS.prepare(rotated, t.research.assets, names, TESTS)
-    return DS.double_selection(x, DS.constant_tuning(x, 1e-4, 1e-5))
+    return DS.double_selection(x, DS.constant_tuning(x, 1e-6, 1e-7))
 
 
 @query("e20_elastic_net")

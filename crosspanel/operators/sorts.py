@@ -131,15 +131,16 @@ def small_minus_big() -> Column:
 
 
 def wide_breakpoints(
-    df: DataFrame, samples: Mapping[str, tuple[Column, Column]], date: str = "jdate", quantiles: Sequence[Quantile] | None = None
+    df: DataFrame, samples: Mapping[str, tuple[Column, Column]], date: str = "jdate", medians: Sequence[str] = ()
 ) -> DataFrame:
     """Breakpoints of many samples in one pass: one row per date.
 
     ``samples`` maps a sample name to (row condition, value).  The samples of a row
     are exploded next to each other, so all of them share one scan and two shuffles.
-    Output columns are ``<sample>_<quantile>``.
+    Output columns are ``<sample>_q30`` and ``<sample>_q70``, or ``<sample>_med`` for the
+    samples named in ``medians``.
     """
-    qs = list(quantiles or (*NEAREST_30_70, Quantile("med", 0.5, "linear")))
+    qs = [*NEAREST_30_70, Quantile("med", 0.5, "linear")]
     entries = [
         F.struct(F.lit(name).alias("sid"), F.when(cond, value.cast("double")).alias("v"))
         for name, (cond, value) in samples.items()
@@ -147,7 +148,9 @@ def wide_breakpoints(
     long = df.select(date, F.explode(F.array(*entries)).alias("_e")).select(date, "_e.sid", "_e.v")
     bp = grouped_quantiles(long, ["sid", date], "v", qs)
     picks = [
-        F.max(F.when(F.col("sid") == name, F.col(q.name))).alias(f"{name}_{q.name}") for name in samples for q in qs
+        F.max(F.when(F.col("sid") == name, F.col(q.name))).alias(f"{name}_{q.name}")
+        for name in samples
+        for q in (qs[2:] if name in medians else qs[:2])
     ]
     # One row per date; written so that joining it back is a broadcast by known size.
     return stage_table(bp.groupBy(date).agg(*picks), "breakpoints")

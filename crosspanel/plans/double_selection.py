@@ -53,9 +53,8 @@ def prepare(factors: DataFrame, assets: DataFrame, controls: Sequence[str], test
     full = stage_table(complete_series(assets, calendar, "asset"), "assets")
     cov = stage_table(asset_covariances(full, wide.join(calendar, "date", "left_semi"), controls, tests), "cov")
     vec = F.concat(F.array("er"), F.col("cov_h"), F.col("cov_g")).alias("v")
-    var_h = wide.agg(F.array(*[F.var_pop(h) for h in controls]).alias("var_h"))
-    moments = gram_rows(cov.select(vec), [], "v", "m").withColumn("_k", F.lit(1))
-    moments = moments.join(var_h.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    var_h = wide.agg(F.array(*[F.var_pop(h) for h in controls])).scalar()
+    moments = gram_rows(cov.select(vec), [], "v", "m").select("m", var_h.alias("var_h"))
     each = F.explode(F.array(*[F.struct(F.lit(g).alias("test"), F.col(g).alias("g")) for g in tests])).alias("_e")
     series = wide.select("date", vector(controls).alias("h"), each).select(c("_e.test"), "date", c("_e.g"), "h")
     complete = F.col("g").isNotNull() & ~F.exists("h", lambda x: x.isNull())
@@ -85,9 +84,8 @@ def run_jobs(jobs: DataFrame, keys: Sequence[str], fn: Callable[[pd.Series], dic
 
 
 def with_moments(inputs: SelectionInputs, jobs: DataFrame) -> DataFrame:
-    """Attach the single moments row to every job."""
-    one = F.lit(1)
-    return jobs.withColumn("_k", one).join(inputs.moments.withColumn("_k", one), "_k").drop("_k")
+    """Attach the shared moments (one row of p x p size) to every job."""
+    return jobs.select("*", *[inputs.moments.select(x).scalar().alias(x) for x in ("m", "var_h")])
 
 
 def test_rows(inputs: SelectionInputs) -> DataFrame:
@@ -101,13 +99,12 @@ def test_rows(inputs: SelectionInputs) -> DataFrame:
 
 def penalty_loadings(inputs: SelectionInputs) -> DataFrame:
     """(factor, penalty): mean squared univariate beta over assets, scaled to mean 1."""
-    var_h = F.element_at("var_h", c("k") + 1)
     cells = inputs.asset_cov.select(F.posexplode("cov_h").alias("k", "cov")).groupBy("k").agg(F.avg(c("cov") ** 2).alias("q"))
-    d = cells.withColumn("_k", F.lit(1)).join(inputs.moments.select("var_h", F.lit(1).alias("_k")), "_k")
-    d = d.withColumn("raw", F.try_divide(c("q"), var_h**2))
-    mean = d.agg(F.avg("raw").alias("mean"), F.lit(1).alias("_k"))
+    d = cells.withColumn("var_h", inputs.moments.select("var_h").scalar())
+    d = d.select("k", F.try_divide(c("q"), F.element_at("var_h", c("k") + 1) ** 2).alias("raw"))
+    mean = d.agg(F.avg("raw")).scalar()
     labels = F.array(*[F.lit(h) for h in inputs.controls])
-    return d.join(mean, "_k").select(F.element_at(labels, c("k") + 1).alias("factor"), F.try_divide("raw", "mean").alias("penalty"))
+    return d.select(F.element_at(labels, c("k") + 1).alias("factor"), F.try_divide(c("raw"), mean).alias("penalty"))
 
 
 def assign_folds(dates: DataFrame, seeds: Sequence[int], folds: int = FOLDS) -> DataFrame:
@@ -389,7 +386,7 @@ def rotate_controls(factors: DataFrame, controls: Sequence[str], tests: Sequence
         return {"load": (vec / np.sqrt(value)).T.tolist()}
 
     load = run_jobs(moments, ["k"], components, "k int, load array<array<double>>")
-    d = complete.withColumn("k", F.lit(1)).join(load, "k")
+    d = complete.withColumn("load", load.select("load").scalar())
     scores = d.select("date", F.posexplode(F.transform("load", lambda v: dot(v, c("h")))).alias("i", "ret"))
     labels = F.concat(F.lit("PC"), (c("i") + 1).cast("string"))
     rotated = scores.select(labels.alias("factor"), "date", "ret")

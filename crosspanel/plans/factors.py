@@ -119,7 +119,7 @@ _june("salecash", lambda: safe_ratio(c("sale"), c("che")), HML)
 _june("salerec", lambda: safe_ratio(c("sale"), c("rect")), HML)
 _june("acc", lambda: safe_ratio(c("ib") - c("oancf"), (c("at") + c("lag_at")) / 2.0), LMH)
 _june("lev_2x3", lambda: safe_ratio(c("ltq") * 1000.0, c("me")), HML, out="lev", frame="quarterly")
-_june("pps", lambda: 1.0 / c("prc"), HML, frame="price")
+_june("pps", lambda: safe_ratio(F.lit(1.0), c("prc")), HML, frame="price")
 _june("cashdebt", lambda: safe_ratio(c("ttm_ibq") + c("ttm_dpq"), (c("ltq") + c("ltq_l4")) / 2.0), HML, frame="quarterly")
 _june("depr", lambda: safe_ratio(c("ttm_dpq"), c("ppentq")), HML, frame="quarterly")
 _june(
@@ -266,7 +266,7 @@ def june_labels(june: DataFrame, specs: Sequence[FactorSpec]) -> DataFrame:
         samples[s.key] = (cond & nyse, c(f"v_{s.key}"))
         if s.fallback:
             samples[f"all_{s.key}"] = (cond, c(f"v_{s.key}"))
-    bp = wide_breakpoints(june, samples)
+    bp = wide_breakpoints(june, samples, medians=[n for n in samples if n.startswith("size_")])
     d = june.join(bp, "jdate", "left")
     labels = []
     for s in specs:
@@ -368,7 +368,8 @@ def monthly_chain(frame: DataFrame, specs: Sequence[FactorSpec]) -> DataFrame:
         samples[f"size_{s.key}"] = (member(s) & nyse & (c("me") > 0), c("me"))
         positive = F.lit(True) if s.frame == "turnover" else c("me") > 0
         samples[s.key] = (member(s) & nyse & positive, c(f"v_{s.key}"))
-    d = d.join(wide_breakpoints(d, samples), "jdate", "left")
+    bp = wide_breakpoints(d, samples, medians=[f"size_{s.key}" for s in specs])
+    d = d.join(bp, "jdate", "left")
     labels = []
     for s in specs:
         ok = member(s) & (c("me").isNotNull() if s.frame == "turnover" else c("me") > 0)

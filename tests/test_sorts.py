@@ -34,7 +34,7 @@ def test_breakpoints_and_labels(snapshot):
 
 def test_wide_breakpoints_match_single_samples(snapshot):
     nyse = F.col("primaryexch") == "N"
-    wide = {r.jdate: r for r in P.wide_breakpoints(snapshot, {"size": (nyse, F.col("me")), "bm": (nyse, F.col("beme"))}).collect()}
+    wide = {r.jdate: r for r in P.wide_breakpoints(snapshot, {"size": (nyse, F.col("me")), "bm": (nyse, F.col("beme"))}, medians=["size"]).collect()}
     assert wide[JULY].size_med == 85.0 and wide[JUNE].bm_q30 == 0.5 and wide[JULY].bm_q70 == 0.6
 
 
