@@ -23,7 +23,7 @@ FENCE = 3
 MIN_ROWS = 100
 
 #: Ratio, its least spread and whether too small a value counts as well.
-RATIOS = {"symbols": (200, False), "word_length": (100, True), "dup_lines": (1000, False), "repeats": (1000, False)}
+RATIOS = {"symbols": (200, False), "word_length": (100, True), "dup_lines": (5000, False), "repeats": (2500, False)}
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -193,7 +193,7 @@ fence AS (
   SELECT o.lang, o.source, o.ratio,
     CASE WHEN o.n >= 100 THEN o.q1 WHEN l.n >= 100 THEN l.q1 ELSE a.q1 END AS q1,
     CASE WHEN o.n >= 100 THEN o.q3 WHEN l.n >= 100 THEN l.q3 ELSE a.q3 END AS q3,
-    CASE o.ratio WHEN 'symbols_ratio' THEN 200 WHEN 'word_length_ratio' THEN 100 ELSE 1000 END AS spread
+    CASE o.ratio WHEN 'symbols_ratio' THEN 200 WHEN 'word_length_ratio' THEN 100 WHEN 'dup_lines_ratio' THEN 5000 ELSE 2500 END AS spread
   FROM q o JOIN q l ON l.level = 2 AND l.ratio = o.ratio AND l.lang IS NOT DISTINCT FROM o.lang JOIN q a ON a.level = 3 AND a.ratio = o.ratio
   WHERE o.level = 1),
 bad AS (
