@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crosspanel.llm import langid, pieces, pii, quality, secrets, winnow
+from crosspanel.llm import jaccard, langid, pieces, pii, quality, repeats, secrets, winnow
 from crosspanel.llm.frames import read_input
 
 VOCABULARY_KEY = "spark.crosspanel.vocabulary"
@@ -46,12 +46,20 @@ def op7_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(langid.fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read_input(spark, sf_dir, "documents"))
+
+
+def op9_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.remove_repeats(read_input(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op10_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_input(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.span_digests(secrets.find_secrets(docs, secrets.fit(docs)).drop("text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_feistel_pseudonyms, op2_sentencepiece, op3_adaptive_quality, op5_winnowing, op7_string_kernel, op10_secret_grammar)
+    f.__name__: f for f in (op1_feistel_pseudonyms, op2_sentencepiece, op3_adaptive_quality, op5_winnowing, op7_string_kernel, op8_parity_sketch_join, op9_radix_repeats, op10_secret_grammar)
 }
-ORACLES: dict[str, str] = {"op3_adaptive_quality": quality.ORACLE, "op5_winnowing": winnow.ORACLE}
+ORACLES: dict[str, str] = {"op3_adaptive_quality": quality.ORACLE, "op5_winnowing": winnow.ORACLE, "op8_parity_sketch_join": jaccard.ORACLE}
