@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crosspanel.llm import jaccard, langid, pieces, pii, quality, repeats, secrets, winnow
+from crosspanel.llm import jaccard, langid, licences, pieces, pii, quality, repeats, secrets, warc, winnow
 from crosspanel.llm.frames import read_input
 
 VOCABULARY_KEY = "spark.crosspanel.vocabulary"
@@ -37,10 +37,19 @@ def op3_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(read_input(spark, sf_dir, "documents"))
 
 
+def op4_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_input(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs, licences.fit(docs))
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.digests(winnow.decontaminate(read_input(spark, sf_dir, "documents"), read_input(spark, sf_dir, "benchmark")))
 
 
+def op6_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(spark, read_input(spark, sf_dir, "pages"))
+
+
 def op7_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.identify(read_input(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", F.coalesce(langid.fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
@@ -60,6 +69,6 @@ def op10_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_feistel_pseudonyms, op2_sentencepiece, op3_adaptive_quality, op5_winnowing, op7_string_kernel, op8_parity_sketch_join, op9_radix_repeats, op10_secret_grammar)
+    f.__name__: f for f in (op1_feistel_pseudonyms, op2_sentencepiece, op3_adaptive_quality, op4_licence_classifier, op5_winnowing, op6_warc_source, op7_string_kernel, op8_parity_sketch_join, op9_radix_repeats, op10_secret_grammar)
 }
-ORACLES: dict[str, str] = {"op3_adaptive_quality": quality.ORACLE, "op5_winnowing": winnow.ORACLE, "op8_parity_sketch_join": jaccard.ORACLE}
+ORACLES: dict[str, str] = {"op3_adaptive_quality": quality.ORACLE, "op5_winnowing": winnow.ORACLE, "op6_warc_source": warc.ORACLE, "op8_parity_sketch_join": jaccard.ORACLE}
