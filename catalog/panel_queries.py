@@ -322,6 +322,22 @@ def j18(t: Tables) -> DataFrame:
     return M.collapse_companies(d)
 
 
+_UNPRICED = "CASE WHEN permno % 2 = 0 OR (permno + month(mthcaldt)) % 5 = 0 THEN NULL ELSE mthprc END"
+
+
+@query("j18_unpriced_companies", f"""SELECT r.permno, r.permco, r.jdate, coalesce(s.total, 0) AS me
+  FROM (SELECT permno, permco, mthcaldt AS jdate, abs({_UNPRICED}) * shrout AS me FROM t_monthly WHERE shrcd IN (10, 11) AND exchcd IN (1, 2, 3)) r
+  JOIN (SELECT permco, mthcaldt AS jdate, sum(abs({_UNPRICED}) * shrout) AS total, max(abs({_UNPRICED}) * shrout) AS most FROM t_monthly WHERE shrcd IN (10, 11) AND exchcd IN (1, 2, 3) GROUP BY 1, 2) s
+  ON r.permco = s.permco AND r.jdate = s.jdate WHERE r.me IS NOT DISTINCT FROM s.most""", "me", 4)
+def j18_unpriced(t: Tables) -> DataFrame:
+    """Companies keep their row in a month in which none of their securities has a price."""
+    unpriced = (c("permno") % 2 == 0) | ((c("permno") + F.month("mthcaldt")) % 5 == 0)
+    d = M.common_share_universe(t.base.monthly.withColumn("mthprc", F.when(~unpriced, c("mthprc")))).select(
+        "permno", "permco", c("mthcaldt").alias("jdate"), S.market_equity(c("mthprc"), c("shrout")).alias("me")
+    )
+    return M.collapse_companies(d)
+
+
 @query("j19_fallback_breakpoints", """SELECT a.jdate, coalesce(n.q30, a.q30) AS q30, coalesce(n.q70, a.q70) AS q70 FROM
   (SELECT jdate, max(v) FILTER (WHERE rn = round_even((n - 1) * 0.3::DOUBLE, 0) + 1) AS q30, max(v) FILTER (WHERE rn = round_even((n - 1) * 0.7::DOUBLE, 0) + 1) AS q70
    FROM (SELECT jdate, prc AS v, row_number() OVER (PARTITION BY jdate ORDER BY prc) AS rn, count(*) OVER (PARTITION BY jdate) AS n FROM t_panel) r GROUP BY 1) a LEFT JOIN
@@ -452,14 +468,13 @@ def w02(t: Tables) -> DataFrame:
     return X.annual_anchors(t.raw).select("permno", "ym", "datadate", "gvkey")
 
 
-@query("w03_asof_pick", """SELECT permno, ym, rdq, datadate FROM (SELECT m.permno, m.ym, q.rdq, q.datadate, row_number() OVER (PARTITION BY m.permno, m.ym ORDER BY q.rdq DESC, q.datadate DESC) AS rn
-  FROM t_msf m JOIN (SELECT gvkey::BIGINT AS permno, rdq, datadate FROM t_fundq WHERE rdq IS NOT NULL) q ON q.permno = m.permno AND q.rdq BETWEEN m.mthcaldt - 200 AND m.mthcaldt) x WHERE rn = 1""")
+@query("w03_asof_pick", """SELECT m.permno, m.ym, q.rdq, q.datadate FROM t_msf m
+  ASOF JOIN (SELECT gvkey::BIGINT AS permno, rdq, max(datadate) AS datadate FROM t_fundq WHERE rdq IS NOT NULL GROUP BY 1, 2) q ON q.permno = m.permno AND m.mthcaldt >= q.rdq""")
 def w03(t: Tables) -> DataFrame:
-    """Ranked pick among the reports of the last 200 days."""
+    """Latest report known at the trading date, however old."""
     q = t.raw.fundq.where(c("rdq").isNotNull()).select(c("gvkey").cast("long").alias("permno"), "rdq", "datadate")
     m = t.raw.msf.select("permno", "ym", "mthcaldt")
-    near = m.join(q, "permno").where(c("rdq").between(F.date_sub("mthcaldt", 200), c("mthcaldt")))
-    return R.keep_last(near.drop("mthcaldt"), ["permno", "ym"], ["rdq", "datadate"])
+    return J.asof_join(m, q, ["permno"], "mthcaldt", "rdq", ["datadate"], ["rdq", "datadate"]).select("permno", "ym", "rdq", "datadate")
 
 
 @query("w04_keep_last", "SELECT o_custkey, o_orderdate::DATE AS d, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) x WHERE rn = 1")

@@ -281,23 +281,24 @@ def _folder(t: Tables, label: str) -> str:
     return f"{ensure_checkpoint_dir(t.spark)}/{label}-{uuid.uuid4().hex}"
 
 
-_SOME = BRANDS[:4]
-_LONG4 = "SELECT date, factor, ret AS value FROM t_factors WHERE factor IN ('Brand1', 'Brand2', 'Brand3', 'Brand4')"
+# Files hold every series on every date, missing values included.
+_LONG = """SELECT date, factor, ret AS value FROM ((SELECT DISTINCT date FROM t_factors) d CROSS JOIN (SELECT DISTINCT factor FROM t_factors) f)
+  LEFT JOIN t_factors USING (date, factor)"""
 
 
-def _wide4(t: Tables) -> DataFrame:
-    return J.merge_series(t.research.factors, _SOME, value="ret")
+def _wide(t: Tables) -> DataFrame:
+    return J.merge_series(t.research.factors, BRANDS, value="ret")
 
 
-@query("s15_embedded_table", _LONG4, "value")
+@query("s15_embedded_table", _LONG, "value")
 def s15(t: Tables) -> DataFrame:
     """A data table between prose and a second table; only the first is read."""
-    data = _wide4(t).select(
-        F.concat_ws(",", F.date_format("date", "yyyyMMdd"), *[c(b).cast("string") for b in _SOME]).alias("line"),
+    data = _wide(t).select(
+        F.concat_ws(",", F.date_format("date", "yyyyMMdd"), *[F.coalesce(c(b).cast("string"), F.lit("")) for b in BRANDS]).alias("line"),
         (F.lit(10) + F.datediff("date", F.lit("1990-01-01").cast("date"))).alias("n"),
     )
     prose = t.spark.createDataFrame(
-        [(0, "Monthly series, see notes"), (1, ""), (2, "Date,Brand1,Brand2,Brand3,Brand4"), (10**6, ""), (10**6 + 1, " Annual, Brand1"), (10**6 + 2, "1999,1.0")],
+        [(0, "Monthly series, see notes"), (1, ""), (2, ",".join(["Date", *BRANDS])), (10**6, ""), (10**6 + 1, " Annual, Brand1"), (10**6 + 2, "1999,1.0")],
         "n int, line string",
     )
     path = _folder(t, "embedded")
@@ -329,21 +330,21 @@ def s17(t: Tables) -> DataFrame:
 
 def _factor_file(t: Tables) -> str:
     path = _folder(t, "factor-file")
-    wide = _wide4(t).join(t.research.rf, "date").select("date", "rf", *_SOME, (c("rf") * 1.0).alias("RF_"))
-    wide.toDF("date", "rate", *_SOME, "RF").write.csv(path, header=True)
+    wide = _wide(t).join(t.research.rf, "date").select("date", "rf", *BRANDS, (c("rf") * 1.0).alias("RF_"))
+    wide.toDF("date", "rate", *BRANDS, "RF").write.csv(path, header=True)
     return path
 
 
-@query("s18_factor_csv", f"{_LONG4} UNION ALL SELECT date, 'rf', rf FROM t_rf WHERE date > (SELECT min(date) FROM t_dates)", "value")
+@query("s18_factor_csv", f"{_LONG} UNION ALL SELECT date, 'rf', rf FROM t_rf WHERE date > (SELECT min(date) FROM t_dates)", "value")
 def s18(t: Tables) -> DataFrame:
     long, rf = FI.read_factor_csv(t.spark, _factor_file(t))
     return long.unionByName(rf.select("date", F.lit("rf").alias("factor"), c("rf").alias("value")))
 
 
-@query("s19_gather_files", _LONG4, "value")
+@query("s19_gather_files", _LONG, "value")
 def s19(t: Tables) -> DataFrame:
-    wide, paths = _wide4(t), []
-    for names in (_SOME[:1], _SOME[1:2], _SOME[2:]):
+    wide, paths = _wide(t), []
+    for names in (BRANDS[:1], BRANDS[1:2], BRANDS[2:]):
         path = _folder(t, "gather")
         bad = t.spark.createDataFrame([("not a date",)], "Date string")
         wide.select(c("date").cast("string").alias("Date"), *names).unionByName(bad, allowMissingColumns=True).write.csv(path, header=True)
@@ -351,11 +352,11 @@ def s19(t: Tables) -> DataFrame:
     return FI.gather_factor_files(t.spark, paths)
 
 
-@query("s20_csv_sink", f"SELECT date, {_A3} FROM t_factors GROUP BY 1", "Brand1 Brand2 Brand3")
+@query("s20_csv_sink", f"SELECT date, {_PIVOT} FROM t_factors GROUP BY 1", " ".join(BRANDS))
 def s20(t: Tables) -> DataFrame:
     path = _folder(t, "sink")
-    FI.write_factor_csv(J.merge_series(t.research.factors, BRANDS[:3], value="ret"), path, single_file=True)
-    return t.spark.read.schema("date date, Brand1 double, Brand2 double, Brand3 double").csv(path, header=True)
+    FI.write_factor_csv(_wide(t), path, single_file=True)
+    return t.spark.read.schema("date date, " + ", ".join(f"{b} double" for b in BRANDS)).csv(path, header=True)
 
 
 # --- partitioned store ---------------------------------------------------------------------

@@ -281,7 +281,7 @@ ALL_KEYS = [*JUNE, *MONTHLY, "mom6m", "sgr", "divi", "divo"]
 
 table("t_flag_rows", """
 SELECT permno, permco, last_day(mthcaldt)::DATE AS jdate, primaryexch, coalesce(mthret, 0) AS mthret,
-  coalesce(mthretx, 0) AS mthretx, abs(mthprc) * shrout AS me
+  coalesce(mthretx, 0) AS mthretx, mthprc * shrout AS me
 FROM t_msf WHERE sharetype = 'NS' AND securitytype = 'EQTY' AND securitysubtype = 'COM' AND usincflg = 'Y'
   AND issuertype IN ('ACOR', 'CORP') AND primaryexch IN ('N', 'A', 'Q') AND conditionaltype = 'RW' AND tradingstatusflg = 'A'
 """)

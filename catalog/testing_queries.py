@@ -21,15 +21,22 @@ def inputs(t: Tables, controls=CONTROLS, tests=TESTS) -> DS.SelectionInputs:
     cache = t.__dict__.setdefault("_selection", {})
     key = (tuple(controls), tuple(tests))
     if key not in cache:
-        cache[key] = DS.prepare(t.research.factors, t.research.assets, controls, tests)
+        cache[key] = DS.prepare(tested_factors(t), t.research.assets, controls, tests)
     return cache[key]
 
 
-_ALL = ", ".join(f"'{b}'" for b in CONTROLS + TESTS)
-table("t_full_dates", f"SELECT date FROM t_factors WHERE factor IN ({_ALL}) GROUP BY 1 HAVING count(*) = {len(CONTROLS + TESTS)}")
-table("t_full_assets", "SELECT * FROM t_assets WHERE date IN (SELECT date FROM t_full_dates) AND asset IN (SELECT asset FROM t_assets WHERE date IN (SELECT date FROM t_full_dates) GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM t_full_dates))")
-table("t_cov", "SELECT a.asset, f.factor, covar_samp(a.ret, f.ret) AS cov FROM t_full_assets a JOIN t_factors f USING (date) GROUP BY 1, 2")
+def tested_factors(t: Tables) -> DataFrame:
+    """The factors, the last test factor with a short history of its own."""
+    return t.research.factors.where(~((c("factor") == "Brand25") & (c("date") < F.lit("1995-01-01").cast("date"))))
+
+
 _H = ", ".join(f"'{b}'" for b in CONTROLS)
+_G = ", ".join(f"'{b}'" for b in TESTS)
+table("t_sel", "SELECT * FROM t_factors WHERE NOT (factor = 'Brand25' AND date < DATE '1995-01-01')")
+table("t_asset_months", "SELECT date FROM t_assets GROUP BY 1 HAVING count(ret) = (SELECT count(DISTINCT asset) FROM t_assets)")
+table("t_h_dates", f"SELECT date FROM t_sel WHERE factor IN ({_H}) GROUP BY 1 HAVING count(*) = {len(CONTROLS)}")
+table("t_cov", f"""SELECT a.asset, f.factor, covar_samp(a.ret, f.ret) AS cov FROM t_assets a JOIN t_sel f USING (date)
+  WHERE date IN (SELECT date FROM t_asset_months) AND (factor IN ({_G}) OR factor IN ({_H}) AND date IN (SELECT date FROM t_h_dates)) GROUP BY 1, 2""")
 
 
 @query("e01_asset_factor_covariances", "SELECT asset, factor, cov FROM t_cov", "cov", 10)
@@ -73,13 +80,12 @@ def e06(t: Tables) -> DataFrame:
 
 # One control: the price regression has two regressors and a closed form.
 table("t_two", """SELECT er.asset, er, h.cov AS ch, g.cov AS cg FROM
-  (SELECT asset, avg(ret) AS er FROM t_two_assets GROUP BY 1) er
-  JOIN (SELECT a.asset, covar_samp(a.ret, f.ret) AS cov FROM t_two_assets a JOIN t_factors f USING (date) WHERE f.factor = 'Brand1' GROUP BY 1) h USING (asset)
-  JOIN (SELECT a.asset, covar_samp(a.ret, f.ret) AS cov FROM t_two_assets a JOIN t_factors f USING (date) WHERE f.factor = 'Brand22' GROUP BY 1) g USING (asset)""")
-table("t_two_dates", "SELECT date, max(ret) FILTER (WHERE factor = 'Brand1') AS h, max(ret) FILTER (WHERE factor = 'Brand22') AS g FROM t_factors WHERE factor IN ('Brand1', 'Brand22') GROUP BY 1 HAVING count(*) = 2")
-table("t_two_assets", "SELECT * FROM t_assets WHERE date IN (SELECT date FROM t_two_dates) AND asset IN (SELECT asset FROM t_assets WHERE date IN (SELECT date FROM t_two_dates) GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM t_two_dates))")
+  (SELECT asset, avg(ret) AS er FROM t_assets GROUP BY 1) er
+  JOIN (SELECT a.asset, covar_samp(a.ret, f.ret) AS cov FROM t_assets a JOIN t_sel f USING (date) WHERE f.factor = 'Brand1' AND date IN (SELECT date FROM t_asset_months) GROUP BY 1) h USING (asset)
+  JOIN (SELECT a.asset, covar_samp(a.ret, f.ret) AS cov FROM t_assets a JOIN t_sel f USING (date) WHERE f.factor = 'Brand25' AND date IN (SELECT date FROM t_asset_months) GROUP BY 1) g USING (asset)""")
+table("t_two_dates", "SELECT date, max(ret) FILTER (WHERE factor = 'Brand1') AS h, max(ret) FILTER (WHERE factor = 'Brand25') AS g FROM t_sel WHERE factor IN ('Brand1', 'Brand25') GROUP BY 1 HAVING count(*) = 2")
 _TWO_SQL = """
-SELECT 'Brand22' AS test, months, lg AS lambdag, sqrt(mzz / (zz / months) ** 2 / months / months) AS se,
+SELECT 'Brand25' AS test, months, lg AS lambdag, sqrt(mzz / (zz / months) ** 2 / months / months) AS se,
   lg / sqrt(mzz / (zz / months) ** 2 / months / months) AS tstat, vg * lg AS gamma, er - lg * mcg - lh * mch AS intercept FROM (
   SELECT count(*) AS months, any_value(lg) AS lg, any_value(lh) AS lh, any_value(er) AS er, any_value(mcg) AS mcg, any_value(mch) AS mch, var_pop(g) AS vg,
     sum((g - b * h) ** 2) AS zz, sum((1 - lg * g - lh * h) ** 2 * (g - b * h) ** 2) AS mzz
@@ -91,7 +97,7 @@ SELECT 'Brand22' AS test, months, lg AS lambdag, sqrt(mzz / (zz / months) ** 2 /
 
 @query("e07_e09_one_control_price", _TWO_SQL, "lambdag se tstat gamma intercept", 5)
 def e07(t: Tables) -> DataFrame:
-    x = inputs(t, ["Brand1"], ["Brand22"])
+    x = inputs(t, ["Brand1"], ["Brand25"])
     return DS.all_controls(x).select("test", "months", "lambdag", "se", "tstat", "gamma", "intercept")
 
 
@@ -112,15 +118,16 @@ def _residual_chain(source: str, basis: list[str], rest: list[str], centred: boo
 
 
 def _price_tables(tag: str, controls: list[str]) -> None:
-    """Wide tables of one problem: dates, complete assets and asset covariances."""
+    """Wide tables of one problem: dates with all controls, and asset covariances."""
     names = [*controls, *TESTS]
     wide = ", ".join(f"max(ret) FILTER (WHERE factor = '{n}') AS {n}" for n in names)
-    listed = ", ".join(f"'{n}'" for n in names)
-    table(f"t_{tag}_dates", f"SELECT date AS key, {wide} FROM t_factors WHERE factor IN ({listed}) GROUP BY 1 HAVING count(*) = {len(names)}")
-    inside = f"date IN (SELECT key FROM t_{tag}_dates)"
-    table(f"t_{tag}_assets", f"SELECT * FROM t_assets WHERE {inside} AND asset IN (SELECT asset FROM t_assets WHERE {inside} GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM t_{tag}_dates))")
-    covs = ", ".join(f"covar_samp(a.ret, d.{n}) AS {n}" for n in names)
-    table(f"t_{tag}_cov", f"SELECT a.asset AS key, avg(a.ret) AS er, {covs} FROM t_{tag}_assets a JOIN t_{tag}_dates d ON a.date = d.key GROUP BY 1")
+    listed, held = ", ".join(f"'{n}'" for n in names), ", ".join(f"'{n}'" for n in controls)
+    table(f"t_{tag}_wide", f"SELECT date AS key, {wide}, count(*) FILTER (WHERE factor IN ({held})) = {len(controls)} AS whole FROM t_sel WHERE factor IN ({listed}) GROUP BY 1")
+    table(f"t_{tag}_dates", f"SELECT * FROM t_{tag}_wide WHERE whole")
+    covs = ", ".join(f"covar_samp(a.ret, CASE WHEN d.whole THEN d.{n} END) AS {n}" for n in controls)
+    covs += ", " + ", ".join(f"covar_samp(a.ret, d.{n}) AS {n}" for n in TESTS)
+    table(f"t_{tag}_cov", f"""SELECT asset AS key, er, c.* EXCLUDE asset FROM (SELECT asset, avg(ret) AS er FROM t_assets GROUP BY 1) e
+      JOIN (SELECT a.asset, {covs} FROM t_assets a JOIN t_{tag}_wide d ON a.date = d.key WHERE a.date IN (SELECT date FROM t_asset_months) GROUP BY 1) c USING (asset)""")
 
 
 def _price_of(tag: str, regressors: list[str], which: str) -> str:
@@ -137,7 +144,7 @@ _price_tables("every", CONTROLS)
 def _three_factor_sql(g: str) -> str:
     regs = [*THREE, g]
     lam = ", ".join(f"{_price_of('three', regs, r)} AS l_{r}" for r in regs)
-    z = _residual_chain(f"SELECT key, {', '.join(regs)} FROM t_three_dates", THREE, [g], False)
+    z = _residual_chain(f"SELECT key, {', '.join(regs)} FROM t_three_dates WHERE {g} IS NOT NULL", THREE, [g], False)
     price = " + ".join(f"l_{r} * d.{r}" for r in regs)
     return f"""SELECT '{g}' AS test, months, lambdag, sqrt(mzz / (zz / months) ** 2 / months / months) AS se,
   lambdag / sqrt(mzz / (zz / months) ** 2 / months / months) AS tstat, vg * lambdag AS gamma FROM (
@@ -211,11 +218,14 @@ def e20(t: Tables) -> DataFrame:
 
 @query("e21_alternative_assets")
 def e21(t: Tables) -> DataFrame:
-    """Only assets of portfolio blocks with enough stocks."""
-    ids = t.research.metadata.where(c("min_stk6") >= 10).select(c("position").cast("long").alias("position"))
-    a = t.research.assets.withColumn("position", c("block") % 25 + 1).join(ids, "position", "left_semi")
-    x = DS.prepare(t.research.factors, a.drop("position"), THREE, TESTS)
-    return DS.all_controls(x)
+    """Double selection with all controls on two further asset sets, by least stocks of a block."""
+    out = []
+    for least in (10, 15):
+        ids = t.research.metadata.where(c("min_stk6") >= least).select(c("position").cast("long").alias("position"))
+        a = t.research.assets.withColumn("position", c("block") % 25 + 1).join(ids, "position", "left_semi")
+        x = DS.prepare(tested_factors(t), a.drop("position"), CONTROLS, TESTS)
+        out.append(DS.double_selection(x, DS.constant_tuning(x, LAMBDA1, LAMBDA2)).withColumn("min_stocks", F.lit(least)))
+    return out[0].unionByName(out[1])
 
 
 @query("e22_stepwise_selection")

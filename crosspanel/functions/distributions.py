@@ -24,8 +24,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return h
+            return h
+    raise ArithmeticError("the continued fraction doesn't converge")
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:

@@ -21,7 +21,7 @@ def lasso_path(g: np.ndarray, c: np.ndarray, lambdas: np.ndarray, alpha: float =
 
     Cyclic coordinate descent with warm starts; after each sweep the active set is
     solved directly, which is exact as soon as signs and optimality conditions hold.
-    Returns one column of coefficients per lambda.
+    Returns one column of coefficients per lambda, and raises when one isn't solved.
     """
     p = len(c)
     b, r = np.zeros(p), c.astype(float).copy()
@@ -60,6 +60,8 @@ def lasso_path(g: np.ndarray, c: np.ndarray, lambdas: np.ndarray, alpha: float =
                 if slack.size == 0 or slack.max() <= l1 + tol * scale:
                     b, r = full, rest
                     break
+        else:
+            raise ArithmeticError(f"lasso at penalty {lam:g} is not solved after {max_sweeps} sweeps")
         out[:, k] = b
     return out
 

@@ -12,14 +12,14 @@ plain aggregate.  Array layouts, with index 0 the constant:
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crosspanel.functions import linear as L
-from crosspanel.operators.compare import complete_series
 from crosspanel.operators.moments import asset_covariances, fold_asset_covariances, gram_rows, vector, wide_series
 from crosspanel.operators.performance import series_average_test
 from crosspanel.session import stage_table
@@ -35,33 +35,69 @@ def penalty_grid(size: int = GRID_SIZE) -> np.ndarray:
 
 @dataclass(frozen=True)
 class SelectionInputs:
-    """Moments of one (assets, controls, tests) problem, each written once."""
+    """Moments of one (assets, controls, tests) problem, each written once.
+
+    ``months`` are the dates on which every asset has a return.
+    """
 
     controls: tuple[str, ...]
     tests: tuple[str, ...]
     assets: DataFrame
+    months: DataFrame
     wide: DataFrame
     series: DataFrame
     asset_cov: DataFrame
     moments: DataFrame
 
 
+def complete_months(assets: DataFrame) -> DataFrame:
+    """Dates on which every asset of the table has a return."""
+    known = assets.where(c("ret").isNotNull())
+    every = known.agg(F.countDistinct("asset")).scalar()
+    return known.groupBy("date").agg(F.countDistinct("asset").alias("n")).where(c("n") == every).select("date")
+
+
 def prepare(factors: DataFrame, assets: DataFrame, controls: Sequence[str], tests: Sequence[str]) -> SelectionInputs:
-    """Restrict to complete assets and aggregate everything the tests share."""
+    """Aggregate everything the tests share; no test's dates depend on another test.
+
+    Every asset stays: its mean return covers all its own months.  Covariances use the
+    months on which all assets have a return, for the controls those on which all controls
+    exist, for a test factor its own.
+    """
     wide = stage_table(wide_series(factors, [*controls, *tests]), "wide")
-    calendar = wide.dropna(how="any").select("date")
-    full = stage_table(complete_series(assets, calendar, "asset"), "assets")
-    cov = stage_table(asset_covariances(full, wide.join(calendar, "date", "left_semi"), controls, tests), "cov")
-    vec = F.concat(F.array("er"), F.col("cov_h"), F.col("cov_g")).alias("v")
-    var_h = wide.agg(F.array(*[F.var_pop(h) for h in controls])).scalar()
-    moments = gram_rows(cov.select(vec), [], "v", "m").select("m", var_h.alias("var_h"))
+    full = stage_table(assets.select("asset", "date", "ret").where(c("ret").isNotNull()), "assets")
+    months = stage_table(complete_months(full), "months")
+    cov = stage_table(asset_covariances(full, wide.join(months, "date", "left_semi"), controls, tests), "cov")
     each = F.explode(F.array(*[F.struct(F.lit(g).alias("test"), F.col(g).alias("g")) for g in tests])).alias("_e")
     series = wide.select("date", vector(controls).alias("h"), each).select(c("_e.test"), "date", c("_e.g"), "h")
     complete = F.col("g").isNotNull() & ~F.exists("h", lambda x: x.isNull())
     series = series.where(complete).withColumn("v", F.concat(F.array("g"), F.col("h")))
-    return SelectionInputs(
-        tuple(controls), tuple(tests), full, wide, stage_table(series, "series"), cov, stage_table(moments, "moments")
-    )
+    moments = _asset_moments(cov, wide, controls)
+    return SelectionInputs(tuple(controls), tuple(tests), full, months, wide, stage_table(series, "series"), cov, moments)
+
+
+def _asset_moments(cov: DataFrame, wide: DataFrame, controls: Sequence[str]) -> DataFrame:
+    vec = F.concat(F.array("er"), F.col("cov_h"), F.col("cov_g")).alias("v")
+    var_h = wide.agg(F.array(*[F.var_pop(h) for h in controls])).scalar()
+    return stage_table(gram_rows(cov.select(vec), [], "v", "m").select("m", var_h.alias("var_h")), "moments")
+
+
+def restrict(inputs: SelectionInputs, tests: Sequence[str]) -> SelectionInputs:
+    """The same problem with some of its test factors."""
+    places = [inputs.tests.index(g) for g in tests]
+    cov = inputs.asset_cov.withColumn("cov_g", F.array(*[c("cov_g")[k] for k in places]))
+    wide = inputs.wide.select("date", *inputs.controls, *tests)
+    series = inputs.series.where(c("test").isin(list(tests)))
+    return replace(inputs, tests=tuple(tests), wide=wide, series=series, asset_cov=cov, moments=_asset_moments(cov, wide, inputs.controls))
+
+
+def calendar_groups(inputs: SelectionInputs) -> list[list[str]]:
+    """Test factors by equal dates: one row of counts and date hashes comes to the driver."""
+    known = inputs.series.groupBy("test").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("date").cast("decimal(38,0)")).alias("h"))
+    groups: dict[tuple, list[str]] = {}
+    for row in known.orderBy("test").collect():
+        groups.setdefault((row.n, row.h), []).append(row.test)
+    return list(groups.values())
 
 
 def c(name: str) -> Column:
@@ -407,8 +443,13 @@ def cross_validated(
 
     Output: sel1, sel2, sel3 (control positions) and lambda1, lambda2, lambda3.
     """
+    groups = calendar_groups(inputs)
+    if len(groups) > 1:  # every test is validated on its own dates
+        parts = [cross_validated(restrict(inputs, g), seeds, alpha, folds, grid_size) for g in groups]
+        return reduce(DataFrame.unionByName, parts)
     p, lambdas = len(inputs.controls), penalty_grid(grid_size)
-    fold_table = stage_table(assign_folds(inputs.wide.dropna(how="any").select("date"), seeds, folds), "folds")
+    dates = inputs.wide.dropna(how="any").select("date").join(inputs.months, "date", "left_semi")
+    fold_table = stage_table(assign_folds(dates, seeds, folds), "folds")
     sides = stage_table(fold_asset_covariances(inputs.assets, inputs.wide, fold_table, inputs.controls, inputs.tests), "fold-cov")
     train = gram_rows(sides.select("seed", "fold", "train"), ["seed", "fold"], "train", "m_train")
     test = gram_rows(sides.select("seed", "fold", "test"), ["seed", "fold"], "test", "m_test")

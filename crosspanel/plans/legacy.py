@@ -20,11 +20,11 @@ from crosspanel.session import stage_table
 from crosspanel.sources.derived import RawTables
 
 
-def flag_panel(msf: DataFrame, signed_price: bool = False) -> DataFrame:
+def flag_panel(msf: DataFrame, signed_price: bool = True) -> DataFrame:
     """Flag-universe panel on calendar month ends.
 
-    ``signed_price`` multiplies shares with the price as stored, whose sign may be
-    negative; the default takes its absolute value.
+    The variant multiplies shares with the price as stored, whose sign may be negative;
+    without ``signed_price`` the absolute value counts.
     """
     price = F.col("mthprc") if signed_price else F.abs("mthprc")
     d = flag_universe(msf).select(
@@ -46,8 +46,8 @@ def company_book_equity(funda: DataFrame) -> DataFrame:
     return standard_format(funda).select("gvkey", "datadate", be.alias("be"), n.alias("filings"))
 
 
-def labelled_months(raw: RawTables) -> DataFrame:
-    panel = stage_table(flag_panel(raw.msf), "flag-panel")
+def labelled_months(raw: RawTables, signed_price: bool = True) -> DataFrame:
+    panel = stage_table(flag_panel(raw.msf, signed_price), "flag-panel")
     anchor = fiscal_june(F.col("datadate"))
     linked = link_join(company_book_equity(raw.funda), usable_links(raw.links, FAR_END), anchor)
     linked = linked.select("permno", anchor.alias("jdate"), "be", "filings")

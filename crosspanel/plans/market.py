@@ -47,12 +47,15 @@ def collapse_companies(df: DataFrame, date: str = "jdate") -> DataFrame:
     so they never travel; each copy still counts in the total.  The second join key
     includes the equity itself, so the rows of one very large company spread over
     partitions instead of landing in a single task.  Securities tied for the maximum
-    all stay.
+    all stay.  A company without any equity in a month (no price) keeps its securities
+    with equity 0; a security without equity beside priced ones goes.
     """
     unique = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
     totals = unique.groupBy(date, "permco").agg(F.sum(F.col("me") * F.col("_copies")).alias("_sum"), F.max("me").alias("me"))
-    largest = unique.join(totals, [date, "permco", "me"])
-    return largest.withColumn("me", F.col("_sum")).drop("_sum", "_copies")
+    most = totals.withColumnsRenamed({date: "_date", "permco": "_permco", "me": "_most"})
+    same = (F.col(date) == F.col("_date")) & (F.col("permco") == F.col("_permco")) & F.col("me").eqNullSafe(F.col("_most"))
+    largest = unique.join(most, same)
+    return largest.withColumn("me", F.coalesce("_sum", F.lit(0.0))).drop("_sum", "_copies", "_date", "_permco", "_most")
 
 
 def add_weights(df: DataFrame) -> DataFrame:
@@ -177,7 +180,7 @@ def momentum_panel(panel: DataFrame) -> DataFrame:
     """Six-month and lagged 35-month compounded returns per security.
 
     The six-month window ends in the month being earned, as published by the
-    studied code; ``lag_months`` in the factor spec shifts it.
+    studied code; no option shifts it.
     """
     w = by_entity("permno", "jdate")
     gross = 1.0 + F.col("mthret")

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from crosspanel.operators.rows import keep_last, stack_tables
+from crosspanel.session import stage_table
 
 
 @dataclass(frozen=True)
@@ -63,9 +64,15 @@ class PanelStore:
 
         Rows are range-clustered by year, date and a row hash before the write.  A year
         becomes several files of bounded size, and a date that owns a large share of
-        the rows is split over tasks.
+        the rows is split over tasks.  The input is staged first, so sampling for the ranges
+        doesn't run its plan again.  Rows without a date are refused: they belong to no year.
         """
-        d = df.withColumn("year", F.year(date_col))
+        staged = stage_table(df.withColumn("year", F.year(date_col)), "store")
+        # At most one entry per calendar year, so the list prunes partitions below.
+        years = [r.year for r in staged.select("year").distinct().collect()]
+        if None in years:
+            raise ValueError(f"{table}: rows without {date_col} belong to no year")
+        d = staged
         (
             d.repartitionByRange("year", date_col, F.xxhash64(*df.columns))
             .write.mode("overwrite")
@@ -74,14 +81,12 @@ class PanelStore:
             .partitionBy("year")
             .parquet(self.path(table))
         )
-        # At most one entry per calendar year, so the list prunes partitions below.
-        years = [r.year for r in d.select("year").distinct().collect()]
         self._append_audit(table, date_col, years, spec_key, written_at)
 
     def _append_audit(self, table: str, date_col: str, years: Sequence[int], spec_key: str, written_at: Column | None) -> None:
         stored = (
             self.spark.read.parquet(self.path(table))
-            .where(F.col("year").isin([int(y) for y in years if y is not None]))
+            .where(F.col("year").isin([int(y) for y in years]))
             .withColumns({"_bytes": F.col("_metadata.file_size"), "_file": F.col("_metadata.file_path")})
         )
         files = stored.groupBy("year", "_file").agg(
@@ -115,9 +120,18 @@ class PanelStore:
         lacking = sorted(set(request.columns) - set(stored.columns))
         if lacking:
             raise ValueError(f"{request.table} lacks columns {lacking}")
+        empty = self.unusable_years(request.table, first, last)
+        if empty:
+            raise ValueError(f"{request.table} has no rows for {empty}")
         d = self.read_years(request.table, range(first, last + 1), stored.columns)
         return scan(d, request)
 
+    def unusable_years(self, table: str, first: int, last: int) -> list[int]:
+        """Years of a range without a load or whose last load wrote no row, from the audit table."""
+        loaded = self.latest(table).where(F.col("rows") > 0).select("year")
+        lacking = expected_years(self.spark, first, last).join(loaded, "year", "left_anti")
+        return sorted(r.year for r in lacking.collect())
+
     def manifest(self, table: str | None = None) -> DataFrame:
         a = self.spark.read.parquet(self.audit_path)
         return a if table is None else a.where(F.col("table") == table)
@@ -143,9 +157,9 @@ class PanelStore:
         return joined.where(stale).select("year")
 
     def diagnose(self, table: str, first: int, last: int, columns: Sequence[str]) -> DataFrame:
-        """Why a request cannot be served: missing years and missing columns."""
+        """Why a request cannot be served: missing or empty years and missing columns."""
         d = self.spark.read.parquet(self.path(table))
-        have = d.select("year").distinct()
+        have = self.latest(table).where(F.col("rows") > 0).select("year")
         years = expected_years(self.spark, first, last).join(have, "year", "left_anti")
         years = years.select(F.lit("missing_year").alias("issue"), F.col("year").cast("string").alias("item"))
         want = self.spark.createDataFrame([(c,) for c in columns], "item string")

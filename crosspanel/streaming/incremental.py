@@ -15,14 +15,13 @@ from crosspanel.session import stage_table
 from crosspanel.sources.store import PanelStore
 
 
-def high_water_marks(stored: DataFrame, date_col: str) -> DataFrame:
-    """Next date to load per year: the day after the last stored date."""
-    return stored.groupBy(F.year(date_col).alias("year")).agg(F.date_add(F.max(date_col), 1).alias("next_date"))
+def high_water_marks(store: PanelStore, table: str) -> DataFrame:
+    """Next date to load per year, from the audit table: the day after the last stored date."""
+    return store.latest(table).select("year", F.date_add("max_date", 1).alias("next_date"))
 
 
-def rows_to_load(source: DataFrame, stored: DataFrame, date_col: str) -> DataFrame:
+def rows_to_load(source: DataFrame, marks: DataFrame, date_col: str) -> DataFrame:
     """Source rows past the mark of their year, and all rows of years not stored."""
-    marks = high_water_marks(stored, date_col)
     d = source.withColumn("year", F.year(date_col)).join(marks, "year", "left")
     fresh = F.col("next_date").isNull() | (F.col(date_col) >= F.col("next_date"))
     return d.where(fresh).drop("year", "next_date")
@@ -40,7 +39,7 @@ def merge_rows(stored: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> Data
 def incremental_fill(store: PanelStore, source: DataFrame, table: str, date_col: str, keys: Sequence[str], spec_key: str = "") -> DataFrame:
     """Merge new source rows into the years they touch and rewrite only those years."""
     stored = store.spark.read.parquet(store.path(table))
-    fresh = stage_table(rows_to_load(source, stored, date_col), "fill")
+    fresh = stage_table(rows_to_load(source, high_water_marks(store, table), date_col), "fill")
     touched = fresh.select(F.year(date_col).alias("year")).distinct()
     old = stored.join(touched, "year", "left_semi").drop("year")
     merged = stage_table(merge_rows(old, fresh, [date_col, *keys]), "fill")

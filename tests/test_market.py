@@ -97,3 +97,10 @@ def test_zero_denominators_give_null_not_errors(spark):
     liq = M.liquidity_panel(d).orderBy("jdate").collect()
     assert [r.turnover is None for r in liq] == [False, False, True]
     assert [r.ldolvol is None for r in liq] == [False, True, False]
+
+
+def test_companies_without_a_price_stay_with_equity_zero(spark):
+    d = dt.date(2000, 6, 30)
+    rows = [(1, 7, d, None), (2, 7, d, None), (3, 8, d, 5.0), (4, 8, d, None), (5, 9, None, None)]
+    out = M.collapse_companies(spark.createDataFrame(rows, "permno long, permco long, jdate date, me double"))
+    assert sorted((r.permno, r.me) for r in out.collect()) == [(1, 0.0), (2, 0.0), (3, 5.0)]
