@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from catalog.sql_tables import with_tables
 from crosspanel.plans.extracts import BaseTables, extract_base, staged_raw
 from crosspanel.plans.factors import with_panel
-from crosspanel.session import stage_tables
-from crosspanel.sources.derived import RawTables, raw_tables, read_table
+from crosspanel.session import stage_table, stage_tables
+from crosspanel.sources.derived import RawTables, monthly_sums, raw_tables, read_table
 from crosspanel.sources.research import ResearchTables, research_tables
 
 
@@ -26,9 +26,13 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
+    @cached_property
+    def sums(self) -> DataFrame:
+        return stage_table(monthly_sums(self.read("lineitem")), "months")
+
     @cached_property
     def raw(self) -> RawTables:
-        return staged_raw(raw_tables(self.spark, self.sf_dir))
+        return staged_raw(raw_tables(self.spark, self.sf_dir, self.sums))
 
     @cached_property
     def base(self) -> BaseTables:
@@ -36,7 +40,7 @@ class Tables:
 
     @cached_property
     def research(self) -> ResearchTables:
-        r = research_tables(self.spark, self.sf_dir)
+        r = research_tables(self.spark, self.sf_dir, self.sums)
         factors, factors_open, assets = stage_tables(factors=r.factors, factors_open=r.factors_open, assets=r.assets)
         return replace(r, factors=factors, factors_open=factors_open, assets=assets)
 

@@ -68,14 +68,18 @@ def backtest(returns: DataFrame, rf: DataFrame, periods: Sequence[tuple[str, str
         F.max_by("cumulative", "date").alias("final_value"),
         F.max("drawdown").alias("max_drawdown"),
     )
-    rates = split_periods(rf, periods).select("period", F.col("date").alias("_d"), "rf")
-    mean_rf = (
-        stats.select(name, "period", "start_date", "end_date")
-        .join(rates, "period")
-        .where(F.col("_d").between(F.col("start_date"), F.col("end_date")))
-        .groupBy(name, "period")
-        .agg(F.avg("rf").alias("mean_rf"))
+    # Running sum and count per calendar date, so a mean over a span takes two lookups by date.
+    # Ends of spans without a rate of their own carry the sums so far.
+    order = Window.orderBy("date")
+    ends = stats.select(F.explode(F.array("start_date", "end_date")).alias("date")).distinct()
+    dates = rf.select("date", "rf").unionByName(ends.select("date", F.lit(None).cast("double").alias("rf")))
+    running = dates.groupBy("date").agg(F.coalesce(F.sum("rf"), F.lit(0.0)).alias("s"), F.count("rf").alias("n")).select(
+        "date", "s", "n", F.sum("s").over(order).alias("upto"), F.sum("n").over(order).alias("count")
     )
+    begin = running.select(F.col("date").alias("start_date"), (F.col("upto") - F.col("s")).alias("_s0"), (F.col("count") - F.col("n")).alias("_n0"))
+    end = running.select(F.col("date").alias("end_date"), F.col("upto").alias("_s1"), F.col("count").alias("_n1"))
+    spans = stats.select(name, "period", "start_date", "end_date")
+    mean_rf = spans.join(begin, "start_date").join(end, "end_date").select(name, "period", F.try_divide(F.col("_s1") - F.col("_s0"), F.col("_n1") - F.col("_n0")).alias("mean_rf"))
     d = stats.join(mean_rf, [name, "period"], "left")
     ann_ret, ann_std, ann_rf = F.col("mean_return") * 12, F.col("std_return") * F.sqrt(F.lit(12.0)), F.col("mean_rf") * 12
     return d.select(

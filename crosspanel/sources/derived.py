@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from crosspanel.operators.rows import stack_tables
+from crosspanel.session import stage_table, stage_tables
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,19 +25,23 @@ def _cents(c: Column) -> Column:
     return F.round(c * 100).cast("long")
 
 
-def security_months(lineitem: DataFrame, key: str = "l_suppkey") -> DataFrame:
-    """Security-month sums: one row per security and calendar month."""
+def monthly_sums(lineitem: DataFrame, key: str = "l_suppkey") -> DataFrame:
+    """One row per security and calendar month: integer sums and the last trading date."""
     d = lineitem.select(
         F.col(key).alias("permno"),
         F.col("l_shipdate").cast("date").alias("d"),
         _cents(F.col("l_extendedprice")).alias("c"),
         F.col("l_quantity").cast("long").alias("q"),
     )
-    sums = d.groupBy("permno", F.trunc("d", "MM").alias("ym")).agg(
-        F.sum("c").alias("cents"), F.sum("q").alias("shares"), F.count(F.lit(1)).alias("n_lines")
+    return d.groupBy("permno", F.trunc("d", "MM").alias("ym")).agg(
+        F.sum("c").alias("cents"), F.sum("q").alias("shares"), F.count(F.lit(1)).alias("n_lines"), F.max("d").alias("last")
     )
-    calendar = d.groupBy(F.trunc("d", "MM").alias("ym")).agg(F.max("d").alias("mthcaldt"))
-    return sums.join(calendar, "ym")
+
+
+def security_months(sums: DataFrame) -> DataFrame:
+    """Monthly sums with the last trading date of the month over all securities."""
+    calendar = sums.groupBy("ym").agg(F.max("last").alias("mthcaldt"))
+    return sums.drop("last").join(calendar, "ym")
 
 
 def monthly_file(months: DataFrame) -> DataFrame:
@@ -150,9 +155,15 @@ def _statement_sums(lineitem: DataFrame, period: Column) -> DataFrame:
     )
 
 
-def annual_statements(lineitem: DataFrame) -> DataFrame:
-    """Annual statement rows per company and fiscal year."""
-    s = _statement_sums(lineitem, F.year(F.col("l_shipdate").cast("date")))
+def quarter_sums(lineitem: DataFrame) -> DataFrame:
+    """Statement sums per company and quarter, in integer cents."""
+    return _statement_sums(lineitem, F.trunc(F.col("l_shipdate").cast("date"), "quarter"))
+
+
+def annual_statements(quarters: DataFrame) -> DataFrame:
+    """Annual statement rows per company and fiscal year, rolled up from quarter sums."""
+    sums = [F.sum(x).alias(x) for x in quarters.columns if x not in ("k", "period")]
+    s = quarters.groupBy("k", F.year("period").alias("period")).agg(*sums)
     k, y = F.col("k"), F.col("period")
 
     def money(c: Column | str) -> Column:
@@ -196,9 +207,8 @@ def annual_statements(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def quarterly_statements(lineitem: DataFrame) -> DataFrame:
+def quarterly_statements(s: DataFrame) -> DataFrame:
     """Quarterly statement rows with a report date 45 to 74 days after quarter end."""
-    s = _statement_sums(lineitem, F.trunc(F.col("l_shipdate").cast("date"), "quarter"))
     k = F.col("k")
     end = F.last_day(F.add_months(F.col("period"), 2))
     number = F.year("period") * 4 + F.quarter("period")
@@ -234,16 +244,24 @@ class RawTables:
     fundq: DataFrame
 
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> RawTables:
+def raw_tables(spark: SparkSession, sf_dir: str, sums: DataFrame | None = None) -> RawTables:
+    """The inputs from two passes over the order lines, each aggregated and written once.
+
+    ``sums`` are staged ``monthly_sums``, if some exist already.
+    """
     lineitem = read_table(spark, sf_dir, "lineitem")
     supplier = read_table(spark, sf_dir, "supplier")
-    months = security_months(lineitem)
+    if sums is None:
+        sums, quarters = stage_tables(months=monthly_sums(lineitem), quarters=quarter_sums(lineitem))
+    else:
+        quarters = stage_table(quarter_sums(lineitem), "quarters")
+    months = security_months(sums)
     return RawTables(
         msf=monthly_file(months),
         volume=volume_file(months),
         names=names_history(supplier),
         links=link_history(supplier),
         company=company(supplier),
-        funda=annual_statements(lineitem),
-        fundq=quarterly_statements(lineitem),
+        funda=annual_statements(quarters),
+        fundq=quarterly_statements(quarters),
     )

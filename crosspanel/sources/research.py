@@ -10,8 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from crosspanel.operators.joins import month_calendar
-from crosspanel.sources.derived import _cents, read_table, security_months
+from crosspanel.session import stage_table
+from crosspanel.sources.derived import _cents, monthly_sums, read_table, security_months
 
 
 def bounded_change(now: Column, before: Column) -> Column:
@@ -24,30 +24,39 @@ def risk_free(calendar: DataFrame) -> DataFrame:
     return calendar.select("date", (F.lit(0.001) + (number % 5).cast("double") * 0.0005).alias("rf"))
 
 
-def calendar_of(lineitem: DataFrame) -> DataFrame:
-    return month_calendar(lineitem.select(F.col("l_shipdate").cast("date").alias("d")), "d")
+def calendar_of(sums: DataFrame) -> DataFrame:
+    """Last trading date of each month, from monthly sums."""
+    return sums.where(F.col("last").isNotNull()).groupBy("ym").agg(F.max("last").alias("date")).select("date")
 
 
-def factor_returns(lineitem: DataFrame, part: DataFrame, only_open: bool = False) -> DataFrame:
-    """(factor, date, ret) per brand and month, first month dropped."""
-    d = lineitem.where(F.col("l_linestatus") == "O") if only_open else lineitem
-    d = d.select("l_partkey", F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("ym"), _cents(F.col("l_extendedprice")).alias("c"))
+def brand_sums(lineitem: DataFrame, part: DataFrame) -> DataFrame:
+    """(factor, ym, c, c_open): integer cents of all and of open lines per brand and month."""
+    d = lineitem.select(
+        "l_partkey",
+        F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("ym"),
+        _cents(F.col("l_extendedprice")).alias("c"),
+        (F.col("l_linestatus") == "O").alias("open"),
+    )
+    both = [F.sum("c").alias("c"), F.sum(F.when(F.col("open"), F.col("c"))).alias("c_open")]
     # Sums per part first: the join then moves one row per part and month.
-    per_part = d.groupBy("l_partkey", "ym").agg(F.sum("c").alias("c"))
+    per_part = d.groupBy("l_partkey", "ym").agg(*both)
     brands = part.select(F.col("p_partkey").alias("l_partkey"), F.regexp_replace("p_brand", "#", "").alias("factor"))
-    sums = per_part.join(brands, "l_partkey").groupBy("factor", "ym").agg(F.sum("c").alias("c"))
+    return per_part.join(brands, "l_partkey").groupBy("factor", "ym").agg(F.sum("c").alias("c"), F.sum("c_open").alias("c_open"))
+
+
+def factor_returns(brands: DataFrame, calendar: DataFrame, value: str = "c") -> DataFrame:
+    """(factor, date, ret) per brand and month with a value, first month dropped."""
     w = Window.partitionBy("factor").orderBy("ym")
-    ret = sums.withColumn("ret", bounded_change(F.col("c"), F.lag("c").over(w))).where(F.col("ret").isNotNull())
-    dates = calendar_of(lineitem).select(F.trunc("date", "MM").alias("ym"), "date")
+    sums = brands.where(F.col(value).isNotNull())
+    ret = sums.withColumn("ret", bounded_change(F.col(value), F.lag(value).over(w))).where(F.col("ret").isNotNull())
+    dates = calendar.select(F.trunc("date", "MM").alias("ym"), "date")
     return ret.join(dates, "ym").select("factor", "date", "ret")
 
 
-def asset_returns(lineitem: DataFrame) -> DataFrame:
+def asset_returns(months: DataFrame, rf: DataFrame) -> DataFrame:
     """(asset, block, date, ret): excess returns per supplier and month."""
-    m = security_months(lineitem)
     w = Window.partitionBy("permno").orderBy("ym")
-    ret = m.select("permno", F.col("mthcaldt").alias("date"), bounded_change(F.col("cents"), F.lag("cents").over(w)).alias("r"))
-    rf = risk_free(calendar_of(lineitem))
+    ret = months.select("permno", F.col("mthcaldt").alias("date"), bounded_change(F.col("cents"), F.lag("cents").over(w)).alias("r"))
     return (
         ret.where(F.col("r").isNotNull())
         .join(rf, "date")
@@ -83,14 +92,18 @@ class ResearchTables:
     calendar: DataFrame
 
 
-def research_tables(spark: SparkSession, sf_dir: str) -> ResearchTables:
+def research_tables(spark: SparkSession, sf_dir: str, sums: DataFrame | None = None) -> ResearchTables:
+    """Series and assets from staged monthly and brand sums, one pass over the lines each."""
     lineitem, part = read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "part")
-    calendar = calendar_of(lineitem)
+    brands = stage_table(brand_sums(lineitem, part), "brands")
+    sums = stage_table(monthly_sums(lineitem), "months") if sums is None else sums
+    calendar = stage_table(calendar_of(sums), "calendar")
+    rf = risk_free(calendar)
     return ResearchTables(
-        factors=factor_returns(lineitem, part),
-        factors_open=factor_returns(lineitem, part, only_open=True),
-        assets=asset_returns(lineitem),
+        factors=factor_returns(brands, calendar),
+        factors_open=factor_returns(brands, calendar, "c_open"),
+        assets=asset_returns(security_months(sums), rf),
         metadata=factor_metadata(part),
-        rf=risk_free(calendar),
+        rf=rf,
         calendar=calendar,
     )
