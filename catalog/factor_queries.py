@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from catalog.registry import ORACLES, QUERIES, Tables, query, round_doubles
 from catalog.sql_factors import ALL_KEYS, factor_sql
-from crosspanel.plans.factors import REGISTRY, build_factor, build_factors
+from crosspanel.plans.factors import REGISTRY, build_available_factors, build_factor, build_factors
 from crosspanel.plans.legacy import legacy_three_factor, legacy_firm_counts
 
 NUMBERS = {key: f"f{i:02d}" for i, key in enumerate(REGISTRY, start=1)}
@@ -36,6 +38,28 @@ def all_factors(t: Tables):
 ORACLES["f38_all_factors"] = _BUNDLE
 
 
+_VOLUME = [k for k in ALL_KEYS if REGISTRY[k].chain == "monthly" and REGISTRY[k].frame in ("liquidity", "turnover")]
+
+
+def _without_volume(t: Tables):
+    return build_available_factors(replace(t.base, monthly=t.base.monthly.drop("vol")))
+
+
+@query("f38_without_volume")
+def without_volume(t: Tables):
+    """A base without trading volume still gives every other factor."""
+    return _without_volume(t)[0]
+
+
+ORACLES["f38_without_volume"] = "SELECT * EXCLUDE ({}) FROM ({}) b".format(", ".join(f'"{REGISTRY[k].name}"' for k in _VOLUME), _BUNDLE)
+
+
+@query("f38_skipped_factors", "SELECT factor, CASE WHEN (SELECT count(*) FROM t_months) > 0 THEN 'UNRESOLVED_COLUMN.WITH_SUGGESTION' END AS reason FROM (VALUES {}) v(factor)".format(", ".join(f"('{REGISTRY[k].name}')" for k in _VOLUME)))
+def skipped_factors(t: Tables):
+    """The factors left out for the missing column, with the reason."""
+    return _without_volume(t)[1]
+
+
 START, END = "1999-01-01", "2000-12-31"
 
 

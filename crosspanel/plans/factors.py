@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crosspanel.functions.dates import month_key, month_number
@@ -478,6 +479,49 @@ def build_factors(
     return out.drop(*[f"_seen_{n}" for n in late])
 
 
+def build_available_factors(
+    base: BaseTables, keys: Iterable[str] | None = None, start: str | None = None, end: str | None = None, registry: dict[str, FactorSpec] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The factors that the base tables allow, and (factor, reason) of those left out.
+
+    A factor is left out when its plan can't be resolved, as for a missing column; data never
+    decides it.  Factors of one chain that fails are tried one by one.
+    """
+    registry = registry or REGISTRY
+    wanted = list(keys) if keys is not None else sorted(registry)
+    chains: dict[tuple[str, str], list[str]] = {}
+    for k in wanted:
+        chains.setdefault((registry[k].chain, registry[k].frame), []).append(k)
+    kept, skipped = [], []
+
+    def attempt(names: list[str]) -> None:
+        try:
+            _chain_plan(base, [registry[k] for k in names], start, end)
+            kept.extend(names)
+        except AnalysisException as e:
+            if len(names) > 1:
+                for k in names:
+                    attempt([k])
+            else:
+                skipped.append((registry[names[0]].name, e.getCondition() or "unresolved plan"))
+
+    for names in chains.values():
+        attempt(names)
+    spark = base.monthly.sparkSession
+    reasons = spark.createDataFrame(sorted(skipped), "factor string, reason string")
+    if not kept:
+        return spark.createDataFrame([], "date date"), reasons
+    return build_factors(base, [k for k in wanted if k in kept], start, end, registry), reasons
+
+
+def _chain_plan(base: BaseTables, specs: list[FactorSpec], start: str | None, end: str | None) -> None:
+    """Run a chain on empty tables of the same columns, which reads no data."""
+    spark = base.monthly.sparkSession
+    bare = [None if d is None else spark.createDataFrame([], d.schema) for d in (base.monthly, base.annual, base.quarterly, base.panel)]
+    s = specs[0]
+    _chain(BaseTables(*bare), s.chain if s.chain != "monthly" else f"monthly_{s.frame}", s.warm_months, specs, start, end)
+
+
 def with_panel(base: BaseTables) -> BaseTables:
     """Base tables plus the full-history market panel, written once."""
     return replace(base, panel=stage_table(market_panel(base.monthly), "panel"))
