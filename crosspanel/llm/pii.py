@@ -35,7 +35,7 @@ _PATTERN = re.compile(
     r"|(?P<date>(?<![\w.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w-]))"
     r"|(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))"
+    r"|(?P<card>(?<![\w-])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\w-]|\.[0-9]))"
     r"|(?P<phone>(?<![\w.+-])(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
     r"|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5})(?![\w-]))",
     re.ASCII,
@@ -95,7 +95,7 @@ class Pseudonymiser:
 
     def _card(self, text: str) -> str | None:
         digits = re.sub(r"\D", "", text)
-        if luhn(digits[:-1]) != digits[-1] or not digits.strip("0"):
+        if len(digits) < 13 or luhn(digits[:-1]) != digits[-1] or not digits.strip("0"):
             return None
         body = self.digits("card", digits[:-1])
         return relaid(text, body + luhn(body))
@@ -151,19 +151,27 @@ class Pseudonymiser:
         out, spans, at = [], [], 0
         pos = 0
         while m := _PATTERN.search(text, pos):
-            new = self.pseudonym(m.lastgroup, m[0])
-            if new is None and m.lastgroup == "card" and (phone := _PATTERN_PHONE.match(text, m.start())):
-                m, new = phone, self.pseudonym("phone", phone[0])
+            kind, start, end = m.lastgroup, m.start(), m.end()
+            new = self.pseudonym(kind, m[0])
+            if new is None and kind == "iban":
+                # A neighbouring word may have been taken in: try the shorter ends.
+                for x in reversed([start + g.start() for g in _GAP.finditer(m[0])]):
+                    if new := self.pseudonym(kind, text[start:x]):
+                        end = x
+                        break
+            if new is None and kind == "card" and (phone := _PATTERN_PHONE.match(text, start)):
+                kind, end, new = "phone", phone.end(), self.pseudonym("phone", phone[0])
             if new is None:
                 pos = _after(text, m)
                 continue
-            out += [text[at : m.start()], new]
-            spans.append((m.lastgroup, m.start(), m.end()))
-            at = pos = m.end()
+            out += [text[at:start], new]
+            spans.append((kind, start, end))
+            at = pos = end
         return "".join([*out, text[at:]]), spans
 
 
 _PATTERN_PHONE = re.compile(_PATTERN.pattern[_PATTERN.pattern.index("(?P<phone>") :], re.ASCII)
+_GAP = re.compile("[ -]")
 _DIGITS = re.compile(r"[A-Za-z0-9]+")
 
 

@@ -5,7 +5,7 @@ bounded sample of labelled credentials, form a prefix tree over character classe
 states are merged when their outgoing frequencies agree (Hoeffding bound), which gives a
 probabilistic automaton; a second one is inferred from ordinary long tokens.  Every token of
 16 characters or more is then scored by the difference of its log-likelihoods a character;
-the limit is the largest score of the ordinary sample plus a margin.
+the limit is the 95th percentile of the ordinary sample, zero at least, plus a margin.
 """
 
 from __future__ import annotations
@@ -249,7 +249,7 @@ def fit(docs: DataFrame, sample: int = 800, margin: float = 0.1, alpha: float =
     secret, plain = (infer([char_classes(v) for v in got[k]], alpha) for k in ("secret", "plain"))
     model = FormatModel(secret, plain, 0.0)
     scores = sorted(model.score(v) for v in got["plain"]) if secret and plain else []
-    return FormatModel(secret, plain, max(0.0, scores[int(len(scores) * 0.99)] if scores else 0.0) + margin)
+    return FormatModel(secret, plain, max(0.0, scores[int((len(scores) - 1) * 0.95)] if scores else 0.0) + margin)
 
 
 _SPAN = StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
