@@ -31,9 +31,22 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     )
 
 
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write an intermediate to the shared checkpoint folder and read it back."""
-    return stage_table(df, label)
+    """Write an intermediate to the shared checkpoint folder and read it back.
+
+    The written table replaces the plan, so Spark deletes the plan's shuffle files as soon as
+    it is done instead of keeping those of all steps until the driver collects garbage.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP_KEY, None)
+    conf.set(CLEANUP_KEY, "true")
+    try:
+        return stage_table(df, label)
+    finally:
+        conf.unset(CLEANUP_KEY) if before is None else conf.set(CLEANUP_KEY, before)
 
 
 def drop_staged(df: DataFrame) -> None:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
-from crosspanel.llm.frames import map_batches, row_key, staged
+from crosspanel.llm.frames import drop_staged, map_batches, row_key, staged
 from crosspanel.llm.textbytes import column_bytes, mix64, text_slices
 
 WINDOW = 400
@@ -226,6 +226,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         F.collect_set(F.when(F.col("show"), F.struct("core", "pos", "known"))).alias("open"),
     )
     texts = staged(long.join(per_text, ["k1", "k2"]), "repeat-texts")
+    drop_staged(shared)
 
     window_rows = StructType([StructField(n, LongType()) for n in ("core", "digit", "k1", "k2", "start")] + [StructField("known", BooleanType())])
     shown = map_batches(texts.select("k1", "k2", "text", "open"), _last_digit(window), window_rows)
