@@ -10,9 +10,10 @@ place, parity).  The order puts blocks with a rare shingle first, using frequenc
 whole corpus in a table of fixed size, so that shared passages rarely make candidates.
 
 Candidates are not expanded into pairs: a node is first compared with the smallest
-node of its blocks.  Only nodes that meet in a block and are still in different components
-are compared with each other, after the bit sketches' Hamming distance, a lower bound of the
-symmetric difference, has ruled out what it can.  Every comparison is decided on the sets.
+node of its blocks, its hub.  Only nodes that meet in a block and are still in different
+components are compared with each other, after bounds on their symmetric difference (from
+what both add to and lack of their hub, then from the Hamming distance of bit sketches) have
+ruled out what they can.  Every comparison is decided on the sets.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from crosspanel.llm.components import components
 from crosspanel.llm.frames import map_batches, staged
@@ -83,6 +84,15 @@ def band_of(n: int) -> int:
     return n.bit_length() - 1
 
 
+def least_shared(n: int) -> int:
+    """How many keys a node of ``n`` shingles shares at least with a linked node of no fewer.
+
+    Each key beyond the ``d + 1`` of the pigeonhole adds one to what linked nodes share, so
+    a few more keys rule out nodes that meet in a block or two by chance.
+    """
+    return 1 + n // 64
+
+
 def block_keys(shingles: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """Keys of the blocks by which a node meets every node it may link with."""
     n = len(shingles)
@@ -91,7 +101,7 @@ def block_keys(shingles: np.ndarray, levels: np.ndarray) -> np.ndarray:
     for band in (own, own + 1) if 4 * n >= 3 * (2 << own) else (own,):
         top = 2 << band  # sizes of the band are below this
         differ = (n + min(4 * n // 3, top - 1)) // 7
-        blocks = max(int(np.ceil(top / LOAD)), 2 * top // 7 + 1)
+        blocks = max(int(np.ceil(top / LOAD)), 2 * top // 7 + least_shared(top))
         salted = mix64(shingles ^ mix64(np.full(1, band + 1, dtype=_U)))
         place = (salted >> _U(20)) % _U(blocks)
         order = np.argsort(place, kind="stable")
@@ -101,7 +111,7 @@ def block_keys(shingles: np.ndarray, levels: np.ndarray) -> np.ndarray:
         size = np.diff(np.concatenate([head, [n]]))
         level = np.minimum.reduceat(levels[(shingles[order] & _U((1 << FREQUENCY_BITS) - 1)).astype(np.int64)], head)
         key = mix64(parity ^ mix64(place[head] * _PLACE[2] + _U(band)))
-        want = differ + 1
+        want = differ + least_shared(n)
         key = key[np.lexsort((key, -size, level))[:want]]
         if len(key) < want:  # too few filled blocks: empty ones agree as well
             free = np.setdiff1d(np.arange(blocks, dtype=_U), place[head])[: want - len(key)]
@@ -150,24 +160,39 @@ def _levels(summary: DataFrame) -> np.ndarray:
     return np.maximum(np.floor(np.log2(np.maximum(freq, 1) / (2 * usual))), 0).astype(np.uint8)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose shingle sets reach the similarity; copies of an id count each."""
+def _beside(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (x, y) with both texts."""
     one = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text"))
     two = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("other"))
-    joined = pairs.join(one, "x").join(two, "y").select("x", "y", "text", "other")
+    return pairs.join(one, "x").join(two, "y").select("x", "y", "text", "other")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text"):
-            a = shingle_sets(part)
-            b = [s for piece in text_slices(iter([part.select(["other"]).rename_columns(["text"])]), "text") for s in shingle_sets(piece)]
-            ok = []
+
+def _both_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[np.ndarray]]]:
+    for part in text_slices(batches, "text"):
+        other = iter([part.select(["other"]).rename_columns(["text"])])
+        yield part, shingle_sets(part), [s for piece in text_slices(other, "text") for s in shingle_sets(piece)]
+
+
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Per pair (x, y): linked, size of y, how many shingles y lacks of x and adds to it.
+
+    ``added`` lists the latter if they are at most half of y, else it is null.
+    """
+    schema = StructType([StructField("x", LongType()), StructField("y", LongType()), StructField("linked", BooleanType())] + [StructField(n, LongType()) for n in ("n", "lost", "more")] + [StructField("added", ArrayType(LongType()))])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, a, b in _both_sets(batches):
+            rows = []
             for s, t in zip(a, b, strict=True):
-                both = len(s) + len(t) - len(np.union1d(s, t))
-                ok.append(bool(len(s) and len(t)) and 100 * both >= 75 * (len(s) + len(t) - both))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column("x").filter(keep), part.column("y").filter(keep)], ["x", "y"])
+                new = np.setdiff1d(t, s, assume_unique=True).view(np.int64)
+                both = len(t) - len(new)
+                linked = bool(both) and 100 * both >= 75 * (len(s) + len(new))
+                rows.append((linked, len(t), len(s) - both, len(new), new if 2 * len(new) <= len(t) else None))
+            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([part.column("x"), part.column("y"), *columns], schema.names)
 
-    return map_batches(joined, check, StructType([StructField("x", LongType()), StructField("y", LongType())])).distinct()
+    return map_batches(_beside(pairs, texts), compare, schema)
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
@@ -222,40 +247,81 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
-            keys = [block_keys(s, levels) if len(s) else np.zeros(0, dtype=np.int64) for s in shingle_sets(part)]
+            sets = shingle_sets(part)
+            keys = [block_keys(s, levels) if len(s) else np.zeros(0, dtype=np.int64) for s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = pa.array(np.concatenate([*keys, np.zeros(0, dtype=np.int64)]))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["ref", "keys"])
+            size = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), size, pa.ListArray.from_arrays(pa.array(offsets), flat)], ["ref", "n", "keys"])
 
-    keyed = map_batches(nodes, emit, StructType([StructField("ref", LongType()), StructField("keys", ArrayType(LongType()))]))
-    keyed = keyed.select("ref", F.explode("keys").alias("key"))
+    keyed = map_batches(nodes, emit, StructType([StructField("ref", LongType()), StructField("n", LongType()), StructField("keys", ArrayType(LongType()))]))
+    keyed = keyed.select("ref", "n", F.explode("keys").alias("key"))
     block = Window.partitionBy("key")
-    met = keyed.select("key", "ref", F.min("ref").over(block).alias("hub"), F.max("ref").over(block).alias("last"))
-    met = staged(met.where("hub <> last").select("key", "ref", "hub"), "shingle-blocks")
+    met = keyed.select("key", "ref", "n", F.min("ref").over(block).alias("hub"), F.max("ref").over(block).alias("last"))
+    met = staged(met.where("hub <> last").select("key", "ref", "n", "hub"), "shingle-blocks")
 
-    votes = met.where("ref <> hub").groupBy("ref", "hub").agg(F.count("*").alias("votes"))
-    first = votes.groupBy(F.col("ref").alias("y")).agg(F.max_by("hub", F.struct("votes", -F.col("hub"))).alias("x"))
+    # A node's hub is the one it meets most often; chance meetings are left to the second step.
+    votes = met.where("ref <> hub").groupBy("ref", "hub").agg(F.count("*").alias("votes"), F.min("n").alias("n"))
+    first = votes.where(4 * F.col("votes") >= 1 + F.floor(F.col("n") / 64)).groupBy(F.col("ref").alias("y")).agg(F.max_by("hub", F.struct("votes", -F.col("hub"))).alias("x"))
     first = staged(first.select("x", "y"), "shingle-pairs")
-    wanted = met.select(F.col("ref").alias("doc_id")).distinct()
-    texts = staged(nodes.join(wanted, "doc_id", "left_semi"), "shingle-texts")
-    links = staged(_verified(first, texts), "shingle-links")
+    compared = staged(_compared(first, _texts_of(first, nodes)), "shingle-compared")
+    links = compared.where("linked").select("x", "y").distinct()
     label = components(links)
 
     # What still meets across components.
-    placed = met.select("key", "ref").join(label.withColumnRenamed("node", "ref"), "ref", "left").select("key", "ref", F.coalesce("component", "ref").alias("c"))
+    placed = met.select("key", "ref", "n").join(label.withColumnRenamed("node", "ref"), "ref", "left").select("key", "ref", "n", F.coalesce("component", "ref").alias("c"))
     spread = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     open_ = staged(placed.join(spread, "key", "left_semi").distinct(), "shingle-open")
-    other = open_.select("key", F.col("ref").alias("y"), F.col("c").alias("d"))
-    pairs = open_.withColumnRenamed("ref", "x").join(other, "key").where("x < y AND c <> d").select("x", "y").distinct()
-    pairs = staged(pairs.join(first, ["x", "y"], "left_anti"), "shingle-rest")
-    sketches = staged(_sketches(texts.join(open_.select(F.col("ref").alias("doc_id")).distinct(), "doc_id", "left_semi")), "shingle-sketches")
-    rest = staged(_verified(staged(_plausible(pairs, sketches), "shingle-near"), texts), "shingle-links")
-    label = components(links.unionByName(rest))
+    rest = _open_pairs(open_, compared)
+    rest = staged(rest.join(first, ["x", "y"], "left_anti"), "shingle-rest")
+    texts = _texts_of(rest, nodes)
+    near = staged(_plausible(rest, staged(_sketches(texts), "shingle-sketches")), "shingle-near")
+    more = staged(_compared(near, texts).where("linked").select("x", "y").distinct(), "shingle-links")
+    label = components(links.unionByName(more))
 
     joined = members.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), "copies")
 
 
+def _texts_of(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Texts of the nodes that occur in pairs, written once."""
+    ends = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
+    return staged(nodes.join(ends, "doc_id", "left_semi"), "shingle-texts")
+
+
+def _open_pairs(open_: DataFrame, compared: DataFrame) -> DataFrame:
+    """Pairs (x, y) of nodes of a block, in different components, that may link.
+
+    Linked nodes share at least ``least_shared`` blocks of the smaller one.  Two nodes of one
+    hub differ from it by what they add and what they lack.  If they add nothing in common,
+    their symmetric difference is at least the sum of what they add plus the difference of how
+    much they lack, which rules out nearly all strays of a group of copies by three numbers.
+    Pairs that add something in common meet in a join on hub and shingle.
+    """
+    told = compared.where("added IS NOT NULL")
+    # An id with several texts has no numbers, so that nothing is ruled out for it.
+    number = F.struct("n", "more", "lost")
+    facts = told.groupBy("y").agg(F.min("x").alias("hub"), F.min(number).alias("lo"), F.max(number).alias("hi"))
+    facts = facts.where("lo = hi").select(F.col("y").alias("ref"), "hub", "lo.more", "lo.lost")
+    known = staged(open_.select("ref", "n", "c").distinct().join(facts, "ref", "left").withColumn("hub", F.coalesce("hub", "ref")), "shingle-facts")
+
+    left = open_.select("key", "ref", "n").join(known.drop("n"), "ref")
+    right = left.select(*[F.col(k).alias(k if k == "key" else f"o_{k}") for k in left.columns])
+    total = F.col("n") + F.col("o_n")
+    bound = F.col("more") + F.col("o_more") + F.abs(F.col("lost") - F.col("o_lost"))
+    far = F.coalesce((F.col("hub") == F.col("o_hub")) & (7 * bound > total), F.lit(False))
+    sizes = (4 * F.col("n") >= 3 * F.col("o_n")) & (4 * F.col("o_n") >= 3 * F.col("n"))
+    apart = (F.col("ref") < F.col("o_ref")) & (F.col("c") != F.col("o_c")) & sizes
+    met = left.join(right, "key").where(apart & ~far).groupBy(F.col("ref").alias("x"), F.col("o_ref").alias("y"))
+    met = met.agg(F.count("*").alias("shared"), F.min(F.least("n", "o_n")).alias("n")).where(F.col("shared") >= 1 + F.floor(F.col("n") / 64))
+
+    shown = told.select("y", "n", F.explode("added").alias("shingle")).join(known.select(F.col("ref").alias("y"), "hub", "c").distinct(), "y")
+    shown = shown.select("hub", "shingle", F.col("y").alias("ref"), "c", "n")
+    others = shown.select("hub", "shingle", *[F.col(k).alias(f"o_{k}") for k in ("ref", "c", "n")])
+    together = shown.join(others, ["hub", "shingle"]).where(apart)
+    return met.select("x", "y").unionByName(together.select(F.col("ref").alias("x"), F.col("o_ref").alias("y"))).distinct()
+
+
 ORACLE = r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i + 1 : i + 5], ' ') END AS g
