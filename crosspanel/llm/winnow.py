@@ -85,8 +85,10 @@ def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int
         marks = marks.select("key", _at(F.col("g")).alias("at"), _hash(F.col("g")).alias("hash"))
         hits = marks.join(prints.select("hash").distinct(), "hash", "left_semi")
         places = staged(hits.groupBy("key").agg(F.collect_set(F.struct("at", "hash")).alias("places")), "benchmark-places")
-        # Then the documents that are hit give the words around each place.
-        around = docs.join(places, "key").select("key", words_of(F.col("text")).alias("words"), "places")
+        # Then the documents that are hit give the words around each place.  Their keys alone
+        # are small enough to be sent to the texts more often than the places are.
+        hit = docs.join(staged(places.select("key"), "benchmark-keys"), "key", "left_semi")
+        around = hit.join(places, "key").select("key", words_of(F.col("text")).alias("words"), "places")
         around = around.select("key", F.explode(F.transform("places", lambda p: F.struct(p["at"].alias("at"), p["hash"].alias("hash"), _context(F.col("words"), p["at"], own, size).alias("doc")))).alias("p"))
         pairs = around.select("key", "p.at", "p.hash", "p.doc").join(prints, "hash").where(F.col("doc.own") == F.col("item.own"))
         left, right = _agreeing(F.col("doc.before"), F.col("item.before")), _agreeing(F.col("doc.after"), F.col("item.after"))
