@@ -293,9 +293,9 @@ def test_predicates_are_pushed_and_payloads_skipped(spark, pages, tmp_path, comp
     path = str(tmp_path / compression)
     warc.write_warc(warc.page_records(pages), path, compression=compression, filebytes="1000")
     every = warc.read_warc(spark, path)
-    assert every.where("record_type = 'response'").count() == 6 + 1
+    assert every.where("record_type = 'response'").count() == 6
     wanted = every.where("record_type = 'revisit' AND record_id LIKE 'urn:page:2%'")
-    assert wanted.count() == 2 and "Filter" not in wanted._jdf.queryExecution().executedPlan().toString()
+    assert wanted.count() == 2 and not re.search(r"\bFilter\b", wanted._jdf.queryExecution().executedPlan().toString())
     assert warc.read_warc(spark, path, "record_id string, payload binary").where("record_id = 'urn:page:5'").first().payload == ("é" * 3000).encode()
     # A reader that asks for headers only never decodes a block.
     schema = spark.createDataFrame([], "record_id string, record_type string").schema
