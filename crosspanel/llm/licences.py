@@ -18,9 +18,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from crosspanel.llm.frames import row_key, staged
+from crosspanel.llm.quality import let
 
 UNKNOWN = "unknown"
-FEATURES = 1 << 14
+FEATURES = 1 << 13
 
 #: Notices by licence family, as their licences word them.
 TEMPLATES: dict[str, list[str]] = {
@@ -95,9 +96,13 @@ def grams(words: Column, n: int) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(key, paragraph number, words) of every line with a word."""
-    lines = docs.select(row_key().alias("key"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph", "line"))
-    return lines.select("key", "paragraph", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+    """(key, paragraph number, words) of every line with a word.
+
+    The words are made inside the generator: later filters then refer to them as a column and
+    can't pull their expression into the loops over n-grams.
+    """
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), words_of)
+    return docs.select(row_key().alias("key"), F.posexplode(lines).alias("paragraph", "words")).where(F.size("words") > 0)
 
 
 def _templates(spark: SparkSession) -> DataFrame:
@@ -122,11 +127,20 @@ class LicenceModel:
 
 
 def _margins(model: LogisticRegressionModel, families: list[str], rows: DataFrame) -> DataFrame:
-    """Best family and its raw margin over the class unknown (label 0)."""
-    raw = model.transform(rows).withColumn("raw", vector_to_array("rawPrediction")).drop("rawPrediction", "probability", "prediction", "features")
-    licences = F.slice(F.col("raw"), 2, len(families))
-    best = F.array_max(licences)
-    return raw.withColumn("family", F.element_at(F.array(*[F.lit(f) for f in families]), F.array_position(licences, best).cast("int"))).withColumn("margin", best - F.col("raw")[0]).drop("raw")
+    """``best``: the best family and its raw margin over the class unknown (label 0).
+
+    One struct from one expression: columns that refer to the raw scores one by one would
+    have the model evaluated again for each.
+    """
+    names = F.array(*[F.lit(f) for f in families])
+
+    def best(raw: Column) -> Column:
+        licences = F.slice(raw, 2, len(families))
+        top = F.array_max(licences)
+        return F.struct(F.element_at(names, F.array_position(licences, top).cast("int")).alias("family"), (top - raw[0]).alias("margin"))
+
+    scored = model.transform(rows)
+    return scored.withColumn("best", let(vector_to_array(F.col("rawPrediction")), best)).drop("rawPrediction", "probability", "prediction", "features")
 
 
 def fit(docs: DataFrame, ordinary: int = 2000) -> LicenceModel:
@@ -146,15 +160,15 @@ def fit(docs: DataFrame, ordinary: int = 2000) -> LicenceModel:
     plain = paragraphs(docs.select("doc_id", "text")).where(~marked).select("words", F.xxhash64("words").alias("h")).orderBy("h").limit(ordinary)
     rows = pieces.unionByName(plain.select(F.lit(0.0).alias("label"), "words")).withColumn("fold", F.pmod(F.xxhash64("words", "label"), F.lit(5)))
     rows = _features(staged(rows.coalesce(1), "licence-training"))
-    learner = LogisticRegression(regParam=1e-3, maxIter=60, family="multinomial")
+    learner = LogisticRegression(regParam=1e-3, maxIter=40, family="multinomial")
     classes = len(families) + 1
     first = learner.fit(rows.where("fold <> 0"))
-    held = _margins(first, families, rows.where("fold = 0")).select((F.col("label") > 0).cast("double").alias("label"), "margin") if first.numClasses == classes else None
+    held = _margins(first, families, rows.where("fold = 0")).select((F.col("label") > 0).cast("double").alias("label"), "best.margin") if first.numClasses == classes else None
     slope, offset = 1.0, 0.0
     if held is not None and held.select("label").distinct().count() == 2:
         scale = LogisticRegression(regParam=1e-2, maxIter=50).fit(VectorAssembler(inputCols=["margin"], outputCol="features").transform(held))
         slope, offset = float(scale.coefficients[0]), float(scale.intercept)
-    return LicenceModel(families, learner.fit(rows), slope, offset)
+    return LicenceModel(families, first, slope, offset)
 
 
 def scan(docs: DataFrame, model: LicenceModel, least: float = 0.5, similar: float = 0.5) -> DataFrame:
@@ -168,8 +182,11 @@ def scan(docs: DataFrame, model: LicenceModel, least: float = 0.5, similar: floa
     """
     spark = docs.sparkSession
     shapes = _templates(spark).select("family", grams(F.col("words"), 3).alias("g")).groupBy("family").agg(F.collect_list("g").alias("templates"))
-    scored = _margins(model.classifier, model.families, _features(paragraphs(docs.select("doc_id", "text")))).withColumn("p", model.probability(F.col("margin"))).where(F.col("p") >= least)
-    own = scored.select("key", "paragraph", "family", "p", grams(F.col("words"), 3).alias("own"))
+    scored = _margins(model.classifier, model.families, _features(paragraphs(docs.select("doc_id", "text"))))
+    likely = scored.withColumn("p", model.probability(F.col("best.margin"))).where(F.col("p") >= least)
+    # Few paragraphs pass; written, they are compared without scoring all others again.
+    likely = staged(likely.select("key", "paragraph", "words", "best.family", "p"), "licence-likely")
+    own = likely.select("key", "paragraph", "family", "p", grams(F.col("words"), 3).alias("own"))
     compared = own.join(shapes, "family")
     known = F.size(F.array_intersect("own", F.flatten("templates"))) / F.greatest(F.size("own"), F.lit(1))
     most = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.greatest(F.size(t), F.lit(1))))
