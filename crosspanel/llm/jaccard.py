@@ -243,7 +243,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     members = staged(members, "shingle-members")
 
     copies = members.where("doc_id <> rep").select("doc_id")
-    nodes = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").join(copies, "doc_id", "left_anti")
+    # Texts always meet ids in a merge join: the ids grow with the corpus, so sending them to
+    # every task would only work for a small one.
+    named = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    nodes = named.join(copies.hint("merge"), "doc_id", "left_anti")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
@@ -264,7 +267,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     votes = met.where("ref <> hub").groupBy("ref", "hub").agg(F.count("*").alias("votes"), F.min("n").alias("n"))
     first = votes.where(4 * F.col("votes") >= 1 + F.floor(F.col("n") / 64)).groupBy(F.col("ref").alias("y")).agg(F.max_by("hub", F.struct("votes", -F.col("hub"))).alias("x"))
     first = staged(first.select("x", "y"), "shingle-pairs")
-    compared = staged(_compared(first, _texts_of(first, nodes)), "shingle-compared")
+    compared = staged(_compared(first, _texts_of(first, named)), "shingle-compared")
     links = compared.where("linked").select("x", "y").distinct()
     label = components(links)
 
@@ -274,7 +277,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     open_ = staged(placed.join(spread, "key", "left_semi").distinct(), "shingle-open")
     rest = _open_pairs(open_, compared)
     rest = staged(rest.join(first, ["x", "y"], "left_anti"), "shingle-rest")
-    texts = _texts_of(rest, nodes)
+    texts = _texts_of(rest, named)
     near = staged(_plausible(rest, staged(_sketches(texts), "shingle-sketches")), "shingle-near")
     more = staged(_compared(near, texts).where("linked").select("x", "y").distinct(), "shingle-links")
     label = components(links.unionByName(more))
@@ -286,7 +289,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def _texts_of(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Texts of the nodes that occur in pairs, written once."""
     ends = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
-    return staged(nodes.join(ends, "doc_id", "left_semi"), "shingle-texts")
+    return staged(nodes.join(ends.hint("merge"), "doc_id", "left_semi"), "shingle-texts")
 
 
 def _open_pairs(open_: DataFrame, compared: DataFrame) -> DataFrame:
