@@ -24,9 +24,10 @@ from crosspanel.llm.frames import map_batches
 from crosspanel.llm.textbytes import text_slices
 
 MARK = "▁"
-MEMO_CHUNKS = 600_000
-MAX_COLUMNS = 256
-BLOCK_CELLS = 3_000_000
+MEMO_CHUNKS = 250_000
+MAX_COLUMNS = 128
+ENCODE_BYTES = 2 << 20
+BLOCK_CELLS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -267,7 +268,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, column: str = "ids") -> Data
     encoder = Encoder(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", ENCODE_BYTES):
             rows = encoder.encode_texts(part.column("text").to_pylist())
             sizes = np.array([0 if r is None else len(r) for r in rows])
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: ASCII lower-casing and the white space bytes 0x09-0x0D and 0x20.
 LOWER = np.arange(256, dtype=np.uint8)
