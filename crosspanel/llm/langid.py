@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, StructType
 
-from crosspanel.llm.frames import map_batches
+from crosspanel.llm.frames import map_batches, staged
 from crosspanel.llm.textbytes import LOWER, column_bytes, text_slices
 
 MAX_N = 4
@@ -83,7 +83,8 @@ def fit(labelled: DataFrame, per_lang: int = 300, max_rows: int = 2000, landmark
     Without any usable row the model knows no language.
     """
     rows = labelled.select("text", F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    # Written first, so that its size is known and the texts aren't shuffled by language.
+    counts = staged(rows.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
     picked = rows.join(counts, "lang").withColumn("h", F.xxhash64("text", "lang"))
     picked = picked.where(F.pmod(F.col("h"), F.col("n")) < per_lang).orderBy("h", "text").limit(max_rows).select("text", "lang")
     schema = StructType([StructField("lang", StringType()), StructField("bits", BinaryType())])
