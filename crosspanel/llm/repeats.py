@@ -7,8 +7,9 @@ suffixes share them and one row stands for a whole interval of starts:
 
 1. the core, all bytes between the first and last anchor that a window determines.  Windows
    with different cores differ, so an interval whose core occurs once is done;
-2. the hull, a span between anchors (or text ends) around all windows of the interval.  If it
-   occurs twice, so do all of its windows, and the interval is done as well;
+2. the hull, a span between anchors (or text ends) around all windows of the interval, with the
+   interval's place in it.  If both occur twice, so do all of its windows, and the interval is
+   done as well.  Two intervals of a looped passage may share one hull, but not their place in it;
 3. the windows themselves, for the few intervals at the borders of repeated passages.
 
 Anchors are positions whose hash is the smallest within ``REACH`` positions.  Groups are only
@@ -111,7 +112,9 @@ def intervals(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int
     padded = np.concatenate([[-1], marks, [len(raw) + GRAM]])
     lo = np.maximum(padded[np.searchsorted(marks, first, side="right")], starts[row])
     hi = np.minimum(padded[np.searchsorted(marks, first + length - 1 + window - GRAM) + 1] + GRAM, ends[row])
-    hull = hashes.of(lo, hi)
+    # With the place of the interval in it, equal hulls are always two places of the table.
+    place = ((first - lo) << LENGTH_BITS) | length
+    hull = mix64(hashes.of(lo, hi) + mix64(place.astype(_U) + _U(1)))
     return row, first - starts[row], length, core.view(np.int64), hull.view(np.int64), cored
 
 

@@ -473,6 +473,15 @@ def test_repeats_equal_brute_force(make, odd):
     assert repeats.remove_repeats(odd.limit(0)).count() == 0
 
 
+def test_lines_repeated_a_few_times_equal_brute_force(make):
+    # Intervals of one looped passage share core and hull at different offsets.
+    rng = random.Random(23)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = [(i, text(700) + text(49 + i % 122) * rng.randrange(3, 9) + text(700)) for i in range(366)]
+    got = sorted([tuple(r) for r in repeats.digests(repeats.remove_repeats(make(rows))).collect()], key=repr)
+    assert got == repeat_truth(rows, repeats.WINDOW)
+
+
 # 10. Secrets
 
 ASSIGN = r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
