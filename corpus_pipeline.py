@@ -14,7 +14,7 @@ from crosspanel.llm.frames import read_input, row_key
 from crosspanel.llm.queries import vocabulary
 from crosspanel.session import ship_package, stage_table
 
-#: Share of the positive language scores that the winner needs; four equal languages give 0.25.
+#: Score that a text needs: about half of the margin that nearly all held-out labelled texts reach.
 LEAST_LANGUAGE_SCORE = 0.35
 
 

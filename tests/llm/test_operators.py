@@ -340,6 +340,29 @@ def test_language_without_labels(spark, odd):
     assert langid.predict(odd.limit(0), model).count() == 0
 
 
+def test_long_clean_texts_are_kept(spark, make):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    joined = duckdb.sql("SELECT lang, string_agg(text, chr(10) ORDER BY doc_id) FROM '/root/testdata/sf0.1/documents.parquet' WHERE lang IS NOT NULL GROUP BY 1 ORDER BY 1").fetchall()
+    assert min(len(t) for _, t in joined) > 2_000_000
+    long = make([(10**6 + i, t) for i, (_, t) in enumerate(joined)])
+    every = docs.unionByName(long.select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns]))
+    kept = corpus_pipeline.language(spark, every, "")
+    assert {r.doc_id for r in kept.where(f"doc_id >= {10**6}").select("doc_id").collect()} == {10**6 + i for i in range(len(joined))}
+    judged = langid.predict(long, langid.fit(docs.select("text", "lang"))).collect()
+    assert {r.doc_id: r.lang_pred for r in judged} == {10**6 + i: lang for i, (lang, _) in enumerate(joined)}
+
+
+def test_many_languages_do_not_lower_the_score(spark, make):
+    rng = random.Random(29)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8)))
+    words = {f"l{k:02}": [word() for _ in range(150)] for k in range(16)}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(i * 100 + j, text(lang, 60), lang) for i, lang in enumerate(words) for j in range(40)]
+    long = [(10**6 + i, text(lang, 60_000)) for i, lang in enumerate(words)]
+    kept = corpus_pipeline.language(spark, make(rows + long), "").select("doc_id").collect()
+    assert {10**6 + i for i in range(16)} <= {r.doc_id for r in kept} and len(kept) >= 0.98 * len(rows + long)
+
+
 def test_kernel_matches_its_definition():
     import numpy as np
 
