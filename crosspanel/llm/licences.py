@@ -22,6 +22,8 @@ from crosspanel.llm.quality import let
 
 UNKNOWN = "unknown"
 FEATURES = 1 << 13
+#: Lines of at most so many words are compared by two-word grams, of which a single odd word takes fewer.
+SHORT = 5
 
 #: Notices by licence family, as their licences word them.
 TEMPLATES: dict[str, list[str]] = {
@@ -49,7 +51,34 @@ TEMPLATES: dict[str, list[str]] = {
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "Except where otherwise noted, content is licensed under CC BY 4.0.",
+        "Licensed under CC BY 4.0.",
+        "Licensed under CC BY-SA 4.0.",
         "SPDX-License-Identifier: CC-BY-4.0",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
+    ],
+    "cc-by-nc": [
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "Except where otherwise noted, content is licensed under CC BY-NC 4.0.",
+        "Licensed under CC BY-NC 4.0.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
+    ],
+    "cc-by-nc-nd": [
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+        "Except where otherwise noted, content is licensed under CC BY-NC-ND 4.0.",
+        "Licensed under CC BY-NC-ND 4.0.",
+        "SPDX-License-Identifier: CC-BY-NC-ND-4.0",
+    ],
+    "cc-by-nc-sa": [
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "Except where otherwise noted, content is licensed under CC BY-NC-SA 4.0.",
+        "Licensed under CC BY-NC-SA 4.0.",
+        "SPDX-License-Identifier: CC-BY-NC-SA-4.0",
+    ],
+    "cc-by-nd": [
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "Except where otherwise noted, content is licensed under CC BY-ND 4.0.",
+        "Licensed under CC BY-ND 4.0.",
+        "SPDX-License-Identifier: CC-BY-ND-4.0",
     ],
     "cc0": [
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
@@ -176,18 +205,19 @@ def scan(docs: DataFrame, model: LicenceModel, least: float = 0.5, similar: floa
 
     A hit is (paragraph, family, probability, similarity, confirmed) of a paragraph that isn't
     unknown; ``licences`` holds the families of confirmed hits.  Similarity is the larger of the
-    share of the paragraph's three-word grams that the family's templates have and the largest
+    share of the paragraph's word grams (three words, two in short paragraphs) that the family's templates have and the largest
     share of one template's grams that the paragraph has.  Null and empty texts have no
     paragraphs.  Repeated rows get equal results.
     """
     spark = docs.sparkSession
-    shapes = _templates(spark).select("family", grams(F.col("words"), 3).alias("g")).groupBy("family").agg(F.collect_list("g").alias("templates"))
+    shapes = _templates(spark).groupBy("family").agg(*[F.collect_list(grams(F.col("words"), n)).alias(f"templates{n}") for n in (2, 3)])
     scored = _margins(model.classifier, model.families, _features(paragraphs(docs.select("doc_id", "text"))))
     likely = scored.withColumn("p", model.probability(F.col("best.margin"))).where(F.col("p") >= least)
     # Few paragraphs pass; written, they are compared without scoring all others again.
     likely = staged(likely.select("key", "paragraph", "words", "best.family", "p"), "licence-likely")
-    own = likely.select("key", "paragraph", "family", "p", grams(F.col("words"), 3).alias("own"))
-    compared = own.join(shapes, "family")
+    short = F.size("words") <= SHORT
+    own = F.when(short, grams(F.col("words"), 2)).otherwise(grams(F.col("words"), 3)).alias("own")
+    compared = likely.join(shapes, "family").select("key", "paragraph", "family", "p", own, F.when(short, F.col("templates2")).otherwise(F.col("templates3")).alias("templates"))
     known = F.size(F.array_intersect("own", F.flatten("templates"))) / F.greatest(F.size("own"), F.lit(1))
     most = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.greatest(F.size(t), F.lit(1))))
     hits = compared.select("key", "paragraph", "family", F.round("p", 4).alias("probability"), F.round(F.greatest(known, most), 4).alias("similarity"))

@@ -231,6 +231,24 @@ def test_licences_are_found_and_confirmed(spark, make, odd):
     assert licences.scan(df.limit(0), model).count() == 0
 
 
+def test_noncommercial_and_noderivative_notices_are_found(make):
+    words = "tree stone river cloud house green paper light under over walk sing table with from that this license".split()
+    rng = random.Random(31)
+    line = lambda: " ".join(rng.choice(words) for _ in range(14)) + "."
+    docs = [(i, "\n".join(line() for _ in range(4))) for i in range(200)]
+    names = {"BY": "Attribution", "NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
+    planted = {}
+    for code in ("BY", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        long = "-".join(names[x] for x in code.split("-"))
+        for text in (f"Licensed under CC {code} 4.0.", f"This work is licensed under a Creative Commons {long} 4.0 International License."):
+            planted[1000 + len(planted)] = (f"cc-{code.lower()}", text)
+    docs += [(i, f"{line()}\n{text}\n{line()}") for i, (_, text) in planted.items()]
+    df = make(docs)
+    got = {r.doc_id: r.licences for r in licences.scan(df, licences.fit(df)).collect()}
+    assert {i: got[i] for i in planted} == {i: f for i, (f, _) in planted.items()}
+    assert all(got[i] == "" for i in range(200))
+
+
 # 5. Winnowing
 
 
