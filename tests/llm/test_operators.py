@@ -57,6 +57,14 @@ def test_pseudonyms_keep_format_and_links():
     assert pii.Pseudonymiser(b"x" * 16).replace("2024-02-29")[0] != p.replace("2024-02-29")[0]
 
 
+def test_dates_with_a_time_are_replaced_alike():
+    p = pii.Pseudonymiser(KEY)
+    text, spans = p.replace("2024-05-06T10:00:00Z 2024-05-06 2024-05-06T1 2024-05-06Tx 2024-02-30T10:00")
+    timed, plain, *others = text.split(" ")
+    assert timed == plain + "T10:00:00Z" and plain != "2024-05-06" and [s[0] for s in spans] == ["date", "date"]
+    assert others == ["2024-05-06T1", "2024-05-06Tx", "2024-02-30T10:00"]
+
+
 def test_pseudonymise_odd_rows(odd, make):
     rows = pii.pseudonymise(clashing(odd), KEY).collect()
     assert len(rows) == 9 and all(r.pii == [] for r in rows)
