@@ -71,7 +71,7 @@ def e05(t: Tables) -> DataFrame:
 table("t_full_dates_any", "SELECT DISTINCT date FROM t_factors")
 
 
-@query("e06_fold_sizes", f"""SELECT s.seed, f.fold, count(*) AS n FROM (SELECT (row_number() OVER () - 1) % 10 AS fold FROM t_full_dates_any) f, (VALUES (1), (2), (3)) s(seed) GROUP BY 1, 2""")
+@query("e06_fold_sizes", f"""SELECT s.seed, f.fold, count(*) AS n FROM (SELECT (row_number() OVER () - 1) % 10 AS fold FROM t_full_dates_any) f, (SELECT unnest(range({CV_SEEDS.start}, {CV_SEEDS.stop}))::INT AS seed) s GROUP BY 1, 2""")
 def e06(t: Tables) -> DataFrame:
     """Fold sizes per seed; which dates share a fold depends on the hash."""
     d = DS.assign_folds(t.research.factors.select("date").distinct(), CV_SEEDS)
