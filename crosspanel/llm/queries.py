@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from crosspanel.llm import jaccard, langid, licences, pieces, pii, quality, repeats, secrets, warc, winnow
+from crosspanel.llm import jaccard, langid, licences, pieces, pii, quality, repair, repeats, secrets, shards, trie, warc, winnow
 from crosspanel.llm.frames import read_input
 
 VOCABULARY_KEY = "spark.crosspanel.vocabulary"
@@ -68,7 +68,27 @@ def op10_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digests(secrets.find_secrets(docs, secrets.fit(docs)).drop("text"))
 
 
+def op11_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shuffle_records(read_input(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+def op12_zfast_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(read_input(spark, sf_dir, "conversations")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digests(repair.damaged(read_input(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_feistel_pseudonyms, op2_sentencepiece, op3_adaptive_quality, op4_licence_classifier, op5_winnowing, op6_warc_source, op7_string_kernel, op8_parity_sketch_join, op9_radix_repeats, op10_secret_grammar)
+    f.__name__: f for f in (op1_feistel_pseudonyms, op2_sentencepiece, op3_adaptive_quality, op4_licence_classifier, op5_winnowing, op6_warc_source, op7_string_kernel, op8_parity_sketch_join, op9_radix_repeats, op10_secret_grammar, op11_two_pass_shuffle, op12_zfast_trie, op13_conversation_repair)
+}
+ORACLES: dict[str, str] = {
+    "op3_adaptive_quality": quality.ORACLE,
+    "op5_winnowing": winnow.ORACLE,
+    "op6_warc_source": warc.ORACLE,
+    "op8_parity_sketch_join": jaccard.ORACLE,
+    "op11_two_pass_shuffle": shards.ORACLE,
+    "op12_zfast_trie": trie.ORACLE,
+    "op13_conversation_repair": repair.ORACLE,
 }
-ORACLES: dict[str, str] = {"op3_adaptive_quality": quality.ORACLE, "op5_winnowing": winnow.ORACLE, "op6_warc_source": warc.ORACLE, "op8_parity_sketch_join": jaccard.ORACLE}
