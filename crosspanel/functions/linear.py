@@ -19,53 +19,75 @@ def centred(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
 def lasso_path(g: np.ndarray, c: np.ndarray, lambdas: np.ndarray, alpha: float = 1.0, tol: float = 1e-10, max_sweeps: int = 2000) -> np.ndarray:
     """Minimise b'gb/2 - c'b + lam * (alpha |b|_1 + (1 - alpha) |b|^2 / 2) per lambda.
 
-    Cyclic coordinate descent with warm starts; after each sweep the active set is
-    solved directly, which is exact as soon as signs and optimality conditions hold.
     Returns one column of coefficients per lambda, and raises when one isn't solved.
     """
-    p = len(c)
-    b, r = np.zeros(p), c.astype(float).copy()
-    diag = np.diag(g).copy()
-    scale = max(float(np.max(np.abs(c))) if p else 0.0, 1e-300)
-    out = np.zeros((p, len(lambdas)))
+    return lasso_paths(np.asarray(g, float)[None], np.asarray(c, float)[None], lambdas, alpha, tol, max_sweeps)[0]
+
+
+def lasso_paths(g: np.ndarray, c: np.ndarray, lambdas: np.ndarray, alpha: float = 1.0, tol: float = 1e-10, max_sweeps: int = 2000) -> np.ndarray:
+    """The same for many problems at once: problem x p x p and problem x p to problem x p x lambda.
+
+    The signs of the last penalty are tried first: the equations on its active set are solved
+    directly, which is exact if signs and optimality conditions hold.  Problems for which they
+    don't go through a sweep of coordinate descent and try again.
+    """
+    n, p = c.shape
+    out = np.zeros((n, p, len(lambdas)))
+    b = np.zeros((n, p))
+    diag = np.einsum("npp->np", g)
+    scale = tol * np.maximum(np.abs(c).max(axis=1, initial=0.0), 1e-300)
     for k, lam in enumerate(lambdas):
         l1, l2 = lam * alpha, lam * (1.0 - alpha)
+        exact, found = _on_active(g, c, b, l1, l2, scale)
+        b[found] = exact[found]
+        open_ = np.flatnonzero(~found)
         for _ in range(max_sweeps):
-            moved = 0.0
-            for j in range(p):
-                if diag[j] <= 0.0:
-                    continue
-                z = r[j] + diag[j] * b[j]
-                new = np.sign(z) * max(abs(z) - l1, 0.0) / (diag[j] + l2)
-                step = new - b[j]
-                if step != 0.0:
-                    r -= g[:, j] * step
-                    b[j] = new
-                    moved = max(moved, abs(step) * diag[j])
-            if moved <= tol * scale:
-                break
-            active = np.flatnonzero(b)
-            if active.size == 0:
+            if not len(open_):
                 break
-            sign = np.sign(b[active])
-            try:
-                exact = np.linalg.solve(g[np.ix_(active, active)] + l2 * np.eye(active.size), c[active] - l1 * sign)
-            except np.linalg.LinAlgError:
-                continue
-            if np.all(np.sign(exact) == sign):
-                full = np.zeros(p)
-                full[active] = exact
-                rest = c - g @ full
-                slack = np.abs(np.delete(rest, active))
-                if slack.size == 0 or slack.max() <= l1 + tol * scale:
-                    b, r = full, rest
-                    break
-        else:
+            go, bo, do = g[open_], b[open_], diag[open_]
+            r = c[open_] - np.einsum("nij,nj->ni", go, bo)
+            moved = np.zeros(len(open_))
+            for j in range(p):
+                z = r[:, j] + do[:, j] * bo[:, j]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    new = np.where(do[:, j] > 0.0, np.sign(z) * np.maximum(np.abs(z) - l1, 0.0) / (do[:, j] + l2), 0.0)
+                step = new - bo[:, j]
+                r -= go[:, :, j] * step[:, None]
+                bo[:, j] = new
+                moved = np.maximum(moved, np.abs(step) * do[:, j])
+            exact, found = _on_active(go, c[open_], bo, l1, l2, scale[open_])
+            bo[found] = exact[found]
+            b[open_] = bo
+            open_ = open_[~found & (moved > scale[open_])]
+        if len(open_):
             raise ArithmeticError(f"lasso at penalty {lam:g} is not solved after {max_sweeps} sweeps")
-        out[:, k] = b
+        out[:, :, k] = b
     return out
 
 
+def _on_active(g: np.ndarray, c: np.ndarray, b: np.ndarray, l1: float, l2: float, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Solutions with the signs of ``b``, and whether they meet the optimality conditions."""
+    sign = np.sign(b)
+    on = sign != 0.0
+    size = g.shape[1]
+    system = np.where(on[:, :, None] & on[:, None, :], g, 0.0)
+    system[:, np.arange(size), np.arange(size)] += np.where(on, l2, 1.0)
+    side = np.where(on, c - l1 * sign, 0.0)
+    solvable = np.ones(len(b), dtype=bool)
+    try:
+        x = np.linalg.solve(system, side[:, :, None])[:, :, 0]
+    except np.linalg.LinAlgError:
+        x = np.zeros_like(b)
+        for i in range(len(b)):
+            try:
+                x[i] = np.linalg.solve(system[i], side[i])
+            except np.linalg.LinAlgError:
+                solvable[i] = False
+    x = np.where(on, x, 0.0)
+    rest = np.abs(np.where(on, 0.0, c - np.einsum("nij,nj->ni", g, x)))
+    return x, solvable & np.all(np.sign(x) == sign, axis=1) & (rest.max(axis=1, initial=0.0) <= l1 + slack)
+
+
 def intercept_lasso(cov: np.ndarray, cross: np.ndarray, yy: float, lam: float, alpha: float) -> tuple[np.ndarray, float]:
     """Lasso with intercept on raw columns: coefficients and mean squared error."""
     b = lasso_path(cov, cross, np.array([lam]), alpha)[:, 0]
@@ -74,12 +96,17 @@ def intercept_lasso(cov: np.ndarray, cross: np.ndarray, yy: float, lam: float, a
 
 def series_lasso(gram: np.ndarray, lambdas: np.ndarray, alpha: float) -> np.ndarray:
     """No intercept, columns scaled to unit standard deviation; index 1 is y."""
-    cov, _, n = centred(gram)
-    sd = np.sqrt(np.maximum(np.diag(cov)[1:], 0.0))
+    return series_lassos(gram[None], lambdas, alpha)[0]
+
+
+def series_lassos(grams: np.ndarray, lambdas: np.ndarray, alpha: float) -> np.ndarray:
+    """The same for a stack of grams: problem x p x lambda."""
+    n = grams[:, 0, 0]
+    mean = grams[:, 0, 2:] / n[:, None]
+    sd = np.sqrt(np.maximum(np.einsum("npp->np", grams)[:, 2:] / n[:, None] - mean**2, 0.0))
     sd[sd == 0.0] = 1.0
-    g = gram[2:, 2:] / n / np.outer(sd, sd)
-    c = gram[2:, 1] / n / sd
-    return lasso_path(g, c, lambdas, alpha) / sd[:, None]
+    g = grams[:, 2:, 2:] / n[:, None, None] / (sd[:, :, None] * sd[:, None, :])
+    return lasso_paths(g, grams[:, 2:, 1] / n[:, None] / sd, lambdas, alpha) / sd[:, :, None]
 
 
 def fold_errors(gram: np.ndarray, beta: np.ndarray) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Moment matrices of long return tables.
 
 Nothing here pairs rows with rows.  A gram matrix is accumulated inside each input
-partition over Arrow batches and only p x p partial sums are shuffled; asset-factor
+partition over Arrow batches and shuffled as one packed triangle a key and task; asset-factor
 covariances are plain partial aggregates over a table that is wide in the (few,
 named) factors.
 """
@@ -9,12 +9,17 @@ named) factors.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 FLUSH_KEYS = 256
+LANES = 64
+#: Seeds and assets whose fold moments a task holds at once.
+SEED_BLOCK, ASSET_BLOCK = 10, 256
 
 
 def wide_series(long: DataFrame, names: Sequence[str], date: str = "date", name: str = "factor", value: str = "ret") -> DataFrame:
@@ -27,25 +32,82 @@ def vector(names: Sequence[str]) -> Column:
     return F.array(*[F.col(n).cast("double") for n in names])
 
 
-def gram(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
-    """Sums of x_i x_j per key, index 0 being the constant 1: (keys, i, j, s).
+def packed(m: np.ndarray) -> np.ndarray:
+    """Upper triangles of the last two axes, row by row."""
+    i, j = np.triu_indices(m.shape[-1])
+    return m[..., i, j]
+
+
+def unpacked(state: np.ndarray) -> np.ndarray:
+    """The symmetric matrix of a packed triangle."""
+    size = int(np.sqrt(2 * len(state)))
+    m = np.zeros((size, size))
+    m[np.triu_indices(size)] = state
+    return m + np.triu(m, 1).T
+
+
+def merge_states(parts: DataFrame, keys: Sequence[str], states: Sequence[str]) -> DataFrame:
+    """Sums of packed matrices per key, as full matrices in row-major arrays.
+
+    ``parts`` has one row a key and task.  They are added up as they stream by, first within
+    ``LANES`` lanes a key, then over the lanes, so no task receives the states of all others.
+    """
+    keys = list(keys)
+    fields = [parts.schema[k] for k in keys]
+    array = [T.StructField(s, T.ArrayType(T.DoubleType())) for s in states]
+
+    def adder(by: list[str], full: bool):
+        def rows(key: tuple, sums: list[np.ndarray]) -> pa.RecordBatch:
+            values = [unpacked(x).ravel() if full else x for x in sums]
+            return pa.RecordBatch.from_arrays([*[pa.array([k], t) for k, t in zip(key, kinds, strict=True)], *[pa.array([v], pa.list_(pa.float64())) for v in values]], names)
+
+        names = [*by, *states]
+        kinds: list[pa.DataType] = []
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, sums = None, None
+            for batch in batches:
+                kinds[:] = [batch.schema.field(k).type for k in by]
+                columns = [batch.column(k).to_pylist() for k in by]
+                for i in range(batch.num_rows):
+                    key = tuple(c[i] for c in columns)
+                    state = [batch.column(s)[i].values.to_numpy(zero_copy_only=False) for s in states]
+                    if key == at:
+                        sums = [x + y for x, y in zip(sums, state, strict=True)]
+                        continue
+                    if at is not None:
+                        yield rows(at, sums)
+                    at, sums = key, state
+            if at is not None:
+                yield rows(at, sums)
+
+        return run
+
+    lane = T.StructField("_lane", T.IntegerType())
+    some = parts.withColumn("_lane", F.spark_partition_id() % LANES).repartition("_lane", *keys).sortWithinPartitions("_lane", *keys)
+    some = some.mapInArrow(adder(["_lane", *keys], False), T.StructType([lane, *fields, *array])).drop("_lane")
+    every = some.repartition(*keys).sortWithinPartitions(*keys) if keys else some.repartition(1)
+    return every.mapInArrow(adder(keys, True), T.StructType([*fields, *array]))
+
+
+def gram_rows(df: DataFrame, keys: Sequence[str], vec: str, out: str = "gram") -> DataFrame:
+    """Sums of x_i x_j per key, index 0 being the constant 1, as one row-major array a key.
 
     Rows with a null in the vector must be filtered by the caller.
     """
     keys = list(keys)
-    schema = T.StructType(
-        [df.schema[k] for k in keys] + [T.StructField("i", T.IntegerType()), T.StructField("row", T.ArrayType(T.DoubleType()))]
-    )
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def emit(acc: dict) -> pd.DataFrame:
-        rows = [(*key, i, m[i].tolist()) for key, m in acc.items() for i in range(len(m))]
-        return pd.DataFrame(rows, columns=[*keys, "i", "row"])
+        return pd.DataFrame([(*key, packed(m)) for key, m in acc.items()], columns=[*keys, out])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[tuple, np.ndarray] = {}
         for pdf in batches:
             groups = pdf.groupby(keys, sort=False) if keys else [((), pdf)]
             for key, g in groups:
+                if not len(g):
+                    continue
                 key = key if isinstance(key, tuple) else (key,)
                 x = np.vstack(g[vec].to_numpy())
                 x = np.hstack([np.ones((len(x), 1)), x])
@@ -57,16 +119,13 @@ def gram(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
         if acc:
             yield emit(acc)
 
-    parts = df.select(*keys, vec).mapInPandas(partial, schema)
-    cells = parts.select(*keys, "i", F.posexplode("row").alias("j", "v"))
-    return cells.groupBy(*keys, "i", "j").agg(F.sum("v").alias("s"))
+    return merge_states(df.select(*keys, vec).mapInPandas(partial, schema), keys, [out])
 
 
-def gram_rows(df: DataFrame, keys: Sequence[str], vec: str, out: str = "gram") -> DataFrame:
-    """The same matrix flattened to one array per key (row-major, p^2 entries)."""
-    cells = gram(df, keys, vec)
-    flat = F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "s"))), lambda x: x["s"])
-    return cells.groupBy(*keys).agg(flat.alias(out))
+def gram(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
+    """The same sums cell by cell: (keys, i, j, s)."""
+    flat = gram_rows(df, keys, vec, "_m").select(*keys, F.sqrt(F.size("_m")).cast("int").alias("_size"), F.posexplode("_m").alias("_k", "s"))
+    return flat.select(*keys, F.floor(F.col("_k") / F.col("_size")).cast("int").alias("i"), (F.col("_k") % F.col("_size")).alias("j"), "s")
 
 
 def _pair_table(long: DataFrame, names: Sequence[str], name: str, value: str, out: str, entry) -> DataFrame:
@@ -133,41 +192,80 @@ def asset_covariances(assets: DataFrame, wide: DataFrame, controls: Sequence[str
     )
 
 
-def fold_asset_covariances(assets: DataFrame, wide: DataFrame, folds: DataFrame, controls: Sequence[str], tests: Sequence[str]) -> DataFrame:
-    """Per asset, seed and fold: the vector [mean, cov_h, cov_g] on both sides.
+@dataclass(frozen=True)
+class FoldCalendar:
+    """Dates with their factor values and, for every seed, their folds.
 
-    Sums are aggregated once per fold; the training side is the asset's total minus
-    the fold.  Needs complete assets and factors.  Output: (asset, seed, fold,
-    train, test).
+    Its size is that of the calendar times factors and seeds; neither grows with the assets.
     """
-    names = [*controls, *tests]
-    d = assets.select("asset", "date", "ret").join(wide, "date").join(folds, "date")
-    fold_sums = d.groupBy("asset", "seed", "fold").agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        F.sum("ret").alias("r"),
-        F.array(*[F.sum(F.col("ret") * F.col(x)) for x in names]).alias("rf"),
-        F.array(*[F.sum(F.col(x)) for x in names]).alias("f"),
-    )
-    w = Window.partitionBy("asset", "seed")
-    total = {
-        "tn": F.sum("n").over(w),
-        "tr": F.sum("r").over(w),
-        "trf": F.array(*[F.sum(F.col("rf")[k]).over(w) for k in range(len(names))]),
-        "tf": F.array(*[F.sum(F.col("f")[k]).over(w) for k in range(len(names))]),
-    }
-    d = fold_sums.withColumns(total)
-
-    def minus(a: str, b: str) -> Column:
-        return F.zip_with(a, b, lambda x, y: x - y)
-
-    d = d.select(
-        "asset", "seed", "fold", "n", "r", "rf", "f",
-        (F.col("tn") - F.col("n")).alias("n2"), (F.col("tr") - F.col("r")).alias("r2"),
-        minus("trf", "rf").alias("rf2"), minus("tf", "f").alias("f2"),
-    )
 
-    def side(n: str, r: str, rf: str, f: str) -> Column:
-        cov = F.zip_with(rf, f, lambda x, y: F.try_divide(x - F.try_divide(F.col(r) * y, F.col(n)), F.col(n) - 1))
-        return F.concat(F.array(F.try_divide(r, n)), cov)
+    dates: list
+    factors: np.ndarray  # dates x factors
+    seeds: list[int]
+    folds: np.ndarray  # seeds x dates
+    count: int  # of folds
+
+    def indicators(self, some: slice) -> np.ndarray:
+        """(seed, fold) x date matrix of a block of seeds."""
+        block = self.folds[some]
+        return (block[:, None, :] == np.arange(self.count)[None, :, None]).reshape(-1, len(self.dates)).astype(float)
+
+
+def fold_calendar(wide: DataFrame, folds: DataFrame, names: Sequence[str]) -> FoldCalendar:
+    """Collect the calendar of ``folds`` (date, seed, fold); every factor has a value on its dates."""
+    by_seed = F.array_sort(F.collect_list(F.struct("seed", "fold"))).alias("folds")
+    rows = wide.join(folds.groupBy("date").agg(by_seed), "date").select("date", vector(names).alias("f"), "folds.seed", "folds.fold").orderBy("date").collect()
+    seeds = list(rows[0].seed) if rows else []
+    table = np.array([r.fold for r in rows], dtype=int).reshape(len(rows), len(seeds)).T
+    return FoldCalendar([r.date for r in rows], np.array([r.f for r in rows], dtype=float).reshape(len(rows), len(names)), seeds, table, int(table.max(initial=-1)) + 1)
+
+
+def fold_vectors(returns: np.ndarray, calendar: FoldCalendar, some: slice) -> tuple[np.ndarray, np.ndarray]:
+    """[mean, covariances] of assets outside and inside each fold: (seed, fold) x asset x factor.
 
-    return d.select("asset", "seed", "fold", side("n2", "r2", "rf2", "f2").alias("train"), side("n", "r", "rf", "f").alias("test"))
+    All folds of a block of seeds come from one product of returns, times the factors, with the
+    indicator matrix.  A fold of a single date has no covariance (NaN).
+    """
+    inside = calendar.indicators(some)
+    k = calendar.factors.shape[1]
+    weights = (inside[:, :, None] * np.concatenate([np.ones((len(calendar.dates), 1)), calendar.factors], axis=1)[None]).transpose(1, 0, 2)
+    sums = (returns @ weights.reshape(len(calendar.dates), -1)).reshape(len(returns), len(inside), 1 + k).transpose(1, 0, 2)
+    per_seed = sums.reshape(-1, calendar.count, *sums.shape[1:]).sum(axis=1).repeat(calendar.count, axis=0)
+    n, f = inside.sum(axis=1), inside @ calendar.factors
+
+    def vectors(s: np.ndarray, n: np.ndarray, f: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            n = np.where(n > 0, n, np.nan)[:, None, None]
+            cov = (s[:, :, 1:] - s[:, :, :1] * f[:, None, :] / n) / np.where(n > 1, n - 1, np.nan)
+            return np.concatenate([s[:, :, :1] / n, cov], axis=2)
+
+    return vectors(per_seed - sums, len(calendar.dates) - n, calendar.factors.sum(axis=0) - f), vectors(sums, n, f)
+
+
+def fold_asset_grams(assets: DataFrame, calendar: FoldCalendar) -> DataFrame:
+    """(seed, fold, m_train, m_test): grams over assets of [1, mean, covariances] of both sides of a fold.
+
+    An asset is one row with its returns; rows aren't repeated by seed or fold.  A task adds up
+    the grams of its assets a few seeds at a time.  Needs complete assets on the calendar.
+    """
+    spark = assets.sparkSession
+    days = spark.createDataFrame([(d,) for d in calendar.dates], assets.select("date").schema)
+    rows = assets.join(days, "date", "left_semi").groupBy("asset").agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "ret"))), lambda x: x["ret"]).alias("r"))
+    schema = "seed int, fold int, m_train array<double>, m_test array<double>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [np.vstack(pdf["r"].to_numpy()) for pdf in batches if len(pdf)]
+        if not held:
+            return
+        returns = np.vstack(held)
+        for first in range(0, len(calendar.seeds), SEED_BLOCK):
+            some = slice(first, first + SEED_BLOCK)
+            seeds = calendar.seeds[some]
+            sums = [0.0, 0.0]
+            for at in range(0, len(returns), ASSET_BLOCK):
+                for side, v in enumerate(fold_vectors(returns[at : at + ASSET_BLOCK], calendar, some)):
+                    v = np.concatenate([np.ones((*v.shape[:2], 1)), v], axis=2)
+                    sums[side] = sums[side] + packed(v.transpose(0, 2, 1) @ v)
+            yield pd.DataFrame({"seed": np.repeat(seeds, calendar.count), "fold": np.tile(np.arange(calendar.count), len(seeds)), "m_train": list(sums[0]), "m_test": list(sums[1])})
+
+    return merge_states(rows.select("r").mapInPandas(run, schema), ["seed", "fold"], ["m_train", "m_test"])

@@ -20,12 +20,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crosspanel.functions import linear as L
-from crosspanel.operators.moments import asset_covariances, fold_asset_covariances, gram_rows, vector, wide_series
+from crosspanel.operators.moments import FoldCalendar, asset_covariances, fold_asset_grams, fold_calendar, gram_rows, vector, wide_series
 from crosspanel.operators.performance import series_average_test
 from crosspanel.session import stage_table
 
 # The log-spaced penalty grid and fold count of the published method.
 GRID_END, GRID_SIZE, FOLDS = -35.0, 100, 10
+#: Folds whose problems are solved together.
+PROBLEM_BLOCK = 32
 BASIS_POINTS = 10_000.0
 
 
@@ -436,6 +438,60 @@ def component_names(n: int) -> list[str]:
 # --- cross-validation of all three selections -----------------------------------------------
 
 
+def _fold_curves(inputs: SelectionInputs, moments: DataFrame, calendar: FoldCalendar, lambdas: np.ndarray, alpha: float) -> DataFrame:
+    """Error curves of the three selections per (test, seed, fold), a row of ``moments`` giving those of all tests.
+
+    The first selection doesn't involve the test factor and is solved once a fold.
+    """
+    p, tests = len(inputs.controls), inputs.tests
+    at = {d: i for i, d in enumerate(calendar.dates)}
+    every: dict[str, list] = {g: [] for g in tests}
+    for r in inputs.series.select("test", "date", "v").collect():  # calendar x tests, whatever the assets
+        every[r.test].append((at.get(r.date, -1), r.v))
+    series = {g: (np.array([i for i, _ in rows], dtype=int), np.array([[1.0, *v] for _, v in rows]).reshape(len(rows), 2 + p)) for g, rows in every.items()}
+    seed_at = {s: i for i, s in enumerate(calendar.seeds)}
+    first = inputs.moments.select("m", "var_h").first()
+    pen = _penalty(_square(first.m), first.var_h, p)
+    h = slice(1, 1 + p)
+
+    ys = [0, *range(1 + p, 1 + p + len(tests))]
+
+    def errors(rows: pd.DataFrame) -> list[pd.DataFrame]:
+        """Curves of some folds; all their problems go through the solver together."""
+        train, test = (np.stack([_square(m) for m in rows[side]]) for side in ("m_train", "m_test"))
+        mean = train[:, 0, 1:] / train[:, :1, 0]
+        cov = train[:, 1:, 1:] / train[:, :1, :1] - mean[:, :, None] * mean[:, None, :]
+        xx = cov[:, h, h] * np.outer(pen, pen)
+        cross = pen * cov[:, h][:, :, ys].transpose(0, 2, 1)
+        b = L.lasso_paths(np.repeat(xx, len(ys), axis=0), cross.reshape(-1, p), lambdas, alpha).reshape(len(rows), len(ys), p, -1) * pen[:, None]
+        curves = []
+        for k, y in enumerate(ys):
+            # Residual weights on [1, y, x] turn the test gram into squared errors.
+            at = [0, 1 + y, *range(2, 2 + p)]
+            block = test[:, at][:, :, at]
+            a0 = mean[:, y, None] - np.einsum("nj,njl->nl", mean[:, h], b[:, k])
+            e = np.concatenate([-a0[:, None], np.ones((len(rows), 1, len(lambdas))), -b[:, k]], axis=1)
+            curves.append(np.einsum("nil,nij,njl->nl", e, block, e, optimize=True) / test[:, :1, 0])
+        out = []
+        for k, g in enumerate(tests):
+            place, x = series[g]
+            inside = [np.where(place >= 0, (calendar.folds[seed_at[s]] == f)[place], False) for s, f in zip(rows["seed"], rows["fold"], strict=True)]
+            held, used = (np.stack([x[i if side else ~i].T @ x[i if side else ~i] for i in inside]) for side in (True, False))
+            beta = L.series_lassos(used, lambdas, alpha)
+            mse3 = [L.fold_errors(held[i], beta[i]) for i in range(len(rows))]
+            out.append(pd.DataFrame({"test": g, "seed": rows["seed"].to_numpy(), "fold": rows["fold"].to_numpy(), "mse1": list(curves[0]), "mse2": list(curves[1 + k]), "mse3": mse3}))
+        return out
+
+    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for first in range(0, len(pdf), PROBLEM_BLOCK):
+                yield from errors(pdf.iloc[first : first + PROBLEM_BLOCK])
+
+    n = int(moments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = "test string, seed int, fold int, mse1 array<double>, mse2 array<double>, mse3 array<double>"
+    return moments.repartition(n, "seed", "fold").mapInPandas(over, schema)
+
+
 def cross_validated(
     inputs: SelectionInputs, seeds: Sequence[int], alpha: float = 1.0, folds: int = FOLDS, grid_size: int = GRID_SIZE
 ) -> DataFrame:
@@ -449,35 +505,9 @@ def cross_validated(
         return reduce(DataFrame.unionByName, parts)
     p, lambdas = len(inputs.controls), penalty_grid(grid_size)
     dates = inputs.wide.dropna(how="any").select("date").join(inputs.months, "date", "left_semi")
-    fold_table = stage_table(assign_folds(dates, seeds, folds), "folds")
-    sides = stage_table(fold_asset_covariances(inputs.assets, inputs.wide, fold_table, inputs.controls, inputs.tests), "fold-cov")
-    train = gram_rows(sides.select("seed", "fold", "train"), ["seed", "fold"], "train", "m_train")
-    test = gram_rows(sides.select("seed", "fold", "test"), ["seed", "fold"], "test", "m_test")
-    series = fold_series_moments(inputs, fold_table)
-    jobs = series.join(train, ["seed", "fold"]).join(test, ["seed", "fold"]).join(test_rows(inputs), "test")
-    jobs = with_moments(inputs, jobs)
-
-    def errors(row: pd.Series) -> dict:
-        pen = _penalty(_square(row["m"]), row["var_h"], p)
-        mt, mv = _square(row["m_train"]), _square(row["m_test"])
-        cov, mean, _ = L.centred(mt)
-        h, g = slice(1, 1 + p), 1 + p + int(row["test_pos"])
-        xx = cov[h, h] * np.outer(pen, pen)
-        out = {}
-        for name, y in (("mse1", 0), ("mse2", g)):
-            b = L.lasso_path(xx, pen * cov[h, y], lambdas, alpha) * pen[:, None]
-            # Residual weights on [1, y, x] turn the test gram into squared errors.
-            a0 = mean[y] - mean[h] @ b
-            rows = [0, 1 + y, *range(2, 2 + p)]
-            block = mv[np.ix_(rows, rows)]
-            e = np.vstack([-a0, np.ones(len(lambdas)), -b])
-            out[name] = (np.einsum("ik,ij,jk->k", e, block, e) / mv[0, 0]).tolist()
-        beta = L.series_lasso(_square(row["s_train"]), lambdas, alpha)
-        out["mse3"] = L.fold_errors(_square(row["s_test"]), beta).tolist()
-        return out
-
-    schema = "test string, seed int, fold int, mse1 array<double>, mse2 array<double>, mse3 array<double>"
-    curves = stage_table(run_jobs(jobs, ["test", "seed", "fold"], errors, schema), "curves")
+    calendar = fold_calendar(inputs.wide, assign_folds(dates, seeds, folds), [*inputs.controls, *inputs.tests])
+    moments = stage_table(fold_asset_grams(inputs.assets, calendar), "fold-moments")
+    curves = stage_table(_fold_curves(inputs, moments, calendar, lambdas, alpha), "curves")
     key = ["test", "seed"]
     picks = None
     for i in (1, 2, 3):
