@@ -19,6 +19,16 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
+def with_fields(df: DataFrame, made: Column, fields: dict[str, str]) -> DataFrame:
+    """``df`` plus fields of a struct column under the given names; columns called so are replaced."""
+    base = df.drop(*fields)
+    name = "_made"
+    while name in base.columns:
+        name += "_"
+    out = base.select(*[F.col(f"`{c}`") for c in base.columns], made.alias(name))
+    return out.withColumns({n: F.col(name)[f] for n, f in fields.items()}).drop(name)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Identity of a row for joins back to the table: the id and a hash of the text.
 

@@ -10,7 +10,8 @@ place, parity).  The order puts blocks with a rare shingle first, using frequenc
 whole corpus in a table of fixed size, so that shared passages rarely make candidates.
 
 Candidates are not expanded into pairs: a node is first compared with the smallest
-node of its blocks, its hub.  Only nodes that meet in a block and are still in different
+node of its blocks, its hub.  A block whose shingles are frequent is split: its parts have hubs of
+their own, which meet in a second step.  A hub is read once for some hundred texts compared with it.  Only nodes that meet in a block and are still in different
 components are compared with each other, after bounds on their symmetric difference (from
 what both add to and lack of their hub, then from the Hamming distance of bit sketches) have
 ruled out what they can.  Every comparison is decided on the sets.
@@ -32,6 +33,8 @@ from crosspanel.llm.textbytes import IS_SPACE, LOWER, column_bytes, mix64, text_
 SHINGLE = 5
 LOAD = 2.5
 FREQUENCY_BITS = 17
+#: Texts compared with one hub in a task.
+SHARE = 256
 SKETCH_PER_SHINGLE = 4
 
 _U = np.uint64
@@ -93,11 +96,11 @@ def least_shared(n: int) -> int:
     return 1 + n // 64
 
 
-def block_keys(shingles: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Keys of the blocks by which a node meets every node it may link with."""
+def block_keys(shingles: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the blocks by which a node meets every node it may link with, and their levels."""
     n = len(shingles)
     own = band_of(n)
-    made = []
+    made, height = [], []
     for band in (own, own + 1) if 4 * n >= 3 * (2 << own) else (own,):
         top = 2 << band  # sizes of the band are below this
         differ = (n + min(4 * n // 3, top - 1)) // 7
@@ -112,12 +115,15 @@ def block_keys(shingles: np.ndarray, levels: np.ndarray) -> np.ndarray:
         level = np.minimum.reduceat(levels[(shingles[order] & _U((1 << FREQUENCY_BITS) - 1)).astype(np.int64)], head)
         key = mix64(parity ^ mix64(place[head] * _PLACE[2] + _U(band)))
         want = differ + least_shared(n)
-        key = key[np.lexsort((key, -size, level))[:want]]
+        best = np.lexsort((key, -size, level))[:want]
+        key, level = key[best], level[best]
         if len(key) < want:  # too few filled blocks: empty ones agree as well
             free = np.setdiff1d(np.arange(blocks, dtype=_U), place[head])[: want - len(key)]
             key = np.concatenate([key, mix64(mix64(free * _PLACE[3]) + _U(band))])
+            level = np.concatenate([level, np.zeros(len(free), dtype=level.dtype)])
         made.append(key)
-    return np.concatenate(made).view(np.int64)
+        height.append(level)
+    return np.concatenate(made).view(np.int64), np.concatenate(height)
 
 
 def bit_sketch(shingles: np.ndarray, bits: int) -> np.ndarray:
@@ -131,7 +137,7 @@ def sketch_bits(n: int) -> int:
     return max(64, SKETCH_PER_SHINGLE << (band_of(max(n, 1)) + 1))
 
 
-_SUMMARY = StructType([StructField(n, t) for n, t in (("doc_id", LongType()), ("n", LongType()), ("sig1", LongType()), ("sig2", LongType()), ("bucket", IntegerType()), ("freq", LongType()))])
+_SUMMARY = StructType([StructField(n, t) for n, t in (("doc_id", LongType()), ("h", LongType()), ("n", LongType()), ("sig1", LongType()), ("sig2", LongType()), ("bucket", IntegerType()), ("freq", LongType()))])
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,10 +151,10 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = np.array([np.add.reduce(mix64(s ^ _PLACE[0])) for s in sets], dtype=_U).view(np.int64)
         two = np.array([np.bitwise_xor.reduce(mix64(s ^ _PLACE[3])) if len(s) else 0 for s in sets], dtype=_U).view(np.int64)
         nothing = pa.nulls(len(n), pa.int32())
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(one), pa.array(two), nothing, pa.nulls(len(n), pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(n), pa.array(one), pa.array(two), nothing, pa.nulls(len(n), pa.int64())], names)
     used = np.flatnonzero(freq)
     empty = pa.nulls(len(used), pa.int64())
-    yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(used.astype(np.int32)), pa.array(freq[used])], names)
+    yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, empty, pa.array(used.astype(np.int32)), pa.array(freq[used])], names)
 
 
 def _levels(summary: DataFrame) -> np.ndarray:
@@ -160,39 +166,49 @@ def _levels(summary: DataFrame) -> np.ndarray:
     return np.maximum(np.floor(np.log2(np.maximum(freq, 1) / (2 * usual))), 0).astype(np.uint8)
 
 
-def _beside(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (x, y) with both texts."""
-    one = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text"))
-    two = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("other"))
-    return pairs.join(one, "x").join(two, "y").select("x", "y", "text", "other")
+class _Nodes:
+    """Where the text of a node stands: rows (doc_id, h, text) and nodes (node, doc_id, h)."""
 
+    def __init__(self, rows: DataFrame, places: DataFrame) -> None:
+        self.rows, self.places = rows, places
 
-def _both_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[np.ndarray]]]:
-    for part in text_slices(batches, "text"):
-        other = iter([part.select(["other"]).rename_columns(["text"])])
-        yield part, shingle_sets(part), [s for piece in text_slices(other, "text") for s in shingle_sets(piece)]
+    def with_text(self, wanted: DataFrame) -> DataFrame:
+        """``wanted`` (with a column node) plus the node's text.
+
+        Texts always meet ids in a merge join: the ids grow with the corpus, so sending them to
+        every task would only work for a small one.
+        """
+        return self.rows.join(wanted.join(self.places, "node").hint("merge"), ["doc_id", "h"])
 
 
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, nodes: _Nodes) -> DataFrame:
     """Per pair (x, y): linked, size of y, how many shingles y lacks of x and adds to it.
 
-    ``added`` lists the latter if they are at most half of y, else it is null.
+    ``added`` lists the latter if they are at most half of y, else it is null.  All y of an x
+    stream past its set, ``SHARE`` or so in a task.
     """
     schema = StructType([StructField("x", LongType()), StructField("y", LongType()), StructField("linked", BooleanType())] + [StructField(n, LongType()) for n in ("n", "lost", "more")] + [StructField("added", ArrayType(LongType()))])
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    shares = pairs.groupBy("x").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+    beside = pairs.join(shares, "x").select("x", F.pmod(F.xxhash64("y"), F.col("shares")).alias("share"), "y", F.col("y").alias("node"))
+    itself = shares.select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("y"), F.col("x").alias("node"))
+    stream = nodes.with_text(beside.unionByName(itself)).repartition("x", "share").sortWithinPartitions("x", "share", "y").select("x", "y", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, a, b in _both_sets(batches):
+        s = np.zeros(0, dtype=_U)
+        for part in text_slices(batches, "text"):
             rows = []
-            for s, t in zip(a, b, strict=True):
+            for x, y, t in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), shingle_sets(part), strict=True):
+                if y is None:
+                    s = t
+                    continue
                 new = np.setdiff1d(t, s, assume_unique=True).view(np.int64)
                 both = len(t) - len(new)
                 linked = bool(both) and 100 * both >= 75 * (len(s) + len(new))
-                rows.append((linked, len(t), len(s) - both, len(new), new if 2 * len(new) <= len(t) else None))
-            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([part.column("x"), part.column("y"), *columns], schema.names)
+                rows.append((x, y, linked, len(t), len(s) - both, len(new), new if 2 * len(new) <= len(t) else None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], schema.names)
 
-    return map_batches(_beside(pairs, texts), compare, schema)
+    return map_batches(stream, compare, schema)
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
@@ -203,7 +219,7 @@ def _sketches(texts: DataFrame) -> DataFrame:
         for part in text_slices(batches, "text"):
             sets = shingle_sets(part)
             rows = [[bit_sketch(s, sketch_bits(len(s) >> 1)).tobytes(), bit_sketch(s, sketch_bits(len(s))).tobytes()] for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(rows, pa.list_(pa.binary()))], schema.names)
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(rows, pa.list_(pa.binary()))], schema.names)
 
     return map_batches(texts, make, schema)
 
@@ -229,45 +245,67 @@ def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id and the number of copies of its set.
 
-    Null and empty texts have no shingles and link with nothing.  Rows that repeat an id are
-    one node, rows without an id belong to no component (null).  An empty table gives no rows.
+    Null and empty texts have no shingles and link with nothing.  Rows that repeat an id belong
+    to one component, whatever their texts link with; rows without an id belong to none (null).
+    An empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    members = text_components(docs)
+    by_id = members.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component").alias("x"), F.max("component").alias("hi")).where("x <> hi")
+    by_id = staged(by_id.drop("hi"), "shingle-ids")
+    if not by_id.isEmpty():
+        wider = components(members.join(by_id, "doc_id").select("x", F.col("component").alias("y")).distinct())
+        wider = wider.select(F.col("node").alias("component"), F.col("component").alias("wider"))
+        members = members.join(wider, "component", "left").withColumn("component", F.coalesce("wider", "component"))
+    # A component goes by a node, which is its smallest id unless that node goes by a hash.
+    if not members.where("doc_id IS NOT NULL AND hashed").isEmpty():
+        smallest = staged(members.groupBy("component").agg(F.min("doc_id").alias("smallest")), "shingle-smallest")
+        members = members.join(smallest, "component", "left").withColumn("component", F.col("smallest"))
+    return members.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "copies")
+
+
+def surplus_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, keep, times): which rows, by id and hash of the text, stand for their texts' component.
+
+    One row of each component is kept, the smallest; ``times`` is how often the row occurs.  Texts
+    that only share an id are no copies.  Rows without words or without an id aren't listed.
+    """
+    members = text_components(docs).where("n > 0 AND doc_id IS NOT NULL")
+    kept = members.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("kept"))
+    rows = members.groupBy("doc_id", "h", "component").agg(F.count("*").alias("times"))
+    return rows.join(kept, "component").select("doc_id", "h", (F.struct("doc_id", "h") == F.col("kept")).alias("keep"), "times")
+
+
+def text_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, n, component, copies, hashed) per row: components of texts alone, ids aside.
+
+    A component goes by its smallest node, and a node by its smallest id, or by a hash where one id is the
+    smallest of several sets (``hashed``).
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     summary = staged(map_batches(rows, _summaries, _SUMMARY), "shingle-summary")
     levels = _levels(summary)
     sized = summary.where("bucket IS NULL").drop("bucket", "freq")
     same = ["sig1", "sig2", "n"]
-    classes = sized.where("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = staged(classes.where("copies > 1"), "shingle-copies")
-    members = sized.join(classes, same, "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
-    members = staged(members, "shingle-members")
-
-    copies = members.where("doc_id <> rep").select("doc_id")
-    # Texts always meet ids in a merge join: the ids grow with the corpus, so sending them to
-    # every task would only work for a small one.
-    named = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    nodes = named.join(copies.hint("merge"), "doc_id", "left_anti")
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text"):
-            sets = shingle_sets(part)
-            keys = [block_keys(s, levels) if len(s) else np.zeros(0, dtype=np.int64) for s in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = pa.array(np.concatenate([*keys, np.zeros(0, dtype=np.int64)]))
-            size = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), size, pa.ListArray.from_arrays(pa.array(offsets), flat)], ["ref", "n", "keys"])
-
-    keyed = map_batches(nodes, emit, StructType([StructField("ref", LongType()), StructField("n", LongType()), StructField("keys", ArrayType(LongType()))]))
-    keyed = keyed.select("ref", "n", F.explode("keys").alias("key"))
-    block = Window.partitionBy("key")
-    met = keyed.select("key", "ref", "n", F.min("ref").over(block).alias("hub"), F.max("ref").over(block).alias("last"))
-    met = staged(met.where("hub <> last").select("key", "ref", "n", "hub"), "shingle-blocks")
+    first_row = F.min(F.struct("doc_id", "h"))
+    classes = sized.where("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(first_row.alias("at"), F.count("*").alias("copies"))
+    classes = staged(classes.select(*same, "at.doc_id", "at.h", "copies"), "shingle-classes")
+    several = staged(classes.groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1").select("doc_id", F.lit(True).alias("several")), "shingle-several")
+    if several.isEmpty():
+        classes = classes.withColumns({"node": F.col("doc_id"), "hashed": F.lit(False)})
+    else:
+        classes = classes.join(several, "doc_id", "left").withColumn("hashed", F.coalesce("several", F.lit(False)))
+        classes = classes.withColumn("node", F.when(F.col("hashed"), F.xxhash64("doc_id", *same)).otherwise(F.col("doc_id")))
+    members = sized.join(classes.select(*same, "node", "copies", "hashed"), same, "left")
+    node = F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")
+    members = staged(members.select("doc_id", "h", "n", node, F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("hashed", F.lit(False)).alias("hashed")), "shingle-members")
+    nodes = _Nodes(rows.where("doc_id IS NOT NULL AND text IS NOT NULL"), staged(classes.select("node", "doc_id", "h"), "shingle-nodes"))
+    met = _met_blocks(nodes, levels)
 
     # A node's hub is the one it meets most often; chance meetings are left to the second step.
     votes = met.where("ref <> hub").groupBy("ref", "hub").agg(F.count("*").alias("votes"), F.min("n").alias("n"))
     first = votes.where(4 * F.col("votes") >= 1 + F.floor(F.col("n") / 64)).groupBy(F.col("ref").alias("y")).agg(F.max_by("hub", F.struct("votes", -F.col("hub"))).alias("x"))
     first = staged(first.select("x", "y"), "shingle-pairs")
-    compared = staged(_compared(first, _texts_of(first, named)), "shingle-compared")
+    compared = staged(_compared(first, nodes), "shingle-compared")
     links = compared.where("linked").select("x", "y").distinct()
     label = components(links)
 
@@ -277,19 +315,40 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     open_ = staged(placed.join(spread, "key", "left_semi").distinct(), "shingle-open")
     rest = _open_pairs(open_, compared)
     rest = staged(rest.join(first, ["x", "y"], "left_anti"), "shingle-rest")
-    texts = _texts_of(rest, named)
-    near = staged(_plausible(rest, staged(_sketches(texts), "shingle-sketches")), "shingle-near")
-    more = staged(_compared(near, texts).where("linked").select("x", "y").distinct(), "shingle-links")
+    ends = rest.select(F.col("x").alias("node")).unionByName(rest.select(F.col("y").alias("node"))).distinct()
+    near = staged(_plausible(rest, staged(_sketches(nodes.with_text(ends)), "shingle-sketches")), "shingle-near")
+    more = staged(_compared(near, nodes).where("linked").select("x", "y").distinct(), "shingle-links")
     label = components(links.unionByName(more))
+    return members.join(label, "node", "left").select("doc_id", "h", "n", F.coalesce("component", "node").alias("component"), "copies", "hashed")
 
-    joined = members.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), "copies")
 
+def _met_blocks(nodes: _Nodes, levels: np.ndarray) -> DataFrame:
+    """(key, ref, n, hub) of nodes that share a block with another one.
 
-def _texts_of(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Texts of the nodes that occur in pairs, written once."""
-    ends = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
-    return staged(nodes.join(ends.hint("merge"), "doc_id", "left_semi"), "shingle-texts")
+    A block of level k is dealt into 2^k parts by a hash of the node.  The smallest nodes of
+    the parts then meet as a block of their own, so no task has to hold a frequent block.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text"):
+            sets = shingle_sets(part)
+            none = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint8)
+            keys = [block_keys(s, levels) if len(s) else none for s in sets]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k, _ in keys])]).astype(np.int32))
+            own = mix64(part.column("h").to_numpy(zero_copy_only=False).astype(np.int64).view(_U))
+            parts = [(o & ((_U(1) << v.astype(_U)) - _U(1))).astype(np.int32) + 1 - (v == 0) for o, (_, v) in zip(own, keys, strict=True)]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*x, x0]))) for x, x0 in (([k for k, _ in keys], none[0]), (parts, np.zeros(0, dtype=np.int32)))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array([len(s) for s in sets], pa.int64()), *lists], ["doc_id", "h", "n", "keys", "parts"])
+
+    schema = StructType([StructField(n, LongType()) for n in ("doc_id", "h", "n")] + [StructField("keys", ArrayType(LongType())), StructField("parts", ArrayType(IntegerType()))])
+    keyed = map_batches(nodes.rows, emit, schema).join(nodes.places.hint("merge"), ["doc_id", "h"])
+    keyed = keyed.select(F.col("node").alias("ref"), "n", F.explode(F.arrays_zip("keys", "parts")).alias("e")).select("ref", "n", F.col("e.keys").alias("key"), F.col("e.parts").alias("part"))
+    least = lambda w: [F.min("ref").over(w).alias("hub"), F.max("ref").over(w).alias("last")]
+    local = keyed.select("key", "part", "ref", "n", *least(Window.partitionBy("key", "part")))
+    local = staged(local.where("hub <> last OR part > 0 AND ref = hub"), "shingle-blocks")
+    hubs = local.where("part > 0 AND ref = hub").select("key", "ref", "n").distinct()
+    hubs = staged(hubs.select("key", "ref", "n", *least(Window.partitionBy("key"))).where("hub <> last"), "shingle-hubs")
+    return local.where("hub <> last").select("key", "ref", "n", "hub").unionByName(hubs.select("key", "ref", "n", "hub"))
 
 
 def _open_pairs(open_: DataFrame, compared: DataFrame) -> DataFrame:

@@ -26,9 +26,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
-from crosspanel.llm.frames import map_batches, staged
+from crosspanel.llm.frames import map_batches, staged, with_fields
 from crosspanel.llm.textbytes import LOWER, column_bytes, text_slices
 
 MAX_N = 4
@@ -172,20 +172,24 @@ def predict(docs: DataFrame, model: KernelModel) -> DataFrame:
     second language, 0.5 at the margin which nearly all held-out labelled texts reach; it
     depends on neither the length of a text nor the number of languages.  Input columns called like an output are replaced.  Ties go to the first name.
     """
-    base = docs.drop("lang_pred", "score")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text"):
+    @F.arrow_udf("lang_pred string, score double")
+    def judged(text: pa.Array) -> pa.Array:
+        names, marks = [], []
+        for part in text_slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]), "text"):
             data, starts, ends = column_bytes(part.column("text"))
-            names, marks = [UNDETERMINED] * len(starts), [0.0] * len(starts)
+            name, mark = [UNDETERMINED] * len(starts), [0.0] * len(starts)
             usable = [i for i in range(len(starts)) if model.languages and has_letter(data[starts[i] : ends[i]])]
             if usable:
                 best, share = model.judge([data[starts[i] : ends[i]] for i in usable])
                 for i, k, x in zip(usable, best, share, strict=True):
-                    names[i], marks[i] = model.languages[k], float(x)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(marks, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+                    name[i], mark[i] = model.languages[k], float(x)
+            names += name
+            marks += mark
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(marks, pa.float64())], ["lang_pred", "score"])
 
-    return map_batches(base, score, StructType([*base.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    # Only texts go to Python and only verdicts come back.
+    return with_fields(docs, judged(F.col("text")), {"lang_pred": "lang_pred", "score": "score"})
 
 
 def fold(doc_id: str = "doc_id") -> Column:

@@ -17,10 +17,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from crosspanel.llm.frames import map_batches
+from crosspanel.llm.frames import map_batches, with_fields
 from crosspanel.llm.textbytes import text_slices
 
 MARK = "▁"
@@ -265,20 +265,31 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, column: str = "ids") -> Data
     A null text has null ids, an empty one none.  An input column called like the output is
     replaced.  Equal best scores go to the longer last piece.
     """
-    encoder = Encoder(vocabulary)
+    return _coded(docs, vocabulary, column, None)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text", ENCODE_BYTES):
-            rows = encoder.encode_texts(part.column("text").to_pylist())
-            sizes = np.array([0 if r is None else len(r) for r in rows])
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            if any(r is None for r in rows):
-                offsets = pa.array([None if i < len(rows) and rows[i] is None else o for i, o in enumerate(offsets.to_pylist())], pa.int32())
-            values = np.concatenate([r for r in rows if r is not None] or [np.zeros(0, np.int32)])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()))], [*part.schema.names, column])
-
-    base = docs.drop(column)
-    return map_batches(base, run, StructType([*base.schema, StructField(column, ArrayType(IntegerType()))]))
+
+def encode_checked(docs: DataFrame, vocabulary: Vocabulary, column: str = "ids", check: str = "round_trip") -> DataFrame:
+    """The same plus whether the ids decode to the text, which is true of null ids and texts."""
+    return _coded(docs, vocabulary, column, check)
+
+
+def _coded(docs: DataFrame, vocabulary: Vocabulary, column: str, check: str | None) -> DataFrame:
+    """Only texts go to Python, only ids and the result of the check come back."""
+    encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
+
+    def run(text: pa.Array) -> pa.Array:
+        ids, same = [], []
+        for part in text_slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]), "text", ENCODE_BYTES):
+            texts = part.column("text").to_pylist()
+            rows = encoder.encode_texts(texts)
+            ids.append(pa.array(rows, pa.list_(pa.int32())))
+            if check:
+                same += [t is None or decoder.decode(r.tolist()) == t for t, r in zip(texts, rows, strict=True)]
+        columns = [pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *ids])]
+        return pa.StructArray.from_arrays([*columns, pa.array(same, pa.bool_())] if check else columns, ["ids", "same"] if check else ["ids"])
+
+    coded = F.arrow_udf(run, "ids array<int>, same boolean" if check else "ids array<int>")
+    return with_fields(docs, coded(F.col("text")), {column: "ids"} | ({check: "same"} if check else {}))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", column: str = "decoded") -> DataFrame:

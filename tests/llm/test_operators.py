@@ -430,8 +430,14 @@ def jaccard_truth(rows):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-def test_join_equals_brute_force(make):
+@pytest.mark.parametrize("split", [False, True])
+def test_join_equals_brute_force(make, monkeypatch, split):
+    import numpy as np
+
     rng = random.Random(11)
+    if split:  # every block is dealt into up to eight parts, a hub is read for each three texts
+        monkeypatch.setattr(jaccard, "_levels", lambda summary: np.random.default_rng(1).integers(0, 4, 1 << jaccard.FREQUENCY_BITS).astype(np.uint8))
+        monkeypatch.setattr(jaccard, "SHARE", 3)
     words = [f"w{i}" for i in range(400)]
     passage = [rng.choice(words) for _ in range(60)]
     rows = []
@@ -452,6 +458,16 @@ def test_join_equals_brute_force(make):
     assert got == jaccard_truth(rows)
 
 
+def test_repeated_ids_lose_no_link(make):
+    rng = random.Random(5)
+    x, y, z = ([rng.choice("abcdefghijklmnop") + str(rng.randrange(99)) for _ in range(40)] for _ in range(3))
+    near = " ".join(y[:-1] + ["other"])
+    rows = [(1, " ".join(x)), (2, " ".join(x)), (2, " ".join(y)), (3, near), (4, " ".join(z)), (4, ""), (4, None), (5, " ".join(z)), (6, ""), (7, "alone at last")]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_components(make(rows + rows[:3])).collect())
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7}
+    assert got == sorted((i, want[i]) for i, _ in rows + rows[:3])
+
+
 def test_join_of_odd_rows(odd):
     rows = jaccard.jaccard_components(odd).collect()
     assert len(rows) == 9
@@ -474,7 +490,7 @@ def test_blocks_of_linked_sets_meet():
             b = np.unique(np.concatenate([a[cut:], rng.integers(0, 2**63, cut + extra).astype(np.uint64)]))
             both = len(np.intersect1d(a, b))
             if 100 * both >= 75 * (len(a) + len(b) - both):
-                shared = set(jaccard.block_keys(a, levels)) & set(jaccard.block_keys(b, levels))
+                shared = set(jaccard.block_keys(a, levels)[0]) & set(jaccard.block_keys(b, levels)[0])
                 assert len(shared) >= jaccard.least_shared(min(len(a), len(b)))
 
 
@@ -615,13 +631,20 @@ def test_stages_on_odd_rows(spark, odd):
     assert sorted(kept, key=str) == sorted([1, 2, 3, 4, 5, 7, 8, None], key=str)
 
 
+def test_near_duplicates_keep_different_texts_of_one_id(spark, make):
+    a, b, c = ("one text of its own here", "another text under that same id", "a third one that nobody copied")
+    rows = [(1, a), (1, b), (1, b), (2, c), (3, b), (4, c + " "), (5, None), (5, "")]
+    kept = corpus_pipeline.near_duplicates(spark, make(rows), SF_DIR).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, a), (1, b), (2, c), (5, None), (5, "")], key=str)
+
+
 # Registered queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF_DIR}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF_DIR)
     want = con.sql(queries.ORACLES[name])
