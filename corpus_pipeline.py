@@ -31,16 +31,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of every component, one row of it.
+    """Keep one document of every group of near duplicates, the one with the smallest id.
 
-    Rows without an id are in no component and stay.
+    Documents are told apart by id and text, so different texts under one id both stay.  Of rows equal in
+    both, one stays.  Rows without an id or without words are near nothing and stay.
     """
-    found = stage_table(jaccard.jaccard_components(docs), "pipeline-components")
-    ids = found.where("doc_id IS NOT NULL")
-    gone = ids.where("doc_id <> component_id").select("doc_id")
-    repeated = stage_table(ids.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "pipeline-repeats")
-    stay = docs.join(gone.unionByName(repeated), "doc_id", "left_anti")
-    once = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = stage_table(jaccard.surplus_rows(docs).where("NOT keep OR times > 1"), "pipeline-surplus")
+    at = found.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h"), "keep")
+    same = (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_h"))
+    stay = docs.join(at.drop("keep"), same, "left_anti")
+    if found.where("keep").isEmpty():
+        return stay.select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = docs.join(at.where("keep"), same, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.min(row).alias("row")).select("row.*")
     return stay.unionByName(once).select(*docs.columns)
 
 
@@ -58,9 +61,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, checked by decoding them."""
-    v = vocabulary(spark)
-    coded = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text"), v), v)
-    return coded.select("doc_id", "lang", "source", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+    coded = pieces.encode_checked(docs.select("doc_id", "lang", "source", "text"), vocabulary(spark))
+    return coded.select("doc_id", "lang", "source", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids", "round_trip")
 
 
 STAGES = [
