@@ -3,4 +3,4 @@
 
 def load_catalog() -> None:
     """Import the modules that register queries."""
-    from catalog import factor_queries, panel_queries, research_queries, testing_queries  # noqa: F401
+    from catalog import factor_queries, panel_queries, research_queries, selection_queries, testing_queries  # noqa: F401

@@ -148,7 +148,7 @@ def penalty_loadings(inputs: SelectionInputs) -> DataFrame:
 def assign_folds(dates: DataFrame, seeds: Sequence[int], folds: int = FOLDS) -> DataFrame:
     """Near-equal random folds of the dates per seed, fixed by a hash of both."""
     d = dates.select("date", F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("seed"))
-    w = Window.partitionBy("seed").orderBy(F.xxhash64(c("date"), c("seed")), "date")
+    w = Window.partitionBy("seed").orderBy(F.md5(F.concat_ws(":", "date", "seed")), "date")
     return d.withColumn("fold", ((F.row_number().over(w) - 1) % folds).cast("int"))
 
 
@@ -235,6 +235,29 @@ def choose_penalty(curves: DataFrame, keys: Sequence[str], col: str, ddof: int,
     return d.select(*keys, c("_min").alias("l_min"), one_se.cast("int").alias("l_1se"))
 
 
+def series_fold_errors(inputs: SelectionInputs, seeds: Sequence[int], alpha: float = 1.0, folds: int = FOLDS, grid: np.ndarray | None = None) -> DataFrame:
+    """(test, seed, fold, mse): held-out errors of the lasso of g on the controls along the penalty grid."""
+    lambdas = penalty_grid() if grid is None else np.asarray(grid, float)
+    jobs = fold_series_moments(inputs, assign_folds(inputs.wide.select("date"), seeds, folds))
+
+    def errors(row: pd.Series) -> dict:
+        beta = L.series_lasso(_square(row["s_train"]), lambdas, alpha)
+        return {"mse": L.fold_errors(_square(row["s_test"]), beta).tolist()}
+
+    return run_jobs(jobs, ["test", "seed", "fold"], errors, "test string, seed int, fold int, mse array<double>")
+
+
+def series_sets(inputs: SelectionInputs, positions: Sequence[int], alpha: float = 1.0) -> DataFrame:
+    """(test, position, sel3): controls of the series lasso at positions (1-based) of the penalty grid."""
+    lambdas = penalty_grid()
+    jobs = series_moments(inputs).select("*", F.explode(F.array(*[F.lit(int(k)) for k in positions])).alias("position"))
+
+    def pick(row: pd.Series) -> dict:
+        return {"sel3": np.flatnonzero(L.series_lasso(_square(row["s"]), lambdas[[row["position"] - 1]], alpha)[:, 0]).tolist()}
+
+    return run_jobs(jobs, ["test", "position"], pick, "test string, position int, sel3 array<int>")
+
+
 def series_selection(
     inputs: SelectionInputs, seeds: Sequence[int], alpha: float = 1.0, folds: int = FOLDS, ddof: int = 0, grid: np.ndarray | None = None
 ) -> DataFrame:
@@ -243,14 +266,7 @@ def series_selection(
     Output per (test, seed): sel3 at the one-s.e. penalty, sel3_min, both penalties.
     """
     lambdas = penalty_grid() if grid is None else np.asarray(grid, float)
-    fold_table = assign_folds(inputs.wide.select("date"), seeds, folds)
-    jobs = fold_series_moments(inputs, fold_table)
-
-    def errors(row: pd.Series) -> dict:
-        beta = L.series_lasso(_square(row["s_train"]), lambdas, alpha)
-        return {"mse": L.fold_errors(_square(row["s_test"]), beta).tolist()}
-
-    curves = run_jobs(jobs, ["test", "seed", "fold"], errors, "test string, seed int, fold int, mse array<double>")
+    curves = series_fold_errors(inputs, seeds, alpha, folds, lambdas)
     chosen = choose_penalty(curves, ["test", "seed"], "mse", ddof)
 
     def refit(row: pd.Series) -> dict:

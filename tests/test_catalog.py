@@ -14,7 +14,7 @@ import __spark_entry__ as entry
 
 SF_DIR = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = "s01 s07 s13 s15 s20 p13 p25 j02 j04 j15 j18 j19 a02 a08 a12 a20 a22 b02 b04_single w08 w10 w19 f01 f14 f18 f22 f37 e02 e06 e07 e24 o08".split()
+SAMPLE = "s01 s07 s13 s15 s20 p13 p25 j02 j04 j15 j18 j19 a02 a08 a12 a20 a22 b02 b04_single w08 w10 w19 f01 f14 f18 f22 f37 e02 e03 e05 e06 e07 e10 e11 e12 e19 e20 e22 e24 e25 o08".split()
 ORACLES = entry.oracle_sql()
 
 
