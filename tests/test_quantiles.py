@@ -3,6 +3,9 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
+from crosspanel.operators import quantiles as Q
 from crosspanel.operators.quantiles import Quantile, grouped_median, grouped_quantiles
 
 SPECS = [Quantile("q30", 0.3), Quantile("q70", 0.7), Quantile("med", 0.5, "linear"), Quantile("l30", 0.3, "linear")]
@@ -22,8 +25,12 @@ def check(df, pdf):
     assert set(got) == set(pdf.dropna().k)
 
 
-@pytest.mark.parametrize("limit", [10**9, 50])
-def test_exact_with_and_without_brackets(spark, limit):
+@pytest.mark.parametrize("bad", [False, True])
+def test_exact_with_good_and_misleading_sketches(spark, monkeypatch, bad):
+    """Groups of every size, and brackets that miss nearly all ranks at first."""
+    if bad:
+        monkeypatch.setattr(Q, "_first_brackets", lambda rows, keys, targets, accuracy: rows.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_n"), F.array(*[F.struct(F.max("_v").alias("low"), (F.max("_v") + 1).alias("high")) for _ in targets]).alias("_b")))
     rng = np.random.default_rng(1)
     parts = [pd.DataFrame({"k": k, "v": rng.normal(size=n)}) for k, n in (("a", 4001), ("b", 750), ("c", 3), ("d", 1))]
     # One value owns a third of a group; one group is a single value.
@@ -32,7 +39,17 @@ def test_exact_with_and_without_brackets(spark, limit):
     nulls = pd.DataFrame({"k": "n", "v": [None, 1.0, 2.0, float("nan")]})
     pdf = pd.concat([*parts, tied, flat, nulls], ignore_index=True)
     df = spark.createDataFrame(pdf.astype({"v": float})).repartition(5)
-    check(grouped_quantiles(df, ["k"], "v", SPECS, direct_limit=limit, accuracy=400), pdf)
+    check(grouped_quantiles(df, ["k"], "v", SPECS, accuracy=40 if bad else 400), pdf)
+
+
+def test_ranks_in_ever_smaller_gaps(spark, monkeypatch):
+    """A sketch that shows only the least value of a gap still ends with the exact rank."""
+    monkeypatch.setattr(Q.F, "percentile_approx", lambda column, points, accuracy: F.transform(points, lambda p: F.min(column)))
+    pdf = pd.DataFrame({"k": "x", "v": [1.0, 2.0, 2.0, 3.0, 4.0, 5.0, 9.0]})
+    rows = spark.createDataFrame(pdf)
+    monkeypatch.setattr(Q, "_first_brackets", lambda rows, keys, targets, accuracy: rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.array(*[F.struct(F.min("_v").alias("low"), F.min("_v").alias("high")) for _ in targets]).alias("_b")))
+    check(grouped_quantiles(rows, ["k"], "v", SPECS), pdf)
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
