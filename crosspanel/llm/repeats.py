@@ -2,7 +2,8 @@
 
 Suffixes are ordered no deeper than ``WINDOW`` bytes, most significant digits first, and a
 suffix leaves as soon as no other one shares its digits; what is still together at full depth
-are exactly the repeated windows.  The digits are spans cut by content, so that neighbouring
+are exactly the repeated windows.  What repeats within a slice of texts is settled there and meets the
+other slices as one row, so a passage of very many documents doesn't gather in a task.  The digits are spans cut by content, so that neighbouring
 suffixes share them and one row stands for a whole interval of starts:
 
 1. the core, all bytes between the first and last anchor that a window determines.  Windows
@@ -127,8 +128,21 @@ def _local(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, starts - a, ends - a
 
 
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Size of the group of equal keys that each row is in, and which rows are the first of theirs."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(order)))
+    sizes, first = np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=bool)
+    sizes[order] = np.repeat(size, size)
+    first[order[start]] = True
+    return sizes, first
+
+
 def _first_digits(window: int):
-    names = ["k1", "k2", "core", "hull", "pos"]
+    names = ["k1", "k2", "core", "hull", "pos", "key", "sure", "here"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
@@ -137,15 +151,21 @@ def _first_digits(window: int):
             pos = (first << LENGTH_BITS) | length
             # Without a core there is nothing to compare yet: a number of its own, marked by the sign.
             alone = mix64(hull.view(_U) + first.astype(_U)).view(np.int64)
+            core = np.where(cored, core, alone)
+            # What is equal within the slice is settled here; one row of it meets the other slices.
+            size, teller = _groups(core)
+            here, one = _groups(hull, core)
+            apart = mix64(alone.view(_U) + np.arange(len(row), dtype=_U)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column("k1").take(at), part.column("k2").take(at), pa.array(np.where(cored, core, alone)), pa.array(hull), pa.array(np.where(cored, pos, ~pos))], names
+                [part.column("k1").take(at), part.column("k2").take(at), pa.array(core), pa.array(hull), pa.array(np.where(cored, pos, ~pos)),
+                 pa.array(np.where(teller, core, apart)), pa.array(cored & (size > 1)), pa.array(np.where(one, here, 0))], names
             )
 
     return run
 
 
 def _last_digit(window: int):
-    names = ["core", "digit", "k1", "k2", "start", "known"]
+    names = ["core", "digit", "k1", "k2", "start", "known", "settled"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
@@ -163,12 +183,22 @@ def _last_digit(window: int):
                     at.append(np.arange(begin, begin + n))
                     rows.append(np.full(n, i))
                     known.append(np.full(n, x["known"]))
-            at, rows = np.concatenate(at), np.concatenate(rows)
+            cores, at, rows, known = (np.concatenate(x) for x in (cores, at, rows, known))
             digit = hashes.of(at + starts[rows], at + starts[rows] + window).view(np.int64)
-            r = pa.array(rows)
+            # Windows that repeat within the slice are settled here; one of them tells the other slices.
+            size, teller = _groups(digit, cores)
+            k1, k2 = part.column("k1"), part.column("k2")
+            r = pa.array(rows[teller])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(cores)), pa.array(digit), part.column("k1").take(r), part.column("k2").take(r), pa.array(at), pa.array(np.concatenate(known))], names
+                [pa.array(cores[teller]), pa.array(digit[teller]), k1.take(r), k2.take(r), pa.array(at[teller]), pa.array((known | (size > 1))[teller]), pa.nulls(len(r), pa.list_(pa.int64()))], names
             )
+            settled = (size > 1) & ~known
+            order = np.flatnonzero(settled)[np.argsort(rows[settled], kind="stable")]
+            owner, begin = np.unique(rows[order], return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(order)).astype(np.int32)), pa.array(at[order]))
+            o = pa.array(owner)
+            apart = mix64((owner + 1).astype(_U) + _U(int(hashes.total[-1]))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(apart), pa.array(apart), k1.take(o), k2.take(o), pa.nulls(len(o), pa.int64()), pa.array(np.ones(len(o), dtype=bool)), lists], names)
 
     return run
 
@@ -210,20 +240,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     key = row_key()
     rows = docs.select("doc_id", "text", key.getField("id").alias("k1"), key.getField("hash").alias("k2"))
     long = rows.where(F.octet_length("text") >= window).select("k1", "k2", "text")
-    digits = StructType([StructField(n, LongType()) for n in ("k1", "k2", "core", "hull", "pos")])
+    digits = StructType([StructField(n, BooleanType() if n == "sure" else LongType()) for n in ("k1", "k2", "core", "hull", "pos", "key", "sure", "here")])
     first = map_batches(long, _first_digits(window), digits)
-    by_core = Window.partitionBy("core")
-    shared = first.withColumn("n", F.count("*").over(by_core)).where("n > 1 OR pos < 0").drop("n")
+    shared = first.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1 OR sure OR pos < 0").select("k1", "k2", "core", "hull", "pos", "here")
     shared = staged(shared, "repeat-cores")
 
-    by_hull = Window.partitionBy("core", "hull")
-    counted = shared.where("pos >= 0").select(
-        "*", F.count("*").over(by_hull).alias("n"), F.row_number().over(by_hull.orderBy("k1", "k2", "pos")).alias("nth")
+    by_core, by_hull = Window.partitionBy("core"), Window.partitionBy("core", "hull")
+    counted = shared.where("pos >= 0 AND here > 0").select(
+        "*", F.sum("here").over(by_hull).alias("n"), F.row_number().over(by_hull.orderBy("k1", "k2", "pos")).alias("nth")
     ).withColumn("least", F.min("n").over(by_core))
     # One interval of each repeated hull also shows its windows to those that are still open.
     sorted_out = counted.select("k1", "k2", "core", "pos", (F.col("n") > 1).alias("known"), ((F.col("n") == 1) | ((F.col("nth") == 1) & (F.col("least") == 1))).alias("show"))
+    # Further intervals of a hull of one slice: they repeat, and need not show it again.
+    further = shared.where("pos >= 0 AND here = 0").select("k1", "k2", "core", "pos", F.lit(True).alias("known"), F.lit(False).alias("show"))
     loose = shared.where("pos < 0").select("k1", "k2", "core", "pos", F.lit(False).alias("known"), F.lit(True).alias("show"))
-    every = sorted_out.unionByName(loose)
+    every = sorted_out.unionByName(further).unionByName(loose)
     per_text = every.groupBy("k1", "k2").agg(
         F.collect_set(F.when(F.col("known"), F.col("pos"))).alias("closed"),
         F.collect_set(F.when(F.col("show"), F.struct("core", "pos", "known"))).alias("open"),
@@ -231,10 +262,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     texts = staged(long.join(per_text, ["k1", "k2"]), "repeat-texts")
     drop_staged(shared)
 
-    window_rows = StructType([StructField(n, LongType()) for n in ("core", "digit", "k1", "k2", "start")] + [StructField("known", BooleanType())])
+    window_rows = StructType([StructField(n, LongType()) for n in ("core", "digit", "k1", "k2", "start")] + [StructField("known", BooleanType()), StructField("settled", ArrayType(LongType()))])
     shown = map_batches(texts.select("k1", "k2", "text", "open"), _last_digit(window), window_rows)
-    twice = shown.withColumn("n", F.count("*").over(Window.partitionBy("core", "digit"))).where("n > 1 AND NOT known")
-    singles = staged(twice.groupBy("k1", "k2").agg(F.collect_set("start").alias("starts")), "repeat-starts")
+    twice = shown.withColumn("n", F.count("*").over(Window.partitionBy("core", "digit"))).where("n > 1 AND NOT known OR settled IS NOT NULL")
+    found = twice.groupBy("k1", "k2").agg(F.collect_set("start").alias("starts"), F.flatten(F.collect_list("settled")).alias("settled"))
+    singles = staged(found.select("k1", "k2", F.concat("starts", "settled").alias("starts")), "repeat-starts")
 
     covered = texts.select("k1", "k2", "text", "closed").join(singles, ["k1", "k2"], "left").where("size(closed) > 0 OR starts IS NOT NULL")
     cut = map_batches(covered, _cut(window), StructType([StructField("k1", LongType()), StructField("k2", LongType()), StructField("spans", ArrayType(_RANGE)), StructField("kept", BinaryType())]))
