@@ -1,17 +1,19 @@
 """Secret scan: fixed patterns, then credential-like tokens found by inferred grammars.
 
-Base patterns find assignments, access keys and long hexadecimal runs.  Their values, a
-bounded sample of labelled credentials, form a prefix tree over character classes whose
+Base patterns find assignments, access keys and long hexadecimal runs.  Their values are the labelled
+credentials.  A bounded sample of them forms a prefix tree over character classes for each kind, whose
 states are merged when their outgoing frequencies agree (Hoeffding bound), which gives a
-probabilistic automaton; a second one is inferred from ordinary long tokens.  Every token of
-16 characters or more is then scored by the difference of its log-likelihoods a character;
-the limit is the 95th percentile of the ordinary sample, zero at least, plus a margin.
+probabilistic automaton; one more is inferred from ordinary long tokens.  Every token of
+16 characters or more is then scored by the difference of its log-likelihoods a character, the best
+kind counting; the limit comes from ordinary tokens that were held out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from crosspanel.llm.frames import map_batches
+from crosspanel.llm.frames import map_batches, staged
 from crosspanel.llm.textbytes import column_bytes, runs, text_slices
 
 KINDS = ("assign", "access", "hex")
@@ -35,6 +37,12 @@ _WORDS = (b"passw", b"secret", b"token", b"api")
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 TOKEN_MIN = 16
+#: Longest token whose format is learnt.
+LEARNT_LENGTH = 512
+PLAIN, END = "plain", "$"
+CLASSES = "dhlHLs"
+#: Shares of probability kept for what wasn't seen: credentials come in many more shapes than those labelled.
+NOVEL_SECRET, NOVEL_PLAIN = 0.7, 0.001
 _TOKEN = np.zeros(256, dtype=bool)
 for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-":
     _TOKEN[_c] = True
@@ -57,26 +65,30 @@ def char_classes(token: str) -> str:
 
 @dataclass(frozen=True)
 class Automaton:
-    """Deterministic probabilistic automaton; state 0 starts."""
+    """Deterministic probabilistic automaton; state 0 starts.
+
+    A share ``novelty`` of every state's probability backs off to ``general``, the frequencies of
+    all symbols mixed with equal ones, so a symbol that a state never met has its own price.
+    The walk then goes on as if the word had begun with that symbol.
+    """
 
     moves: list[dict[str, int]]
     log_move: list[dict[str, float]]
     log_end: list[float]
-    floor: float = math.log(1e-3)
+    log_general: dict[str, float]
+    novelty: float
 
     def per_char(self, word: str) -> float:
-        """Log-likelihood a character; symbols that a state doesn't know cost the floor."""
+        """Log-likelihood a character, the end counted as one."""
         state, total = 0, 0.0
         for c in word:
-            if state >= 0 and c in self.moves[state]:
-                total += self.log_move[state][c]
-                state = self.moves[state][c]
-            else:
-                total += self.floor
-        return (total + (self.log_end[state] if state >= 0 else self.floor)) / (len(word) + 1)
+            move = self.moves[state].get(c)
+            total += self.log_move[state][c] if move is not None else self.log_general[c]
+            state = move if move is not None else self.moves[0].get(c, 0)
+        return (total + self.log_end[state]) / (len(word) + 1)
 
 
-def infer(words: Iterable[str], alpha: float = 0.05) -> Automaton | None:
+def infer(words: Iterable[str], alpha: float = 0.05, novelty: float = 0.01) -> Automaton | None:
     """Merge statistically compatible states of the words' prefix tree (red-blue order)."""
     moves: list[dict[str, int]] = [{}]
     count, end = [0], [0]
@@ -141,10 +153,9 @@ def infer(words: Iterable[str], alpha: float = 0.05) -> Automaton | None:
             moves[p][c] = into
             fold(into, q)
     name = {s: i for i, s in enumerate(red)}
-    leave: list[dict[str, float]] = []
     # Frequencies of moves are counted again over the words, as merged states share counts.
     used = [dict.fromkeys(moves[s], 0) for s in red]
-    ends, visits = [0] * len(red), [0] * len(red)
+    ends, visits, every = [0] * len(red), [0] * len(red), Counter({END: 0})
     for w in words:
         at = 0
         for c in w:
@@ -153,28 +164,41 @@ def infer(words: Iterable[str], alpha: float = 0.05) -> Automaton | None:
             at = name[moves[red[at]][c]]
         visits[at] += 1
         ends[at] += 1
-    for s in range(len(red)):
-        leave.append({c: math.log((n + 0.1) / (visits[s] + 1)) for c, n in used[s].items()})
+        every.update(w)
+        every[END] += 1
+    symbols = {*CLASSES, *every}
+    general = {c: 0.5 * every[c] / every.total() + 0.5 / len(symbols) for c in symbols}
+    mixed = lambda n, v, c: math.log((1 - novelty) * n / v + novelty * general[c])
     return Automaton(
         [{c: name[q] for c, q in moves[s].items()} for s in red],
-        leave,
-        [math.log((e + 0.1) / (v + 1)) for e, v in zip(ends, visits, strict=True)],
+        [{c: mixed(n, v, c) for c, n in u.items()} for u, v in zip(used, visits, strict=True)],
+        [mixed(e, v, END) for e, v in zip(ends, visits, strict=True)],
+        {c: math.log(novelty * x) for c, x in general.items()},
+        novelty,
     )
 
 
 @dataclass(frozen=True)
 class FormatModel:
-    """Automata of credentials and of ordinary tokens, and the score from which a token counts."""
+    """A grammar per kind of credential, one of ordinary tokens, and the score from which a token counts.
+
+    ``recall`` is the share of held-out labelled credentials above the limit and ``false_rate`` that of
+    held-out ordinary tokens; both are null without such tokens.
+    """
 
-    secret: Automaton | None
+    secret: dict[str, Automaton]
     plain: Automaton | None
     limit: float
+    recall: float | None = None
+    false_rate: float | None = None
 
-    def score(self, token: str) -> float:
-        if self.secret is None or self.plain is None:
+    def score_form(self, form: str) -> float:
+        if not self.secret or self.plain is None:
             return -math.inf
-        form = char_classes(token)
-        return self.secret.per_char(form) - self.plain.per_char(form)
+        return max(a.per_char(form) for a in self.secret.values()) - self.plain.per_char(form)
+
+    def score(self, token: str) -> float:
+        return self.score_form(char_classes(token))
 
     def counts(self, token: str) -> bool:
         return self.score(token) > self.limit
@@ -221,35 +245,54 @@ def _scan(part: pa.RecordBatch) -> Iterator[tuple[int, str, list[tuple[str, int,
 
 
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Formats of credentials by kind and of other tokens, each with a hash of the value, which itself stays."""
     for part in text_slices(batches, "text"):
-        label, value = [], []
+        label, form = [], []
         for _, text, base, tokens in _scan(part):
-            for _, _, _, v in base:
-                label.append("secret")
-                value.append(v[:256])
+            for kind, _, _, v in base:
+                label.append(kind)
+                form.append(v)
             for s, e in tokens:
-                label.append("plain")
-                value.append(text[s : min(e, s + 256)])
-        yield pa.RecordBatch.from_arrays([pa.array(label, pa.string()), pa.array(value, pa.string())], ["label", "value"])
+                label.append(PLAIN)
+                form.append(text[s:e])
+        short = [(k, v) for k, v in zip(label, form, strict=True) if len(v) <= LEARNT_LENGTH]
+        columns = [[k for k, _ in short], [char_classes(v) for _, v in short], [int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "big", signed=True) for _, v in short]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["label", "form", "h"])
 
 
 def fit(docs: DataFrame, sample: int = 800, margin: float = 0.1, alpha: float = 0.05) -> FormatModel:
-    """Infer the automata from at most ``sample`` distinct credentials and as many other tokens.
+    """Infer the grammars from about ``sample`` distinct values of each kind and of other tokens.
 
-    The sample holds those with the smallest hash.  Without credentials or other tokens the
-    model finds nothing beside the base patterns.
+    The sample holds values with a small hash remainder; tokens over ``LEARNT_LENGTH`` characters
+    aren't learnt from, but scored as a whole.  One value in five is held out: the limit lies
+    ``margin`` above the score that best parts held-out credentials from held-out ordinary tokens, the
+    least of equally good ones and 0 at least.  Repeated tokens count once, equal hashes are one token.  Without credentials or
+    without other tokens the model finds nothing beside the base patterns.
     """
-    schema = StructType([StructField("label", StringType()), StructField("value", StringType())])
+    schema = StructType([StructField("label", StringType()), StructField("form", StringType()), StructField("h", LongType())])
     both = map_batches(docs.select("text").where("text IS NOT NULL"), _samples, schema)
-    h = F.xxhash64("value")
-    got: dict[str, list[str]] = {}
-    for label in ("secret", "plain"):
-        rows = both.where(F.col("label") == label).select("value").distinct().orderBy(h, "value").limit(sample).collect()
-        got[label] = [r.value for r in rows]
-    secret, plain = (infer([char_classes(v) for v in got[k]], alpha) for k in ("secret", "plain"))
-    model = FormatModel(secret, plain, 0.0)
-    scores = sorted(model.score(v) for v in got["plain"]) if secret and plain else []
-    return FormatModel(secret, plain, max(0.0, scores[int((len(scores) - 1) * 0.95)] if scores else 0.0) + margin)
+    forms = staged(both.groupBy("label", "h").agg(F.min("form").alias("form")), "secret-formats")
+    counts = staged(forms.groupBy("label").agg(F.count("*").alias("n")), "secret-counts")
+    picked: dict[str, list[str]] = {}
+    for r in forms.join(counts, "label").where(F.pmod("h", "n") < sample).orderBy("label", "h", "form").select("label", "form").collect():
+        picked.setdefault(r.label, []).append(r.form)
+    return learn(picked, margin, alpha)
+
+
+def learn(picked: dict[str, list[str]], margin: float = 0.1, alpha: float = 0.05) -> FormatModel:
+    """The model of a sample of formats by label; every fifth one is held out."""
+    train = {k: [f for i, f in enumerate(v) if i % 5 != 4] for k, v in picked.items()}
+    held = {k: v[4::5] or v for k, v in picked.items()}
+    secret = {k: a for k in KINDS if (a := infer(train.get(k, []), alpha, NOVEL_SECRET)) is not None}
+    model = FormatModel(secret, infer(train.get(PLAIN, []), alpha, NOVEL_PLAIN), 0.0)
+    if not secret or model.plain is None:
+        return model
+    ordinary = [model.score_form(f) for f in held[PLAIN]]
+    known = [model.score_form(f) for k in secret for f in held[k]]
+    share = lambda scores, limit: sum(s > limit for s in scores) / len(scores)
+    tried = [0.0, *(s for s in ordinary if s > 0)]
+    limit = min(tried, key=lambda t: (share(ordinary, t) - share(known, t), t)) + margin
+    return FormatModel(secret, model.plain, limit, share(known, limit), share(ordinary, limit))
 
 
 _SPAN = StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])

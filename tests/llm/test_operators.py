@@ -590,6 +590,30 @@ def test_inferred_formats_find_unlabelled_credentials(make):
     del hexes
 
 
+def test_recall_of_unlabelled_shapes_and_precision(spark):
+    """Five shapes of credentials that no base pattern matches, with the model of the given documents."""
+    import json
+    import string
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = secrets.fit(docs)
+    rng = random.Random(4)
+    pick = lambda n, letters=string.ascii_letters + string.digits: "".join(rng.choice(letters) for _ in range(n))
+    token = lambda raw: base64.urlsafe_b64encode(raw).decode().rstrip("=")
+    shapes = [
+        lambda: "ghp_" + pick(36),
+        lambda: f"xoxb-{pick(12, string.digits)}-{pick(13, string.digits)}-{pick(24)}",
+        lambda: pick(40, string.ascii_letters + string.digits + "+/"),
+        lambda: ".".join(token(x) for x in (b'{"alg":"HS256","typ":"JWT"}', json.dumps({"sub": pick(10)}).encode(), rng.randbytes(32))),
+        lambda: "sk_live_" + pick(24),
+    ]
+    for shape in shapes:
+        assert sum(model.counts(shape()) for _ in range(200)) >= 180
+    assert model.recall >= 0.95 and model.false_rate <= 0.01
+    found = secrets.span_digests(secrets.find_secrets(docs.select("doc_id", "text"), model)).agg(F.sum("n_inferred")).first()[0]
+    assert found <= 10  # of some 2,000 ordinary long tokens
+
+
 def test_redaction_covers_overlaps():
     text = 'a token = "' + "0a" * 20 + '" b'
     assert secrets.redacted(text, secret_truth(text)) == 'a <assign>" b'
