@@ -246,7 +246,23 @@ def b04r(t: Tables) -> DataFrame:
     return B.single_index(_index_pairs(t), ["factor"], textbook_se=False)
 
 
-@query("b04_p_values")
+def _two_sided(t: str) -> str:
+    """Student-t tail of ``t`` with n - 2 degrees of freedom, by the continued fraction of the incomplete beta function."""
+    df = "(n - 2.0::DOUBLE)"
+    x, rest = f"({df} / ({df} + {t} ** 2))", f"({t} ** 2 / ({df} + {t} ** 2))"
+    direct = f"{x} < ({df} / 2 + 1) / ({df} / 2 + 2.5)"
+    a, b, y = (f"(CASE WHEN {direct} THEN {u} ELSE {v} END)" for u, v in ((f"{df} / 2", "0.5::DOUBLE"), ("0.5::DOUBLE", f"{df} / 2"), (x, rest)))
+    m = "ceil(k / 2.0)"
+    num = f"CASE k % 2 WHEN 1 THEN {m} * ({b} - {m}) * {y} / (({a} + 2 * {m} - 1) * ({a} + 2 * {m})) ELSE -({a} + {m}) * ({a} + {b} + {m}) * {y} / (({a} + 2 * {m}) * ({a} + 2 * {m} + 1)) END"
+    first = f"1 / (1 - ({a} + {b}) * {y} / ({a} + 1))"
+    steps = f"range(1, (2 * (100 + 3 * ceil(sqrt(greatest({a}, {b}))))::BIGINT) + 1)"
+    step = "lambda s, y: list_transform([1 / (1 + y[1] * s[2])], lambda d: [1 + y[1] / s[1], d, s[3] * d * (1 + y[1] / s[1])])[1]"
+    h = f"list_reduce(list_prepend([1::DOUBLE, {first}, {first}], list_transform({steps}, lambda k: [{num}])), {step})[3]"
+    tail = f"exp(lgamma({df} / 2 + 0.5) - lgamma({df} / 2) - lgamma(0.5) + {df} / 2 * ln({x}) + 0.5 * ln({rest})) * {h} / {a}"
+    return f"CASE WHEN {t} = 0 THEN 1 WHEN {direct} THEN {tail} ELSE 1 - {tail} END"
+
+
+@query("b04_p_values", f"SELECT *, {_two_sided('t_alpha')} AS p_alpha, {_two_sided('t_beta')} AS p_beta FROM ({_single_index('mx', 'sxx')}) r", _REG + " p_alpha p_beta", 6)
 def b04p(t: Tables) -> DataFrame:
     return B.with_p_values(B.single_index(_index_pairs(t), ["factor"]))
 

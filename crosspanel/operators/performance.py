@@ -2,7 +2,6 @@
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from crosspanel.functions.distributions import student_t_two_sided
@@ -138,17 +137,9 @@ def single_index(pairs: DataFrame, by: Sequence[str], y: str = "y", x: str = "x"
 
 
 def with_p_values(regression: DataFrame) -> DataFrame:
-    """Two-sided Student-t p-values on the aggregated regression table.
-
-    One Arrow function on one row per series; nothing larger passes through Python.
-    """
-
-    def two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series(student_t_two_sided(t.to_numpy(float), df.to_numpy(float)))
-
-    p = F.pandas_udf(two_sided, "double")
+    """Two-sided Student-t p-values of a regression table, as expressions on its rows."""
     df = (F.col("n") - 2).cast("double")
-    return regression.withColumn("p_alpha", p(F.col("t_alpha"), df)).withColumn("p_beta", p(F.col("t_beta"), df))
+    return regression.withColumns({f"p_{k}": student_t_two_sided(F.col(f"t_{k}"), df) for k in ("alpha", "beta")})
 
 
 def period_returns(prices: DataFrame, key: str, ts: str, price: str, period: Column | None = None, out: str = "date") -> DataFrame:

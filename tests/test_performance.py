@@ -11,11 +11,21 @@ from crosspanel.functions.trading_days import last_trading_days
 from crosspanel.operators import compare as C, performance as B
 
 
-def test_student_t_known_values():
+def test_student_t_known_values(spark):
     # Two-sided tail areas from published tables.
-    t = np.array([2.0, 2.571, 12.706, 1.96, 0.0])
-    df = np.array([10.0, 5.0, 1.0, 1e6, 3.0])
-    np.testing.assert_allclose(student_t_two_sided(t, df), [0.07339, 0.04998, 0.05, 0.05, 1.0], atol=2e-4)
+    known = [(2.0, 10.0, 0.07339), (-2.571, 5.0, 0.04998), (12.706, 1.0, 0.05), (1.96, 1e6, 0.05), (0.0, 3.0, 1.0), (float("nan"), 3.0, None), (None, 3.0, None), (1.0, 0.0, None)]
+    rows = spark.createDataFrame(known, "t double, df double, p double").withColumn("got", student_t_two_sided(F.col("t"), F.col("df"))).collect()
+    for r in rows:
+        assert r.got is None if r.p is None else r.got == pytest.approx(r.p, abs=2e-4)
+
+
+def test_student_t_closed_forms(spark):
+    """One and two degrees of freedom have closed forms; tails stay accurate far out."""
+    rows = spark.createDataFrame([(float(x),) for x in (0.01, 0.5, 1, 3, 40, 1e4)], "t double")
+    for r in rows.select("t", student_t_two_sided(F.col("t"), F.lit(1.0)).alias("one"), student_t_two_sided(F.col("t"), F.lit(2.0)).alias("two")).collect():
+        assert r.one == pytest.approx(2 / np.pi * np.arctan(1 / r.t), rel=1e-9)
+        root = np.sqrt(2 + r.t**2)
+        assert r.two == pytest.approx(2 / (root * (root + r.t)), rel=1e-9)
 
 
 def test_last_trading_days(spark):
