@@ -241,6 +241,17 @@ def j02(t: Tables) -> DataFrame:
     return J.interval_join(left, t.raw.names, ["permno"], "mthcaldt", "namedt", "nameendt", ["shrcd", "exchcd"])
 
 
+@query("j02_open_orders_by_day", """SELECT flag, d, count(o.o_orderkey) AS open_orders, sum(o.o_orderkey)::BIGINT AS order_keys FROM (SELECT DISTINCT o_orderstatus AS flag, o_orderdate::DATE AS d FROM orders) k
+  LEFT JOIN orders o ON o.o_orderstatus = flag AND d BETWEEN o.o_orderdate::DATE AND o.o_orderdate::DATE + (o.o_orderkey % 21)::INT GROUP BY 1, 2""")
+def j02_dense(t: Tables) -> DataFrame:
+    """Orders open on each day by status: a key has thousands of intervals."""
+    orders = t.read("orders").select("o_orderstatus", "o_orderkey", c("o_orderdate").cast("date").alias("first"))
+    spans = orders.select("o_orderstatus", "o_orderkey", "first", F.date_add("first", (c("o_orderkey") % 21).cast("int")).alias("last")).withColumnRenamed("o_orderstatus", "flag")
+    days = orders.select(c("o_orderstatus").alias("flag"), c("first").alias("d")).distinct()
+    met = J.banded_interval_join(days, spans, ["flag"], "d", "first", "last", ["o_orderkey"])
+    return met.groupBy("flag", "d").agg(F.count("o_orderkey").alias("open_orders"), F.sum("o_orderkey").cast("long").alias("order_keys"))
+
+
 @query("j03_link_join", "SELECT f.gvkey, l.permno, f.datadate FROM t_funda f JOIN t_good_links l USING (gvkey) WHERE make_date(year(f.datadate) + 1, 6, 30) BETWEEN l.linkdt AND l.linkenddt")
 def j03(t: Tables) -> DataFrame:
     out = J.link_join(t.raw.funda.select("gvkey", "datadate"), J.usable_links(t.raw.links, X.FAR_END), D.fiscal_june(c("datadate")))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crosspanel.functions.dates import month_key
 from crosspanel.operators.rows import keep_last, stack_tables
+from crosspanel.session import stage_table
 
 OPEN_END = "9999-12-31"
 
@@ -31,7 +32,8 @@ def interval_join(
 ) -> DataFrame:
     """Join on equal keys where ``start <= date <= end``; a null end is open.
 
-    The equality keys drive the shuffle and the interval is a residual filter.
+    The equality keys drive the shuffle and the interval is a residual filter, which suits keys
+    with a handful of intervals each; ``banded_interval_join`` is for keys with very many.
     """
     r = right.select(
         *[F.col(k).alias(f"_r_{k}") for k in keys],
@@ -44,6 +46,60 @@ def interval_join(
     return left.join(r, on, how).drop("_from", "_to", *[f"_r_{k}" for k in keys])
 
 
+def banded_interval_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    date: str,
+    start: str,
+    end: str,
+    columns: Sequence[str],
+    how: str = "left",
+    open_end: str = OPEN_END,
+) -> DataFrame:
+    """The same join for keys with many intervals, by bands of interval length.
+
+    Band k holds the intervals of more than 2^(k-1) and at most 2^k days and cuts the calendar into
+    bins of 2^k days.  An interval touches two bins of its band at most, a date lies in one bin of each band, and
+    rows meet on (keys, band, bin): what meets is at most a few times what matches, whatever
+    the number of intervals of a key, and a hot key is spread over its bins.  Dates only; a null
+    start, or an end before the start, matches nothing.  ``how`` is left or inner, or candidates for
+    the rows that meet.
+    """
+    if how not in ("left", "inner", "candidates"):
+        raise ValueError(f"unsupported join {how!r}")
+    keys = list(keys)
+    spans = right.select(
+        *[F.col(k).alias(f"_r_{k}") for k in keys],
+        F.unix_date(F.col(start)).alias("_from"),
+        F.unix_date(F.coalesce(F.col(end), F.lit(open_end).cast("date"))).alias("_to"),
+        *columns,
+    ).where("_from <= _to")
+    # The least power of two that is no shorter than the interval.
+    band = F.ceil(F.log2(F.col("_to") - F.col("_from") + 1)).cast("int")
+    spans = stage_table(spans.withColumn("_band", band), "bands")
+    bands = sorted(r[0] for r in spans.select("_band").distinct().collect())  # 22 at most in the calendar
+    width = F.call_function("shiftleft", F.lit(1), F.col("_band"))
+    bins = F.array_distinct(F.array(F.floor(F.col("_from") / width), F.floor(F.col("_to") / width)))
+    spans = spans.withColumn("_bin", F.explode(bins))
+    day = F.unix_date(F.col(date))
+    places = F.array(*[F.struct(F.lit(b).alias("band"), F.floor(day / (1 << b)).alias("bin")) for b in bands]) if bands else F.array().cast("array<struct<band:int,bin:bigint>>")
+    probes = left.withColumn("_day", day).withColumn("_at", F.explode(places))
+    on: Column = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_r_{k}") for k in keys])
+    on = on & (F.col("_at.band") == F.col("_band")) & (F.col("_at.bin") == F.col("_bin"))
+    met = probes.join(spans, on)
+    found = met.where(F.col("_day").between(F.col("_from"), F.col("_to"))).select(*left.columns, *columns)
+    if how == "candidates":
+        return met
+    if how == "inner":
+        return found
+    # A row without a match equals no row with one in keys and date.
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in [*keys, date]])
+    matched = found.select(*[F.col(k).alias(f"_m_{k}") for k in [*keys, date]]).distinct()
+    rest = left.join(matched, same, "left_anti")
+    return found.unionByName(rest.select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in columns]))
+
+
 def usable_links(links: DataFrame, window_end: str | Column) -> DataFrame:
     """Links of research quality; an open end is set to the window's end."""
     end = F.lit(window_end).cast("date") if isinstance(window_end, str) else window_end

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from crosspanel.operators import joins as J, rows as R
 
@@ -17,6 +18,33 @@ def test_interval_join_open_end_and_overlap(spark):
     assert sorted((r.k, r.d, r.x or "") for r in out.collect()) == [(1, day(5), "a"), (1, day(5), "b"), (1, day(50), "b"), (2, day(5), "")]
 
 
+def test_banded_join_equals_plain_join(spark):
+    rng = random.Random(8)
+    left = [(rng.choice([0, 0, 0, 1, 2, None]), day(rng.randrange(400)) if rng.random() < 0.95 else None, i) for i in range(300)] + [(0, day(7), 1000)] * 2
+    right = []
+    for i in range(250):
+        s = rng.randrange(400)
+        right.append((rng.choice([0, 0, 1, 3]), day(s) if i % 20 else None, None if i % 9 == 0 else day(s + rng.choice([0, 1, 5, 63, 64, 300, -2])), f"x{i}"))
+    L = spark.createDataFrame(left, "k int, d date, id int")
+    R_ = spark.createDataFrame(right, "k int, s date, e date, x string")
+    for how in ("left", "inner"):
+        got, want = ([tuple(r) for r in f(L, R_, ["k"], "d", "s", "e", ["x"], how=how).collect()] for f in (J.banded_interval_join, J.interval_join))
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert J.banded_interval_join(L, R_.limit(0), ["k"], "d", "s", "e", ["x"]).count() == len(left)
+
+
+def test_candidates_of_a_dense_key_stay_near_the_matches(spark):
+    """One key with 10,000 intervals and a million rows: rows that meet, against rows that match."""
+    spans = spark.range(10_000).select(F.lit(1).alias("k"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 5000).cast("int")).alias("s"), F.col("id").alias("x"))
+    spans = spans.withColumn("e", F.date_add("s", (F.col("x") % 3).cast("int")))
+    rows = spark.range(1_000_000).select(F.lit(1).alias("k"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 5000).cast("int")).alias("d"))
+    out = J.banded_interval_join(rows, spans, ["k"], "d", "s", "e", ["x"], how="inner")
+    matches = out.count()
+    assert matches == rows.groupBy("d").count().join(spans, F.expr("d BETWEEN s AND e")).agg(F.sum("count")).first()[0]
+    met = J.banded_interval_join(rows, spans, ["k"], "d", "s", "e", ["x"], how="candidates").count()
+    assert matches <= met <= 4 * matches
+
+
 @pytest.mark.parametrize("unique", [False, True])
 def test_asof_join_against_brute_force(spark, unique):
     rng = random.Random(3)
