@@ -10,8 +10,7 @@ place, parity).  The order puts blocks with a rare shingle first, using frequenc
 whole corpus in a table of fixed size, so that shared passages rarely make candidates.
 
 Candidates are not expanded into pairs: a node is first compared with the smallest
-node of its blocks, its hub.  A block whose shingles are frequent is split: its parts have hubs of
-their own, which meet in a second step.  A hub is read once for some hundred texts compared with it.  Only nodes that meet in a block and are still in different
+node of its blocks, its hub.  A block whose shingles are frequent is split into parts to find it.  A hub is read once for some hundred texts compared with it.  Only nodes that meet in a block and are still in different
 components are compared with each other, after bounds on their symmetric difference (from
 what both add to and lack of their hub, then from the Hamming distance of bit sketches) have
 ruled out what they can.  Every comparison is decided on the sets.
@@ -181,11 +180,12 @@ class _Nodes:
         return self.rows.join(wanted.join(self.places, "node").hint("merge"), ["doc_id", "h"])
 
 
-def _compared(pairs: DataFrame, nodes: _Nodes) -> DataFrame:
+def _compared(pairs: DataFrame, nodes: _Nodes, levels: np.ndarray) -> DataFrame:
     """Per pair (x, y): linked, size of y, how many shingles y lacks of x and adds to it.
 
-    ``added`` lists the latter if they are at most half of y, else it is null.  All y of an x
-    stream past its set, ``SHARE`` or so in a task.
+    ``added`` lists the rarest of the latter, a quarter of y and one: a node linked with y has all
+    of y but a quarter, so it has one of them unless it adds nothing that y adds.  It is null if y
+    adds more than half of itself.  All y of an x stream past its set, ``SHARE`` or so in a task.
     """
     schema = StructType([StructField("x", LongType()), StructField("y", LongType()), StructField("linked", BooleanType())] + [StructField(n, LongType()) for n in ("n", "lost", "more")] + [StructField("added", ArrayType(LongType()))])
     kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
@@ -205,7 +205,10 @@ def _compared(pairs: DataFrame, nodes: _Nodes) -> DataFrame:
                 new = np.setdiff1d(t, s, assume_unique=True).view(np.int64)
                 both = len(t) - len(new)
                 linked = bool(both) and 100 * both >= 75 * (len(s) + len(new))
-                rows.append((x, y, linked, len(t), len(s) - both, len(new), new if 2 * len(new) <= len(t) else None))
+                few = new
+                if len(new) > len(t) // 4 + 1:
+                    few = new[np.lexsort((new, levels[new & (len(levels) - 1)]))[: len(t) // 4 + 1]]
+                rows.append((x, y, linked, len(t), len(s) - both, len(new), few if 2 * len(new) <= len(t) else None))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], schema.names)
 
     return map_batches(stream, compare, schema)
@@ -305,7 +308,7 @@ def text_components(docs: DataFrame) -> DataFrame:
     votes = met.where("ref <> hub").groupBy("ref", "hub").agg(F.count("*").alias("votes"), F.min("n").alias("n"))
     first = votes.where(4 * F.col("votes") >= 1 + F.floor(F.col("n") / 64)).groupBy(F.col("ref").alias("y")).agg(F.max_by("hub", F.struct("votes", -F.col("hub"))).alias("x"))
     first = staged(first.select("x", "y"), "shingle-pairs")
-    compared = staged(_compared(first, nodes), "shingle-compared")
+    compared = staged(_compared(first, nodes, levels), "shingle-compared")
     links = compared.where("linked").select("x", "y").distinct()
     label = components(links)
 
@@ -317,7 +320,7 @@ def text_components(docs: DataFrame) -> DataFrame:
     rest = staged(rest.join(first, ["x", "y"], "left_anti"), "shingle-rest")
     ends = rest.select(F.col("x").alias("node")).unionByName(rest.select(F.col("y").alias("node"))).distinct()
     near = staged(_plausible(rest, staged(_sketches(nodes.with_text(ends)), "shingle-sketches")), "shingle-near")
-    more = staged(_compared(near, nodes).where("linked").select("x", "y").distinct(), "shingle-links")
+    more = staged(_compared(near, nodes, levels).where("linked").select("x", "y").distinct(), "shingle-links")
     label = components(links.unionByName(more))
     return members.join(label, "node", "left").select("doc_id", "h", "n", F.coalesce("component", "node").alias("component"), "copies", "hashed")
 
@@ -325,8 +328,8 @@ def text_components(docs: DataFrame) -> DataFrame:
 def _met_blocks(nodes: _Nodes, levels: np.ndarray) -> DataFrame:
     """(key, ref, n, hub) of nodes that share a block with another one.
 
-    A block of level k is dealt into 2^k parts by a hash of the node.  The smallest nodes of
-    the parts then meet as a block of their own, so no task has to hold a frequent block.
+    A block of level k is dealt into 2^k parts by a hash of the node.  Its hub is the smallest of
+    the parts' smallest nodes and goes back to the parts in a join, so no task holds a frequent block.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,12 +346,12 @@ def _met_blocks(nodes: _Nodes, levels: np.ndarray) -> DataFrame:
     schema = StructType([StructField(n, LongType()) for n in ("doc_id", "h", "n")] + [StructField("keys", ArrayType(LongType())), StructField("parts", ArrayType(IntegerType()))])
     keyed = map_batches(nodes.rows, emit, schema).join(nodes.places.hint("merge"), ["doc_id", "h"])
     keyed = keyed.select(F.col("node").alias("ref"), "n", F.explode(F.arrays_zip("keys", "parts")).alias("e")).select("ref", "n", F.col("e.keys").alias("key"), F.col("e.parts").alias("part"))
-    least = lambda w: [F.min("ref").over(w).alias("hub"), F.max("ref").over(w).alias("last")]
-    local = keyed.select("key", "part", "ref", "n", *least(Window.partitionBy("key", "part")))
-    local = staged(local.where("hub <> last OR part > 0 AND ref = hub"), "shingle-blocks")
-    hubs = local.where("part > 0 AND ref = hub").select("key", "ref", "n").distinct()
-    hubs = staged(hubs.select("key", "ref", "n", *least(Window.partitionBy("key"))).where("hub <> last"), "shingle-hubs")
-    return local.where("hub <> last").select("key", "ref", "n", "hub").unionByName(hubs.select("key", "ref", "n", "hub"))
+    block = Window.partitionBy("key", "part")
+    local = keyed.select("key", "part", "ref", "n", F.min("ref").over(block).alias("hub"), F.max("ref").over(block).alias("last"))
+    local = staged(local.where("hub <> last OR part > 0"), "shingle-blocks")
+    whole = local.where("part > 0 AND ref = hub").groupBy("key").agg(F.min("hub").alias("hub"), F.max("last").alias("last")).where("hub <> last")
+    split = local.where("part > 0").select("key", "ref", "n").join(staged(whole.select("key", "hub"), "shingle-hubs"), "key")
+    return staged(local.where("part = 0").select("key", "ref", "n", "hub").unionByName(split.select("key", "ref", "n", "hub")), "shingle-met")
 
 
 def _open_pairs(open_: DataFrame, compared: DataFrame) -> DataFrame:
@@ -361,11 +364,8 @@ def _open_pairs(open_: DataFrame, compared: DataFrame) -> DataFrame:
     Pairs that add something in common meet in a join on hub and shingle.
     """
     told = compared.where("added IS NOT NULL")
-    # An id with several texts has no numbers, so that nothing is ruled out for it.
-    number = F.struct("n", "more", "lost")
-    facts = told.groupBy("y").agg(F.min("x").alias("hub"), F.min(number).alias("lo"), F.max(number).alias("hi"))
-    facts = facts.where("lo = hi").select(F.col("y").alias("ref"), "hub", "lo.more", "lo.lost")
-    known = staged(open_.select("ref", "n", "c").distinct().join(facts, "ref", "left").withColumn("hub", F.coalesce("hub", "ref")), "shingle-facts")
+    facts = told.select(F.col("y").alias("ref"), F.col("x").alias("hub"), "more", "lost", "added").dropDuplicates(["ref"])
+    known = staged(open_.select("ref", "n", "c").distinct().join(facts.drop("added"), "ref", "left").withColumn("hub", F.coalesce("hub", "ref")), "shingle-facts")
 
     left = open_.select("key", "ref", "n").join(known.drop("n"), "ref")
     right = left.select(*[F.col(k).alias(k if k == "key" else f"o_{k}") for k in left.columns])
@@ -377,8 +377,7 @@ def _open_pairs(open_: DataFrame, compared: DataFrame) -> DataFrame:
     met = left.join(right, "key").where(apart & ~far).groupBy(F.col("ref").alias("x"), F.col("o_ref").alias("y"))
     met = met.agg(F.count("*").alias("shared"), F.min(F.least("n", "o_n")).alias("n")).where(F.col("shared") >= 1 + F.floor(F.col("n") / 64))
 
-    shown = told.select("y", "n", F.explode("added").alias("shingle")).join(known.select(F.col("ref").alias("y"), "hub", "c").distinct(), "y")
-    shown = shown.select("hub", "shingle", F.col("y").alias("ref"), "c", "n")
+    shown = known.select("ref", "n", "c").join(facts, "ref").select("hub", F.explode("added").alias("shingle"), "ref", "c", "n")
     others = shown.select("hub", "shingle", *[F.col(k).alias(f"o_{k}") for k in ("ref", "c", "n")])
     together = shown.join(others, ["hub", "shingle"]).where(apart)
     return met.select("x", "y").unionByName(together.select(F.col("ref").alias("x"), F.col("o_ref").alias("y"))).distinct()
