@@ -5,7 +5,7 @@ read as a number of the set of all values of their format, permuted inside that
 keyed Feistel network with cycle walking, and written back in the same layout with fresh
 check digits.  The permutation depends on the key and the kind only, so equal values get
 equal pseudonyms in every document, whatever separators they carry, and different values
-stay different.
+stay different.  The dates of the format are those of 1900 to 2099; others aren't personal data here and stay.
 """
 
 from __future__ import annotations
