@@ -1,7 +1,8 @@
 """Incremental fill of a stored panel from its high-water marks.
 
 The studied system has no stream processing; its only incremental behaviour is to
-load the rows after the last stored date and merge them into their year.
+load the rows after the last stored date and merge them into their year.  A row that arrives
+later with a date before its year's mark is therefore never loaded; fill such a year again as a whole.
 """
 
 from __future__ import annotations
