@@ -172,11 +172,15 @@ def _margins(model: LogisticRegressionModel, families: list[str], rows: DataFram
     return scored.withColumn("best", let(vector_to_array(F.col("rawPrediction")), best)).drop("rawPrediction", "probability", "prediction", "features")
 
 
-def fit(docs: DataFrame, ordinary: int = 2000) -> LicenceModel:
-    """Train on pieces of the templates and ``ordinary`` paragraphs of the corpus.
-
-    The sample has the smallest hashes among paragraphs without the words licence, license or
-    copyright.  One row in five is kept out of training and calibrates the margin.
+def fit(docs: DataFrame, ordinary: int = 2000, documents: int = 8000) -> LicenceModel:
+    """Train on pieces of the templates and at most ``ordinary`` paragraphs of the corpus.
+
+    About ``documents`` documents are drawn by the remainder of their hash; of their distinct
+    paragraphs without the words licence, license or copyright, and without four words in a row
+    of a notice (which needn't say licence), those with the smallest hashes are taken, so what
+    meets in one task doesn't grow with the corpus.  Rows that repeat, and
+    paragraphs that many documents share, count once.  One row in five is kept out of training
+    and calibrates the margin; whole notices always train.
     """
     spark = docs.sparkSession
     families = sorted(TEMPLATES)
@@ -184,12 +188,22 @@ def fit(docs: DataFrame, ordinary: int = 2000) -> LicenceModel:
     words = F.col("words")
     # Whole notices and their pieces of 4 to 12 words, so that quoted parts are known too.
     piece = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.slice(words, i, n))
-    pieces = _templates(spark).select(label.alias("label"), F.explode(F.concat(F.array(words), piece(4), piece(8), piece(12))).alias("words")).distinct()
+    pieces = _templates(spark).select(label.alias("label"), F.posexplode(F.concat(F.array(words), piece(4), piece(8), piece(12))).alias("place", "words"))
+    pieces = pieces.groupBy("label", "words").agg((F.min("place") == 0).alias("whole"))
     marked = F.exists(words, lambda w: w.rlike("licen[cs]e|copyright|warrant|redistribut"))
-    plain = paragraphs(docs.select("doc_id", "text")).where(~marked).select("words", F.xxhash64("words").alias("h")).orderBy("h").limit(ordinary)
-    rows = pieces.unionByName(plain.select(F.lit(0.0).alias("label"), "words")).withColumn("fold", F.pmod(F.xxhash64("words", "label"), F.lit(5)))
-    rows = _features(staged(rows.coalesce(1), "licence-training"))
-    learner = LogisticRegression(regParam=1e-3, maxIter=40, family="multinomial")
+    rows_in_all = max(docs.count(), 1)
+    drawn = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rows_in_all)) < documents)
+    quoted = F.array(*[F.lit(g) for g in sorted(r[0] for r in _templates(spark).select(F.explode(grams(words, 4))).distinct().collect())])
+    plain = paragraphs(drawn).where(~marked).select("words", F.xxhash64("words").alias("h")).dropDuplicates(["h"])
+    plain = plain.where(~F.arrays_overlap(grams(words, 4), quoted)).orderBy("h").limit(ordinary)
+    rows = pieces.unionByName(plain.select(F.lit(0.0).alias("label"), "words", F.lit(False).alias("whole")))
+    rows = rows.withColumn("fold", F.when(F.col("whole"), F.lit(1)).otherwise(F.pmod(F.xxhash64("words", "label"), F.lit(5)))).drop("whole")
+    rows = staged(rows.coalesce(1), "licence-training")
+    # Classes weigh the same in total, so that a family of few notices isn't outvoted by its prior.
+    sizes = rows.groupBy("label").agg((1.0 / F.count("*")).alias("share"))
+    weights = rows.join(sizes, "label").withColumn("weight", F.col("share") * rows.count() / (len(families) + 1)).drop("share")
+    rows = _features(staged(weights.coalesce(1), "licence-weights"))
+    learner = LogisticRegression(regParam=1e-3, maxIter=40, family="multinomial", weightCol="weight")
     classes = len(families) + 1
     first = learner.fit(rows.where("fold <> 0"))
     held = _margins(first, families, rows.where("fold = 0")).select((F.col("label") > 0).cast("double").alias("label"), "best.margin") if first.numClasses == classes else None
@@ -207,7 +221,8 @@ def scan(docs: DataFrame, model: LicenceModel, least: float = 0.5, similar: floa
     unknown; ``licences`` holds the families of confirmed hits.  Similarity is the larger of the
     share of the paragraph's word grams (three words, two in short paragraphs) that the family's templates have and the largest
     share of one template's grams that the paragraph has.  Null and empty texts have no
-    paragraphs.  Repeated rows get equal results.
+    paragraphs.  Repeated rows get equal results.  Of families with equal margins the first
+    by name counts.
     """
     spark = docs.sparkSession
     shapes = _templates(spark).groupBy("family").agg(*[F.collect_list(grams(F.col("words"), n)).alias(f"templates{n}") for n in (2, 3)])

@@ -257,6 +257,51 @@ def test_noncommercial_and_noderivative_notices_are_found(make):
     assert all(got[i] == "" for i in range(200))
 
 
+def test_licences_of_planted_paraphrased_and_near_miss_lines(make):
+    """Truth by construction: every notice of every family, worded otherwise, and lines that only sound like one."""
+    words = "tree stone river cloud house green paper light under over walk sing table with from that this work free software".split()
+    rng = random.Random(77)
+    line = lambda: " ".join(rng.choice(words) for _ in range(12)) + "."
+    whole = [(family, text) for family, texts in licences.TEMPLATES.items() for text in texts]
+    # A word exchanged or dropped near the end, other case and punctuation, or text around the notice.
+    reworded = [(f, re.sub(r"(\w+)\W*$", r"hereby \1 !", t).upper()) for f, t in whole if len(t.split()) >= 10]
+    wrapped = [(f, f"Note: {t} Thank you.") for f, t in whole if len(t.split()) >= 8]
+    near = [
+        "Permission is hereby granted to visitors to walk over the green lawn.",
+        "This work is under the table.",
+        "The software is provided with paper, light and stone.",
+        "You may obtain a copy of the book at http://www.example.org/books/2.0",
+        "She licensed the tree house under conditions of her own.",
+        "The driver's license of the river guide expired in version 2 of the story.",
+        "Redistribution of stones over the river needs a permission of the house.",
+    ]
+    docs = [(i, "\n".join(line() for _ in range(4))) for i in range(300)]
+    sets = {1000: whole, 2000: reworded, 3000: wrapped}
+    docs += [(at + i, f"{line()}\n{t}\n{line()}") for at, rows in sets.items() for i, (_, t) in enumerate(rows)]
+    docs += [(4000 + i, f"{line()}\n{t}\n{line()}") for i, t in enumerate(near)]
+    # A text of several megabytes whose only notice is its last line.
+    docs.append((5000, "\n".join(line() for _ in range(50_000)) + "\nReleased under the MIT License."))
+    df = make(docs)
+    got = {r.doc_id: r.licences for r in licences.scan(df, licences.fit(df)).collect()}
+    assert all(got[1000 + i] == f for i, (f, _) in enumerate(whole))
+    for at, rows in sets.items():
+        right = sum(got[at + i] == f for i, (f, _) in enumerate(rows))
+        assert right >= 0.95 * len(rows), (at, right, len(rows))
+    assert all(got[i] == "" for i in range(300))
+    assert all(got[4000 + i] == "" for i in range(len(near)))
+    assert got[5000] == "mit"
+
+
+def test_licence_sample_is_bounded_and_takes_copies_once(make):
+    """A paragraph that thousands of rows share doesn't fill the sample of ordinary paragraphs."""
+    own = [(i, f"walk over river {i} with stone {i * 7} under light") for i in range(400)]
+    df = make(own + [(10_000 + i, "the same line in every copy") for i in range(3000)] + [(None, "the same line in every copy")] * 3)
+    model = licences.fit(df, ordinary=100, documents=500)
+    assert model.families == sorted(licences.TEMPLATES)
+    got = licences.scan(df.where("doc_id < 400"), model)
+    assert got.where("licences <> ''").count() == 0 and got.count() == 400
+
+
 # 5. Winnowing
 
 
