@@ -407,10 +407,16 @@ def page_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, path: str | None = None, least_bytes: int = 0) -> DataFrame:
-    """Write pages to archives (below the checkpoint folder unless named) and read them back."""
+    """Write pages to archives (below the checkpoint folder unless named) and read them back.
+
+    Two scans with a pushed record type: responses are decoded and held against their digests,
+    revisits are read from their headers alone.
+    """
     path = path or f"{ensure_checkpoint_dir(spark)}/archives/{uuid.uuid4().hex}"
     write_warc(page_records(pages, least_bytes), path)
-    back = read_warc(spark, path, "record_id string, record_type string, refers_to string, payload_digest string, payload_bytes bigint", verify=True)
+    columns = "record_id string, record_type string, refers_to string, payload_digest string, payload_bytes bigint"
+    responses = read_warc(spark, path, columns, verify=True).where(F.col("record_type") == "response")
+    back = responses.unionByName(read_warc(spark, path, columns).where(F.col("record_type") == "revisit"))
     number = lambda c: F.regexp_extract(c, f"^{PAGE}(-?[0-9]+)$", 1)
     return back.select(
         F.when(number("record_id") != "", number("record_id")).cast("long").alias("page_id"),
