@@ -267,6 +267,18 @@ def j04(t: Tables) -> DataFrame:
     return J.asof_join(left, right, ["permno"], "d", "rdq", ["datadate", "ltq"], ["rdq", "ltq"]).select("permno", "d", "rdq", "ltq")
 
 
+@query("j04_asof_timestamps", """SELECT p.event_id, p.event_type, v.ts AS view_ts, v.view_id FROM events p
+  ASOF JOIN (SELECT ts, event_type = 'view' AS is_view, max(event_id) AS view_id FROM events WHERE event_type = 'view' AND ts IS NOT NULL GROUP BY ts, event_type) v
+  ON v.is_view = (p.event_type IS NOT NULL) AND p.ts >= v.ts WHERE p.event_type <> 'view'""")
+def j04_timestamps(t: Tables) -> DataFrame:
+    """The latest view of anybody before each other event: all rows share one key."""
+    events = t.read("events")
+    other = events.where(c("event_type") != "view").select("event_id", "event_type", "ts", F.lit(True).alias("k"))
+    views = events.where(c("event_type") == "view").select(F.lit(True).alias("k"), c("ts").alias("view_ts"), c("event_id").alias("view_id"))
+    out = J.asof_join(other, views, ["k"], "ts", "view_ts", ["view_id"], ["view_ts", "view_id"], ranges=True)
+    return out.select("event_id", "event_type", "view_ts", "view_id")
+
+
 @query("j05_left_join_company", "SELECT gvkey, f.datadate, c.sic FROM t_funda f LEFT JOIN t_company c USING (gvkey)")
 def j05(t: Tables) -> DataFrame:
     return t.raw.funda.select("gvkey", "datadate").join(t.raw.company, "gvkey", "left")

@@ -10,6 +10,7 @@ from catalog.registry import Tables, query
 from catalog.sql_tables import table
 from crosspanel.functions.dates import month_key
 from crosspanel.operators import compare as C, joins as J, moments as MO, performance as B, rows as R
+from crosspanel.operators.ordered import average_ranks
 from crosspanel.session import ensure_checkpoint_dir
 from crosspanel.sources import files as FI
 from crosspanel.sources.store import PanelStore
@@ -136,6 +137,15 @@ def a20(t: Tables) -> DataFrame:
     return C.replication_metrics(C.paired(t.research.factors, t.research.factors_open))
 
 
+@query("a20_average_ranks", """SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY value NULLS FIRST) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0::DOUBLE AS value_rank,
+  rank() OVER (PARTITION BY event_type ORDER BY day) + (count(*) OVER (PARTITION BY event_type, day) - 1) / 2.0::DOUBLE AS day_rank
+  FROM (SELECT event_id, event_type, value, date_diff('day', DATE '1970-01-01', ts::DATE) AS day FROM events WHERE ts IS NOT NULL) e""", digits=None)
+def a20_ranks(t: Tables) -> DataFrame:
+    """Average ranks of events within their type, a few groups that grow with the table."""
+    d = t.read("events").where(c("ts").isNotNull()).select("event_id", "event_type", "value", F.unix_date(c("ts").cast("date")).alias("day"))
+    return average_ranks(d, ["event_type"], ["value", "day"]).select("event_id", c("_rank_value").alias("value_rank"), c("_rank_day").alias("day_rank"))
+
+
 _ZSCORE = """(SELECT factor, date, (a - avg(a) OVER w) / stddev_samp(a) OVER w AS a, (b - avg(b) OVER w) / stddev_samp(b) OVER w AS b FROM t_pairs
   WINDOW w AS (PARTITION BY factor)) zs"""
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from crosspanel.functions.dates import month_key
+from crosspanel.operators.ordered import average_ranks
 from crosspanel.operators.quantiles import grouped_median
 from crosspanel.operators.rows import keep_last
 
@@ -26,32 +27,25 @@ def delta_summary(pairs: DataFrame, by: str = "factor") -> DataFrame:
     )
 
 
-def average_rank(value: Column, *partition: str) -> Column:
-    """Rank within a partition, ties share their mean rank."""
-    w = Window.partitionBy(*partition).orderBy(value)
-    ties = Window.partitionBy(*partition, value)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
-
-
 def replication_metrics(pairs: DataFrame, by: str = "factor", eps: float = 1e-12, standardise: bool = False) -> DataFrame:
     """Agreement of two sources per series, in one aggregate over ranked pairs.
 
-    A group is one time series, so the rank windows are bounded by the calendar.
+    Ranks come from range partitions and standardisation from an aggregate, so a series of
+    any length is spread over tasks.
     """
     d = pairs
     if standardise:
-        w = Window.partitionBy(by)
-        for x in ("a", "b"):
-            sd = F.stddev_samp(x).over(w)
-            d = d.withColumn(f"_{x}", (F.col(x) - F.avg(x).over(w)) / F.when(sd > 0, sd).otherwise(1.0))
-        d = d.select(*[c for c in pairs.columns if c not in ("a", "b")], F.col("_a").alias("a"), F.col("_b").alias("b"))
-    d = d.withColumn("_ra", average_rank(F.col("a"), by)).withColumn("_rb", average_rank(F.col("b"), by))
+        stats = pairs.groupBy(by).agg(*[f(x).alias(f"_{n}_{x}") for x in ("a", "b") for n, f in (("avg", F.avg), ("sd", F.stddev_samp))])
+        stats = stats.withColumnRenamed(by, "_by")
+        scaled = [((F.col(x) - F.col(f"_avg_{x}")) / F.when(F.col(f"_sd_{x}") > 0, F.col(f"_sd_{x}")).otherwise(1.0)).alias(x) for x in ("a", "b")]
+        d = pairs.join(stats, F.col(by).eqNullSafe(F.col("_by"))).select(*[c for c in pairs.columns if c not in ("a", "b")], *scaled)
+    d = average_ranks(d, [by], ["a", "b"])
     a, b = F.col("a"), F.col("b")
     err = a - b
     agg = d.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"),
         F.corr("a", "b").alias("_r"),
-        F.corr("_ra", "_rb").alias("_rho"),
+        F.corr("_rank_a", "_rank_b").alias("_rho"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
         F.avg(F.abs(err)).alias("mae"),
         F.avg(F.abs(err) / F.greatest(F.abs(b), F.lit(eps))).alias("mape"),

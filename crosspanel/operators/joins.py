@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crosspanel.functions.dates import month_key
+from crosspanel.operators.ordered import carry_last
 from crosspanel.operators.rows import keep_last, stack_tables
 from crosspanel.session import stage_table
 
@@ -127,13 +128,17 @@ def asof_join(
     tie: Sequence[str],
     columns: Sequence[str],
     left_unique: bool = False,
+    ranges: bool = False,
 ) -> DataFrame:
     """For each left row, the latest right row with ``right_date <= left_date``.
 
     Rows on the same right date are reduced to the last in ``tie`` order first and
     left rows to distinct dates, so a key's window holds at most two rows per
     calendar day whatever its share of the input.  Left rows without a match are
-    dropped.  Set ``left_unique`` when (keys, left_date) is unique on the left.
+    dropped.  Set ``left_unique`` when (keys, left_date) is unique on the left, and
+    ``ranges`` for timestamps, where the calendar doesn't bound a key's window: then ranges of
+    (keys, time) are worked apart and the last right row of each is carried on.  There a null
+    key matches nothing.
     """
     keys, tie, columns = list(keys), list(tie), list(columns)
     payload = [c for c in columns if c not in keys]
@@ -147,11 +152,14 @@ def asof_join(
     probes = base.select(
         *keys, F.col(left_date).alias("_ts"), F.lit(1).alias("_side"), F.struct(F.col(left_date), *carried).alias("_row")
     )
-    w = Window.partitionBy(*keys).orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = stack_tables([events, probes])
+    if ranges:
+        carried_on = carry_last(both, keys, ["_ts", "_side"], "_hit", "_last")
+    else:
+        w = Window.partitionBy(*keys).orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        carried_on = both.withColumn("_last", F.last("_hit", ignorenulls=True).over(w))
     hits = (
-        both.withColumn("_last", F.last("_hit", ignorenulls=True).over(w))
-        .where((F.col("_side") == 1) & F.col("_last").isNotNull())
+        carried_on.where((F.col("_side") == 1) & F.col("_last").isNotNull())
         .select(*keys, "_row.*", *[F.col(f"_last.{c}").alias(c) for c in payload])
     )
     if left_unique:

@@ -45,8 +45,9 @@ def test_candidates_of_a_dense_key_stay_near_the_matches(spark):
     assert matches <= met <= 4 * matches
 
 
+@pytest.mark.parametrize("ranges", [False, True])
 @pytest.mark.parametrize("unique", [False, True])
-def test_asof_join_against_brute_force(spark, unique):
+def test_asof_join_against_brute_force(spark, unique, ranges):
     rng = random.Random(3)
     # Key 0 owns most rows on both sides.
     keys = lambda n: [0 if rng.random() < 0.6 else rng.randrange(1, 5) for _ in range(n)]
@@ -57,7 +58,7 @@ def test_asof_join_against_brute_force(spark, unique):
         left = list({(k, d): (k, d, i) for k, d, i in left}.values())
     L = spark.createDataFrame(left, "k int, d date, id int")
     Rt = spark.createDataFrame(right, "k int, r date, tie int, v int")
-    out = J.asof_join(L, Rt, ["k"], "d", "r", ["tie", "v"], ["r", "v"], left_unique=unique)
+    out = J.asof_join(L, Rt, ["k"], "d", "r", ["tie", "v"], ["r", "v"], left_unique=unique, ranges=ranges)
     got = sorted((x.id, x.k, x.d, x.r, x.v) for x in out.collect())
     want = []
     for k, d, i in left:
