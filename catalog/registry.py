@@ -12,7 +12,7 @@ from catalog.sql_tables import with_tables
 from crosspanel.plans.extracts import BaseTables, extract_base, staged_raw
 from crosspanel.plans.factors import with_panel
 from crosspanel.session import stage_table, stage_tables
-from crosspanel.sources.derived import RawTables, monthly_sums, raw_tables, read_table
+from crosspanel.sources.derived import RawTables, line_sums, raw_tables, read_table
 from crosspanel.sources.research import ResearchTables, research_tables
 
 
@@ -28,7 +28,7 @@ class Tables:
 
     @cached_property
     def sums(self) -> DataFrame:
-        return stage_table(monthly_sums(self.read("lineitem")), "months")
+        return stage_table(line_sums(self.read("lineitem")), "sums")
 
     @cached_property
     def raw(self) -> RawTables:

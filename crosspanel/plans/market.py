@@ -43,19 +43,18 @@ def with_exchange_letter(df: DataFrame) -> DataFrame:
 def collapse_companies(df: DataFrame, date: str = "jdate") -> DataFrame:
     """Keep a company's largest security and give it the company's total equity.
 
-    Exact copies of a row become one row with a count first, by partial aggregation,
-    so they never travel; each copy still counts in the total.  The second join key
+    Exact copies of a row become one row by partial aggregation, so they never travel;
+    each copy still counts in the total.  The second join key
     includes the equity itself, so the rows of one very large company spread over
     partitions instead of landing in a single task.  Securities tied for the maximum
     all stay.  A company without any equity in a month (no price) keeps its securities
     with equity 0; a security without equity beside priced ones goes.
     """
-    unique = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    totals = unique.groupBy(date, "permco").agg(F.sum(F.col("me") * F.col("_copies")).alias("_sum"), F.max("me").alias("me"))
-    most = totals.withColumnsRenamed({date: "_date", "permco": "_permco", "me": "_most"})
+    totals = df.groupBy(date, "permco").agg(F.sum("me").alias("_sum"), F.max("me").alias("_most"))
+    most = totals.withColumnsRenamed({date: "_date", "permco": "_permco"})
     same = (F.col(date) == F.col("_date")) & (F.col("permco") == F.col("_permco")) & F.col("me").eqNullSafe(F.col("_most"))
-    largest = unique.join(most, same)
-    return largest.withColumn("me", F.coalesce("_sum", F.lit(0.0))).drop("_sum", "_copies", "_date", "_permco", "_most")
+    largest = df.distinct().join(most, same)
+    return largest.withColumn("me", F.coalesce("_sum", F.lit(0.0))).drop("_sum", "_date", "_permco", "_most")
 
 
 def add_weights(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from crosspanel.operators.rows import stack_tables
-from crosspanel.session import stage_table, stage_tables
+from crosspanel.session import stage_table
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,17 +25,69 @@ def _cents(c: Column) -> Column:
     return F.round(c * 100).cast("long")
 
 
-def monthly_sums(lineitem: DataFrame, key: str = "l_suppkey") -> DataFrame:
-    """One row per security and calendar month: integer sums and the last trading date."""
+def _dealt_lines(lineitem: DataFrame, key: str) -> DataFrame:
+    """The order lines in integer cents, dealt by security and quarter.
+
+    A security has a few lines a month, which lie anywhere in the input: sums over a
+    split are hardly fewer than its lines, yet wider, and fill the memory of its task.
+    So narrow lines travel once, flag and status as the places of their letters in RAN
+    and OF, and are summed where they meet.  The quarter spreads the lines of a very
+    large security over the calendar.
+    """
+    date, flag, status = F.col("l_shipdate").cast("date"), F.col("l_returnflag"), F.col("l_linestatus")
     d = lineitem.select(
-        F.col(key).alias("permno"),
-        F.col("l_shipdate").cast("date").alias("d"),
-        _cents(F.col("l_extendedprice")).alias("c"),
+        F.col(key).alias("k"),
+        date.alias("d"),
+        F.when(flag == "R", 1).when(flag == "A", 2).when(flag == "N", 3).alias("flag"),
+        F.when(status == "O", 1).when(status == "F", 2).alias("status"),
         F.col("l_quantity").cast("long").alias("q"),
+        _cents(F.col("l_extendedprice")).alias("c"),
+        _cents(F.col("l_extendedprice") * F.col("l_discount")).alias("disc"),
+        _cents(F.col("l_extendedprice") * F.col("l_tax")).alias("tax"),
     )
-    return d.groupBy("permno", F.trunc("d", "MM").alias("ym")).agg(
-        F.sum("c").alias("cents"), F.sum("q").alias("shares"), F.count(F.lit(1)).alias("n_lines"), F.max("d").alias("last")
+    return d.repartition("k", F.trunc("d", "quarter"))
+
+
+def line_sums(lineitem: DataFrame, key: str = "l_suppkey") -> DataFrame:
+    """Statement sums per company and quarter, in integer cents, and the sums of its months.
+
+    Months and quarters come from one shuffle of the lines.
+    """
+
+    def part(value: str, cond: Column | None = None) -> Column:
+        picked = F.col(value) if cond is None else F.when(cond, F.col(value)).otherwise(0)
+        return F.sum(picked)
+
+    flag, status = F.col("flag"), F.col("status")
+    month = _dealt_lines(lineitem, key).groupBy("k", F.trunc("d", "quarter").alias("period"), F.trunc("d", "MM").alias("ym")).agg(
+        part("c").alias("c_all"),
+        part("c", flag == 1).alias("c_r"),
+        part("c", flag == 2).alias("c_a"),
+        part("c", flag == 3).alias("c_n"),
+        part("c", status == 1).alias("c_o"),
+        part("c", status == 2).alias("c_f"),
+        part("disc").alias("disc"),
+        part("disc", flag == 2).alias("disc_a"),
+        part("disc", flag == 1).alias("disc_r"),
+        part("tax").alias("tax"),
+        part("tax", flag == 1).alias("tax_r"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum("q").alias("shares"),
+        F.max("d").alias("last"),
     )
+    own = F.struct("ym", F.col("c_all").alias("cents"), "shares", F.col("n").alias("n_lines"), "last")
+    sums = [F.sum(x).alias(x) for x in month.columns if x not in ("k", "period", "ym", "shares", "last")]
+    return month.groupBy("k", "period").agg(*sums, F.collect_list(own).alias("months"))
+
+
+def monthly_sums(sums: DataFrame) -> DataFrame:
+    """One row per security and calendar month: integer sums and the last trading date."""
+    return sums.select(F.col("k").alias("permno"), F.inline("months"))
+
+
+def quarter_sums(sums: DataFrame) -> DataFrame:
+    """Statement sums per company and quarter."""
+    return sums.drop("months")
 
 
 def security_months(sums: DataFrame) -> DataFrame:
@@ -123,43 +175,6 @@ def company(supplier: DataFrame) -> DataFrame:
     )
 
 
-def _statement_sums(lineitem: DataFrame, period: Column) -> DataFrame:
-    d = lineitem.select(
-        F.col("l_suppkey").alias("k"),
-        period.alias("period"),
-        "l_returnflag",
-        "l_linestatus",
-        _cents(F.col("l_extendedprice")).alias("c"),
-        _cents(F.col("l_extendedprice") * F.col("l_discount")).alias("disc"),
-        _cents(F.col("l_extendedprice") * F.col("l_tax")).alias("tax"),
-    )
-
-    def part(value: str, cond: Column | None = None) -> Column:
-        picked = F.col(value) if cond is None else F.when(cond, F.col(value)).otherwise(0)
-        return F.sum(picked)
-
-    flag = F.col("l_returnflag")
-    return d.groupBy("k", "period").agg(
-        part("c").alias("c_all"),
-        part("c", flag == "R").alias("c_r"),
-        part("c", flag == "A").alias("c_a"),
-        part("c", flag == "N").alias("c_n"),
-        part("c", F.col("l_linestatus") == "O").alias("c_o"),
-        part("c", F.col("l_linestatus") == "F").alias("c_f"),
-        part("disc").alias("disc"),
-        part("disc", flag == "A").alias("disc_a"),
-        part("disc", flag == "R").alias("disc_r"),
-        part("tax").alias("tax"),
-        part("tax", flag == "R").alias("tax_r"),
-        F.count(F.lit(1)).alias("n"),
-    )
-
-
-def quarter_sums(lineitem: DataFrame) -> DataFrame:
-    """Statement sums per company and quarter, in integer cents."""
-    return _statement_sums(lineitem, F.trunc(F.col("l_shipdate").cast("date"), "quarter"))
-
-
 def annual_statements(quarters: DataFrame) -> DataFrame:
     """Annual statement rows per company and fiscal year, rolled up from quarter sums."""
     sums = [F.sum(x).alias(x) for x in quarters.columns if x not in ("k", "period")]
@@ -245,17 +260,14 @@ class RawTables:
 
 
 def raw_tables(spark: SparkSession, sf_dir: str, sums: DataFrame | None = None) -> RawTables:
-    """The inputs from two passes over the order lines, each aggregated and written once.
+    """The inputs from one pass over the order lines, summed and written once.
 
-    ``sums`` are staged ``monthly_sums``, if some exist already.
+    ``sums`` are staged ``line_sums``, if some exist already.
     """
-    lineitem = read_table(spark, sf_dir, "lineitem")
     supplier = read_table(spark, sf_dir, "supplier")
     if sums is None:
-        sums, quarters = stage_tables(months=monthly_sums(lineitem), quarters=quarter_sums(lineitem))
-    else:
-        quarters = stage_table(quarter_sums(lineitem), "quarters")
-    months = security_months(sums)
+        sums = stage_table(line_sums(read_table(spark, sf_dir, "lineitem")), "sums")
+    months, quarters = security_months(monthly_sums(sums)), quarter_sums(sums)
     return RawTables(
         msf=monthly_file(months),
         volume=volume_file(months),

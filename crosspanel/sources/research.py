@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from crosspanel.session import stage_table
-from crosspanel.sources.derived import _cents, monthly_sums, read_table, security_months
+from crosspanel.sources.derived import _cents, line_sums, monthly_sums, read_table, security_months
 
 
 def bounded_change(now: Column, before: Column) -> Column:
@@ -93,16 +93,17 @@ class ResearchTables:
 
 
 def research_tables(spark: SparkSession, sf_dir: str, sums: DataFrame | None = None) -> ResearchTables:
-    """Series and assets from staged monthly and brand sums, one pass over the lines each."""
+    """Series and assets from staged ``line_sums`` and brand sums, one pass over the lines each."""
     lineitem, part = read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "part")
     brands = stage_table(brand_sums(lineitem, part), "brands")
-    sums = stage_table(monthly_sums(lineitem), "months") if sums is None else sums
-    calendar = stage_table(calendar_of(sums), "calendar")
+    sums = stage_table(line_sums(lineitem), "sums") if sums is None else sums
+    months = monthly_sums(sums)
+    calendar = stage_table(calendar_of(months), "calendar")
     rf = risk_free(calendar)
     return ResearchTables(
         factors=factor_returns(brands, calendar),
         factors_open=factor_returns(brands, calendar, "c_open"),
-        assets=asset_returns(security_months(sums), rf),
+        assets=asset_returns(security_months(months), rf),
         metadata=factor_metadata(part),
         rf=rf,
         calendar=calendar,
