@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crosspanel.llm import jaccard, langid, pieces, secrets, winnow
-from crosspanel.llm.frames import read_input, row_key
+from crosspanel.llm.frames import bound_batches, read_input, row_key
 from crosspanel.llm.queries import vocabulary
 from crosspanel.session import ship_package, stage_table
 
@@ -23,6 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Without a single labelled document every text with a letter stays.
     """
+    bound_batches(spark)
     model = langid.fit(docs.where(langid.fold() != 0).select("text", "lang"))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -36,6 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents are told apart by id and text, so different texts under one id both stay.  Of rows equal in
     both, one stays.  Rows without an id or without words are near nothing and stay.
     """
+    bound_batches(spark)
     found = stage_table(jaccard.surplus_rows(docs).where("NOT keep OR times > 1"), "pipeline-surplus")
     at = found.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h"), "keep")
     same = (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_h"))
@@ -55,12 +57,14 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep all documents, with secrets replaced by their kind and the length brought up to date."""
+    bound_batches(spark)
     clean = secrets.find_secrets(docs, secrets.fit(docs), redact=True, column="pipeline_spans").drop("pipeline_spans")
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, checked by decoding them."""
+    bound_batches(spark)
     coded = pieces.encode_checked(docs.select("doc_id", "lang", "source", "text"), vocabulary(spark))
     return coded.select("doc_id", "lang", "source", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids", "round_trip")
 

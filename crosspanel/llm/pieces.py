@@ -24,10 +24,10 @@ from crosspanel.llm.frames import map_batches, with_fields
 from crosspanel.llm.textbytes import text_slices
 
 MARK = "▁"
-MEMO_CHUNKS = 250_000
-MAX_COLUMNS = 128
+MEMO_CHUNKS = 100_000
+MAX_ROWS = 128
 ENCODE_BYTES = 2 << 20
-BLOCK_CELLS = 1_000_000
+BLOCK_CELLS = 250_000
 
 
 @dataclass(frozen=True)
@@ -101,39 +101,54 @@ class Encoder:
         self.depth = np.array(depth, dtype=np.int32)
         self.score = np.array([v.scores[p] if p >= 0 else 0.0 for p in piece])
         # Trie edges by character, and the nodes level by level, from which the full
-        # transition column of a character is derived when a text first needs it.
+        # transition row of a character is derived when a text first needs it.
         by_char: dict[int, list[tuple[int, int]]] = {}
         for s, kids in enumerate(children):
             for c, t in kids.items():
                 by_char.setdefault(c, []).append((s, t))
         self.edges = {c: np.array(e, dtype=np.int32).T for c, e in by_char.items()}
         self.levels = [np.flatnonzero(self.depth == d) for d in range(1, int(self.depth.max()) + 1)]
-        self.columns: dict[int, np.ndarray] = {}
+        self.rows: dict[int, int] = {}
         self.alone = np.array([chr(c) in words for c in self.alphabet] or [False])
         self.unk_score, self.byte_ids = v.unk_score, v.byte_ids
         spans = any(" " in w.lstrip(" ") for w in words)
         lines = any("\n" in w for w in words)
         self.cut = None if spans else re.compile(r" +[^ ]*" if lines else r" +[^ \n]*|\n|[^ \n]+")
+        self.table: np.ndarray | None = None
         self._forget()
 
     def __getstate__(self) -> dict[str, object]:
         self._forget()
-        return self.__dict__ | {"columns": {}}
-
-    def _column(self, char: int) -> np.ndarray:
-        """The state after every state on one character."""
-        if char not in self.columns:
-            if len(self.columns) >= MAX_COLUMNS:
-                self.columns.clear()
-            column = np.zeros(len(self.fail), dtype=np.int32)
+        return self.__dict__ | {"rows": {}, "table": None}
+
+    def _row(self, char: int) -> int:
+        """Where the table says the state after every state on one character; row 0 is any unknown one's."""
+        if char < 0:
+            return 0
+        if char not in self.rows:
+            if self.table is None:
+                self.table = np.zeros((1 + MAX_ROWS, len(self.fail)), dtype=np.int32)
+            if len(self.rows) >= MAX_ROWS:
+                self.rows.clear()
+            to = self.table[1 + len(self.rows)]
             own = np.zeros(len(self.fail), dtype=bool)
             source, target = self.edges[char]
-            column[source], own[source] = target, True
+            to[0] = 0
+            to[source], own[source] = target, True
             for level in self.levels:
                 rest = level[~own[level]]
-                column[rest] = column[self.fail[rest]]
-            self.columns[char] = column
-        return self.columns[char]
+                to[rest] = to[self.fail[rest]]
+            self.rows[char] = 1 + len(self.rows)
+        return self.rows[char]
+
+    def _rows_of(self, chars: np.ndarray) -> np.ndarray | None:
+        """Rows of several characters that stand in the table together; None if there are too many."""
+        wanted = set(chars[chars >= 0].tolist())
+        if len(wanted) > MAX_ROWS:
+            return None
+        if len(wanted.union(self.rows)) > MAX_ROWS:
+            self.rows.clear()
+        return np.array([self._row(int(c)) for c in chars], dtype=np.int64)
 
     def encode_texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of every text; a null stays null, an empty text has no ids."""
@@ -185,7 +200,11 @@ class Encoder:
         code = np.where(self.alphabet[at] == flat, at, -1) if len(self.alphabet) else np.full(len(flat), -1)
         begin = np.cumsum(size) - size
         chars, local = np.unique(code, return_inverse=True)
-        table = np.stack([self._column(int(c)) if c >= 0 else np.zeros_like(self.fail) for c in chars]).ravel() if len(chars) <= MAX_COLUMNS else None
+        rows = self._rows_of(chars)
+        table = None
+        if rows is not None:
+            local = rows[local]
+            table = self.table.ravel() if self.table is not None else np.zeros_like(self.fail)
         best = np.full((longest + 1) * n, -np.inf)
         best[:n] = 0.0
         back = np.zeros((longest + 1, n), dtype=np.int32)  # trie node, or 0 for an unknown character
@@ -200,7 +219,8 @@ class Encoder:
                 s = np.zeros(n - a, dtype=np.int32)
                 for x in np.unique(c[c >= 0]):
                     own = np.flatnonzero(c == x)
-                    s[own] = self._column(int(x))[state[a:][own]]
+                    to = self._row(int(x))
+                    s[own] = self.table[to][state[a:][own]]
             state[a:] = s
             row = best[(t + 1) * n + a : (t + 2) * n]
             link = back[t + 1, a:]
