@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from crosspanel.llm import repair, shards, trie
+from crosspanel.llm import queries, repair, shards, trie
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -80,6 +80,32 @@ def test_shards_odd_rows_and_written_files(spark, odd, make, tmp_path):
     assert sorted((r.shard, r.slot, r["size"]) for r in back.collect()) == sorted((r.shard, r.slot, r["size"]) for r in rows)
 
 
+def test_query_moves_whole_records_into_shards(spark, make, tmp_path):
+    texts = [None if i % 11 == 0 else "" if i % 13 == 0 else f"text {i // 2} é " * (i % 90) for i in range(5000)]
+    rows = [(i // 2 if i % 7 else None, t, "en", f"source {i}", len(t or "")) for i, t in enumerate(texts)] + [(1, "same", "de", f"copy {i}", 4) for i in range(500)]
+    make(rows).repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op11_two_pass_shuffle(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    folders = {f.rsplit("/", 2)[0] for f in out.inputFiles()}
+    assert len(folders) == 1 and all("/shard=" in f for f in out.inputFiles())
+    held = spark.read.parquet(folders.pop()).select("doc_id", "text", "lang", "source", "n_chars", "shard", "slot", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")).collect()
+    assert sorted((tuple(r[:5]) for r in held), key=str) == sorted(rows, key=str)
+    want = shuffled_by_hand([r[:2] for r in rows], shards.SHARDS, shards.SEED, shards.BUCKET_ROWS)
+    assert sorted((((r.doc_id, r.text), r.shard, r.slot) for r in held), key=str) == sorted(want, key=str)
+    for _, run in itertools.groupby(sorted(held, key=lambda r: (r.file, r.at)), key=lambda r: r.shard):
+        assert [r.slot for r in run] == list(range(sum(r.shard == _ for r in held)))
+    raw = {(r.shard, r.slot): (r.text or "").encode() for r in held}
+    got = out.collect()
+    assert len(got) == len(raw) == len(rows)
+    for r in got:
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw[r.shard, r.slot]) + 8, zlib.crc32(raw[r.shard, r.slot]), "rows", None)
+
+
+def test_query_of_shards_on_empty_table(spark, make, tmp_path):
+    make([]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries.op11_two_pass_shuffle(spark, str(tmp_path)).collect() == []
+
+
 # 12. Trie
 
 
